@@ -37,7 +37,7 @@ from ._base import new_path
 LEXICON, LONGEST, CACHE = 32_768, 48, 1 << 17
 _COUNTED = 1 << 18
 # The piece pattern of the byte-level vocabulary, with the white space that the library's engine knows.
-_SPACE = r"\t-\r \x85\xa0  -     　"
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 
 
