@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ._base import stash
 
 MIN_WORDS, WINDOW, REPEAT_PERCENT = 10, 5, 20
-COMMON, MIN_COMMON_LETTERS, MIN_REFERENCE = 16, 1, 2_000
+COMMON, LONGEST, MIN_REFERENCE = 16, 6, 2_000
 #: Divergence counts only for texts of so many words.
 GUARD_WORDS = 60
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.85
@@ -53,15 +53,19 @@ def _profile(docs: DataFrame, text: str, lang: str, carry: list[str]) -> DataFra
 
 
 def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``(lang, ref_class, ref_words, ref_hist)``: one row for each language, counted over all documents."""
+    """``(lang, ref_class, ref_words, ref_hist)``: one row for each language, counted over all documents.
+
+    ``ref_words`` has the hashes of its ``COMMON`` most frequent words of at most ``LONGEST`` letters,
+    ``ref_hist`` their counts and that of all other words.
+    """
     rows = _profile(docs, text, lang, []).select("__lang", "__w", "__c", "n_words")
     classes = rows.groupBy("__lang").agg(F.sum("n_words").alias("n"), F.array(*(F.sum(F.col("__c")[k]) for k in range(7))).alias("ref_class"))
-    words = rows.select("__lang", F.explode("__w").alias("w")).groupBy("__lang", "w").agg(F.count(F.lit(1)).alias("c"))
+    words = rows.select("__lang", F.explode("__w").alias("w")).where(F.length("w") <= LONGEST).groupBy("__lang", "w").agg(F.count(F.lit(1)).alias("c"))
     order = Window.partitionBy("__lang").orderBy(F.desc("c"), "w")
     top = words.withColumn("k", F.row_number().over(order)).where(F.col("k") <= COMMON)
     top = top.groupBy("__lang").agg(F.array_sort(F.collect_list(F.struct("k", "w", "c"))).alias("a"))
     return classes.where(F.col("n") >= MIN_REFERENCE).join(top, "__lang").select(
-        F.col("__lang").alias("lang"), "ref_class", F.col("a.w").alias("ref_words"), F.concat("a.c", F.array(F.col("n") - _sum(F.col("a.c")))).alias("ref_hist")
+        F.col("__lang").alias("lang"), "ref_class", F.transform("a.w", lambda w: F.xxhash64(w)).alias("ref_words"), F.concat("a.c", F.array(F.col("n") - _sum(F.col("a.c")))).alias("ref_hist")
     )
 
 
@@ -100,10 +104,10 @@ def _score(docs: DataFrame, text: str, lang: str, carry: list[str], refs: DataFr
     df = df.withColumn("__l", lines)
     df = df.withColumn("n_repeat_words", _repeats("__v")).withColumn("n_dup_lines", (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"))
     df = df.join(refs.withColumnRenamed("lang", "__lang"), "__lang", "left")
-    df = df.withColumn("__p", F.when(F.col("ref_words").isNotNull() & (F.col("n_words") >= GUARD_WORDS), F.filter(F.transform("__w", lambda w: F.array_position(F.col("ref_words"), w)), lambda k: k > 0)))
-    tally = F.transform(F.sequence(F.lit(1), F.lit(COMMON)), lambda k: (F.size("__p") - F.size(F.array_remove("__p", k.cast("long")))).cast("long"))
-    df = df.withColumn("__k", F.slice(F.concat(tally), 1, F.size("ref_words")))
-    df = df.withColumns({"class_distance": F.when(F.col("__p").isNotNull(), distance(F.col("__c"), F.col("ref_class"))), "word_distance": distance(F.concat("__k", F.array(F.col("n_words") - F.size("__p"))), F.col("ref_hist"))})
+    # a count is what removing the word takes away: a plain loop over the hashes for each common word
+    tally = F.array(*(F.size("__h") - F.size(F.array_remove("__h", F.get("ref_words", F.lit(k)))) for k in range(COMMON)))
+    df = df.withColumn("__k", F.when(F.col("ref_words").isNotNull() & (F.col("n_words") >= GUARD_WORDS), F.slice(tally, 1, F.size("ref_words")).cast("array<bigint>")))
+    df = df.withColumns({"class_distance": F.when(F.col("__k").isNotNull(), distance(F.col("__c"), F.col("ref_class"))), "word_distance": distance(F.concat("__k", F.array(F.col("n_words") - _sum(F.col("__k")))), F.col("ref_hist"))})
     df = df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")))
     far = (F.coalesce(F.col("class_distance"), F.lit(0.0)) > MAX_CLASS_DISTANCE) | (F.coalesce(F.col("word_distance"), F.lit(0.0)) > MAX_WORD_DISTANCE)
     return df.withColumn("kept", ~(F.col("base_failed") | far))
