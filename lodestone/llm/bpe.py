@@ -21,6 +21,7 @@ import json
 import mmap
 import re
 import struct
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 from ._base import new_path
 
 #: Words in the lexicon, bytes of its longest word, and pieces that a worker remembers.
-LEXICON, LONGEST, CACHE = 32_768, 48, 1 << 17
-_COUNTED = 1 << 18
+LEXICON, LONGEST, CACHE = 131_072, 32, 400_000
+_COUNTED, _SHORT = 1 << 18, 40
 # The piece pattern of the byte-level vocabulary, with the white space that the library's engine knows.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
@@ -57,7 +58,8 @@ class Vocabulary:
         self.ids = {bytes(to_byte[c] for c in t): k for t, k in model["vocab"].items() if all(c in to_byte for c in t)}
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         raw = [tuple(bytes(to_byte[c] for c in x) for x in m) for m in pairs]
-        self.merges = {(self.ids[a], self.ids[b]): (rank, self.ids[a + b]) for rank, (a, b) in enumerate(raw)}
+        self.ranks = {(self.ids[a], self.ids[b]): (rank, self.ids[a + b]) for rank, (a, b) in enumerate(raw)}
+        self.packed = {pair: rank << 24 | new for pair, (rank, new) in self.ranks.items()}
         self.special = {t["content"]: t["id"] for t in j["added_tokens"]}
         self.bytes = [b""] * (1 + max([*self.ids.values(), *self.special.values()]))
         for t, k in [*self.ids.items(), *((s.encode(), k) for s, k in self.special.items())]:
@@ -69,15 +71,25 @@ class Vocabulary:
         """Merges the pair of least rank, the leftmost first, until none is left."""
         ids = [k for k in map(self.single.__getitem__, piece) if k >= 0]
         n = len(ids)
-        if n < 2:
+        if n <= _SHORT:
+            get, none = self.packed.get, 1 << 62
+            found = [get(pair, none) for pair in zip(ids, ids[1:])]
+            while found and (best := min(found)) != none:
+                k = found.index(best)
+                ids[k] = best & 0xFFFFFF
+                del ids[k + 1], found[k]
+                if k:
+                    found[k - 1] = get((ids[k - 1], ids[k]), none)
+                if k < len(found):
+                    found[k] = get((ids[k], ids[k + 1]), none)
             return ids
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        heap = [(m[0], k, m[1]) for k, pair in enumerate(zip(ids, ids[1:], strict=False)) if (m := self.merges.get(pair))]
+        heap = [(m[0], k, m[1]) for k, pair in enumerate(zip(ids, ids[1:], strict=False)) if (m := self.ranks.get(pair))]
         heapq.heapify(heap)
         while heap:
             rank, k, new = heapq.heappop(heap)
             j = after[k]
-            if ids[k] < 0 or j < 0 or self.merges.get((ids[k], ids[j]), (-1, 0)) != (rank, new):
+            if ids[k] < 0 or j < 0 or self.ranks.get((ids[k], ids[j]), (-1, 0)) != (rank, new):
                 continue
             ids[k], ids[j] = new, -1
             after[k] = after[j]
@@ -85,7 +97,7 @@ class Vocabulary:
                 before[after[j]] = k
             for left in (before[k], k):
                 right = after[left] if left >= 0 else -1
-                if right >= 0 and (m := self.merges.get((ids[left], ids[right]))):
+                if right >= 0 and (m := self.ranks.get((ids[left], ids[right]))):
                     heapq.heappush(heap, (m[0], left, m[1]))
         return [k for k in ids if k >= 0]
 
@@ -144,77 +156,110 @@ class Lexicon:
 
     def __init__(self, data):
         self.root, states, arcs, n, ids = struct.unpack_from("<5I", data)
-        at = 20
-        parts = []
+        at, view, parts = 20, memoryview(data), []
         for code, count in (("I", states + 1), ("B", states), ("B", arcs), ("I", arcs), ("I", arcs), ("I", n + 1), ("I", ids)):
-            width = 4 if code == "I" else 1
-            parts.append(np.frombuffer(data, "<u4" if code == "I" else "u1", count, at))
-            at += width * count
-        self.first, self.final, self.label, self.target, self.before, self.at, self.ids = parts
-        self.states = states
+            size = count * (4 if code == "I" else 1)
+            parts.append(view[at : at + size].cast(code))
+            at += size
+        self.first, self.final, labels, self.target, self.before, self.at, self.ids = parts
+        self.find, self.states = bytes(labels).find, states
 
-    def get(self, word: bytes) -> np.ndarray | None:
+    def get(self, word: bytes) -> list[int] | None:
         """The ids of a word, or None."""
-        state, rank = self.root, 0
+        state, rank, first, find = self.root, 0, self.first, self.find
         for c in word:
-            lo, hi = int(self.first[state]), int(self.first[state + 1])
-            k = lo + int(np.searchsorted(self.label[lo:hi], c))
-            if k >= hi or self.label[k] != c:
+            arc = find(c, first[state], first[state + 1])
+            if arc < 0:
                 return None
-            rank += int(self.before[k])
-            state = int(self.target[k])
-        return self.ids[self.at[rank] : self.at[rank + 1]] if self.final[state] else None
+            rank += self.before[arc]
+            state = self.target[arc]
+        return self.ids[self.at[rank] : self.at[rank + 1]].tolist() if self.final[state] else None
 
 
 class Encoder(dict):
-    """Maps pieces to their ids as bytes; what isn't remembered goes through the lexicon, else it is merged."""
+    """Maps pieces to their ids as bytes; what isn't remembered goes through the lexicon, else it is merged.
+
+    In a text whose white space is single blanks and line ends between words, no
+    piece reaches beyond a blank and the word behind it, so such words are
+    remembered as wholes.
+    """
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None):
         super().__init__()
         self.vocabulary, self.lexicon = vocabulary, lexicon
         self.pieces = regex.compile(_PIECES).findall
+        self.words = _Words(self)
 
     def __missing__(self, piece: str) -> bytes:
         raw = piece.encode()
-        ids = self.lexicon.get(raw) if self.lexicon and len(raw) <= LONGEST else None
-        out = np.asarray(self.vocabulary.merge(raw) if ids is None else ids, "<i4").tobytes()
-        if len(self) >= CACHE:
-            self.clear()
-        if len(raw) <= LONGEST:
+        short = len(raw) <= LONGEST
+        ids = self.lexicon.get(raw) if self.lexicon and short else None
+        out = array("i", self.vocabulary.merge(raw) if ids is None else ids).tobytes()
+        if short:
+            if len(self) >= CACHE:
+                self.clear()
             self[piece] = out
         return out
 
+    def _plain(self, text: str) -> bytes:
+        words = text.split(" ")
+        if len(words) + text.count("\n") != len(text.split()):
+            return b"".join(map(self.__getitem__, self.pieces(text)))
+        head = b"".join(map(self.__getitem__, self.pieces(words[0])))
+        del words[0]
+        return head + b"".join(map(self.words.__getitem__, words))
+
     def encode(self, text: str) -> np.ndarray:
-        parts = self.vocabulary.cut.split(text) if self.vocabulary.cut and any(s in text for s in self.vocabulary.special) else [text]
-        out = []
-        for k, part in enumerate(parts):
-            out += [np.array([self.vocabulary.special[part]], "<i4").tobytes()] if k % 2 else map(self.__getitem__, self.pieces(part))
+        cut, special = self.vocabulary.cut, self.vocabulary.special
+        parts = cut.split(text) if cut and any(s in text for s in special) else [text]
+        out = [array("i", [special[part]]).tobytes() if k % 2 else self._plain(part) for k, part in enumerate(parts)]
         return np.frombuffer(b"".join(out), "<i4")
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.vocabulary.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-def frequent_pieces(docs: DataFrame, text: str = "text", size: int = LEXICON) -> list[str]:
-    """The ``size`` most frequent pieces of all texts, ties by their order; longer ones than LONGEST bytes aside."""
+class _Words(dict):
+    """Ids of a blank and the word behind it."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, word: str) -> bytes:
+        e = self.encoder
+        out = e[" " + word] if word.isalpha() else b"".join(map(e.__getitem__, e.pieces(" " + word)))
+        if len(word) <= LONGEST and "\n" not in word:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = out
+        return out
+
+
+def frequent_words(docs: DataFrame, text: str = "text", size: int = LEXICON) -> list[str]:
+    """The ``size`` most frequent words of all texts with the blank before them, ties by their order.
+
+    A word is letters between blanks; words of more than LONGEST bytes are aside.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, sums = regex.compile(_PIECES).findall, Counter()
+        sums: Counter[str] = Counter()
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], ["p", "c"])
+            words = [w for w in sums if w.isalpha()]
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(list(map(sums.__getitem__, words)), pa.int64())], ["p", "c"])
 
         for b in batches:
             for t in b.column(0).to_pylist():
-                sums.update(pieces(t or ""))
+                sums.update((t or "").split(" "))
                 if len(sums) >= _COUNTED:
                     yield out()
                     sums.clear()
         yield out()
 
     counts = docs.select(F.col(text).cast("string")).mapInArrow(count, "p string, c long")
-    counts = counts.where(F.octet_length("p") <= LONGEST).groupBy("p").agg(F.sum("c").alias("c"))
-    return [r.p for r in counts.orderBy(F.desc("c"), "p").limit(size).collect()]
+    counts = counts.where(F.octet_length("p") < LONGEST).groupBy("p").agg(F.sum("c").alias("c"))
+    return [" " + r.p for r in counts.orderBy(F.desc("c"), "p").limit(size).collect()]
 
 
 def share(spark: SparkSession, data: bytes) -> str:
@@ -249,7 +294,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text
     with open(path, "rb") as f:
         raw = f.read()
     vocabulary = Vocabulary(raw)
-    data = compile_lexicon({p.encode(): vocabulary.merge(p.encode()) for p in frequent_pieces(docs, text, lexicon)})
+    data = compile_lexicon({p.encode(): vocabulary.merge(p.encode()) for p in frequent_words(docs, text, lexicon)})
     name, spec = share(spark, data), spark.sparkContext.broadcast(raw)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
