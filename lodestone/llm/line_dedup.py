@@ -47,7 +47,7 @@ def repeated_places(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     place = F.struct(F.col("id").isNull().alias("n"), "id", "th", "pos")
     firsts = wins.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
     firsts = stash(firsts.select("a", "b", "first"), "repeats")
-    later = wins.join(firsts, ["a", "b"]).where(place != F.col("first")).select("id", "th", "pos").distinct()
+    later = wins.join(firsts.hint("merge"), ["a", "b"]).where(place != F.col("first")).select("id", "th", "pos").distinct()
     runs = later.groupBy("id", "th").agg(F.collect_list("pos").alias("p"))  # at most the lines of one document
     covered = F.flatten(F.transform("p", lambda s: F.sequence(s, s + (width - 1))))
     return runs.select("id", "th", F.sort_array(F.array_distinct(covered)).alias("places"))
@@ -65,7 +65,8 @@ def _cleaned(docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
     gone = stash(repeated_places(docs, id_col, text, width), "places")
     rows = docs.withColumns({"__id": F.col(id_col), "__th": text_hash(F.col(text))})
     gone = gone.select(F.col("id").alias("__gid"), F.col("th").alias("__gth"), F.col("places").alias("__gone"))
-    rows = rows.join(gone, F.col("__id").eqNullSafe(F.col("__gid")) & (F.col("__th") == F.col("__gth")), "left")
+    # by merge at every size: what repeats grows with the corpus, so a broadcast would end at some size
+    rows = rows.join(gone.hint("merge"), F.col("__id").eqNullSafe(F.col("__gid")) & (F.col("__th") == F.col("__gth")), "left")
     return rows.withColumn("__left", F.when(F.col("__gone").isNotNull(), _without(F.split(F.col(text), "\n"), F.col("__gone"))))
 
 
