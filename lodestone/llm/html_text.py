@@ -5,7 +5,8 @@ headings are hashed together with the page's host; Spark counts on how many
 pages of a host each hash occurs, and subtrees that recur on at least
 ``MIN_PAGES`` of them are deleted.  Inside an article only containers, tables
 and lists can go that way, and only while the larger part of the article
-stays, so that copied pages keep their text.  What names itself menu, header,
+stays and the article as a whole doesn't recur, so that copied pages keep
+their text.  What names itself menu, header,
 footer, sidebar, notice, advert, form or comment section goes as well.
 
 The recurring hashes are broadcast if there are at most ``MAX_BROADCAST``;
@@ -210,7 +211,7 @@ def site_keys(root: Node, site: int) -> set[int]:
     out, todo = set(), [root]
     while todo:
         node = todo.pop()
-        if node.tag not in _WHOLE and node.tag not in _DROP and node.tag and node.size and (node.tag not in _PLAIN or node.tag == "p"):
+        if node.tag not in ("html", "body") and node.tag not in _DROP and node.tag and node.size and (node.tag not in _PLAIN or node.tag == "p"):
             out.add(_mixed(node.key, site))
         todo += [k for k in node.kids if type(k) is Node]
     return out
@@ -276,8 +277,8 @@ def _blocks(top: Node, inside: bool, recurring, site: int) -> list[str]:
                 lost += node.size
                 continue
         todo += [k for k in node.kids if type(k) is Node]
-    if 2 * lost > top.size and inside:
-        gone = set()
+    if inside and (2 * lost > top.size or recurring(_mixed(top.key, site))):
+        gone = set()  # a copied article isn't a template
     lines: list[str] = []
     open_text: list[str] = []
 

@@ -160,8 +160,8 @@ class Potentials:
         self.chain = np.log(p / p.sum()) - np.log(p.sum(axis=1, keepdims=True) / p.sum()) - np.log(p.sum(axis=0, keepdims=True) / p.sum())
         # A free token beside a match was left by the patterns, not by its writer; a skip edge ties
         # it to the match's label as strongly as linked matches agree.
-        same = np.log((agree + 9.0) / (agree + differ + 10.0))
-        other = np.log((differ + 1.0) / (agree + differ + 10.0) / _O)
+        same = np.log((agree + 99.0) / (agree + differ + 100.0))
+        other = np.log((differ + 1.0) / (agree + differ + 100.0) / _O)
         self.skip = np.full((_O + 1, _O + 1), other)
         np.fill_diagonal(self.skip, same)
 

@@ -1,0 +1,43 @@
+"""The pipeline against plain versions of its stages, one after the other."""
+
+from __future__ import annotations
+
+import hashlib
+
+import brute
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from lodestone.llm import quality
+from lodestone.llm.queries import tokenizer_path
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_pipeline(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    good = {r.doc_id for r in quality.measure(docs).where("kept").collect()}
+    assert good == {i for i in good if not brute.quality(texts[i])[5]}
+    lines = brute.without_repeats([(i, texts[i]) for i in good])
+    left = {i: t for i, (n, gone, t) in lines.items() if not (n and n == gone)}
+    groups = brute.components({i: brute.fingerprint(t) for i, t in left.items()})
+    left = {i: t for i, t in left.items() if groups[i] == i}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    dirty = brute.contamination(list(left.items()), items)
+    left = {i: t for i, t in left.items() if not dirty[i][3]}
+    lib = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
+    assert got.keys() == left.keys()
+    for i, t in left.items():
+        assert got[i].ids == lib.encode(t, add_special_tokens=False).ids
+        assert got[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+
+
+def test_stages_keep_the_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        empty = stage(spark, docs.where("false"), SF)
+        assert empty.count() == 0
