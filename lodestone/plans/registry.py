@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from . import catalog, machines, scalars  # noqa: F401
+    from . import catalog, machines, scalars, streams  # noqa: F401
