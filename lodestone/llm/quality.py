@@ -123,4 +123,7 @@ def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFr
     """The rows of ``docs`` that the rules keep, with all their columns."""
     refs = stash(references(docs, text, lang), "references")
     boxed = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text).alias("__text"), F.col(lang).alias("__l0"))
-    return _score(boxed, "__text", "__l0", ["__row"], refs).where("kept").select("__row.*")
+    out = _score(boxed, "__text", "__l0", ["__row"], refs)
+    # the running number keeps the filter above the steps that compute its verdict; below, it would hold all of
+    # them again in one expression
+    return out.withColumn("__n", F.monotonically_increasing_id()).where("kept and __n >= 0").select("__row.*")
