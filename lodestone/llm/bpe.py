@@ -32,11 +32,11 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import new_path
+from ._base import new_path, stash
 
 #: Words in the lexicon, bytes of its longest word, and pieces that a worker remembers.
 LEXICON, LONGEST, CACHE = 131_072, 32, 400_000
-_COUNTED, _SHORT = 1 << 18, 40
+_COUNTED, _SHORT, _STEPS = 1 << 18, 40, 64
 # The piece pattern of the byte-level vocabulary, with the white space that the library's engine knows.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
@@ -237,9 +237,10 @@ class _Words(dict):
 
 
 def frequent_words(docs: DataFrame, text: str = "text", size: int = LEXICON) -> list[str]:
-    """The ``size`` most frequent words of all texts with the blank before them, ties by their order.
+    """The most frequent words of all texts, at most ``size``, with the blank before them.
 
-    A word is letters between blanks; words of more than LONGEST bytes are aside.
+    A word is letters between blanks; words of more than LONGEST bytes are aside.  Words come by steps of their
+    count's logarithm, and only whole steps come.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,8 +259,16 @@ def frequent_words(docs: DataFrame, text: str = "text", size: int = LEXICON) ->
         yield out()
 
     counts = docs.select(F.col(text).cast("string")).mapInArrow(count, "p string, c long")
-    counts = counts.where(F.octet_length("p") < LONGEST).groupBy("p").agg(F.sum("c").alias("c"))
-    return [" " + r.p for r in counts.orderBy(F.desc("c"), "p").limit(size).collect()]
+    counts = counts.where(F.octet_length("p") < LONGEST).groupBy("p").agg(F.sum("c").alias("c")).where("c > 1")
+    counts = stash(counts.select("p", F.floor(F.log2("c") * _STEPS).cast("int").alias("step")), "words")
+    # a sorted limit would send its number of rows from every partition to the driver; the steps are a few hundred
+    steps = sorted(counts.groupBy("step").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True)
+    least, held = 1 << 30, 0
+    for step, n in steps:
+        if held + n > size:
+            break
+        least, held = step, held + n
+    return sorted(" " + r.p for r in counts.where(F.col("step") >= least).select("p").collect())
 
 
 def share(spark: SparkSession, data: bytes) -> str:
