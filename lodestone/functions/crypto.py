@@ -33,6 +33,11 @@ def peer_token(token: Column, label: str) -> Column:
     return F.sha2(F.concat(token, F.lit(label)).cast("binary"), 256)
 
 
+def wire_name(tenant_key: bytes, path: Column) -> Column:
+    """The name under which an encrypted object travels."""
+    return hmac_sha256(tenant_key, path)
+
+
 def hkdf(secret: bytes, parts: list[bytes], size: int = 32, salt: bytes = b"") -> bytes:
     """HKDF-SHA256 whose info has each part behind its length."""
     info = b"".join(len(p).to_bytes(4, "big") + p for p in parts)
@@ -75,13 +80,19 @@ def encrypt_stream(data: Column, key: bytes | Column, seed: Column, chunk: int =
 
 
 def decrypt_stream(stream: Column, key: bytes | Column, footer_aad: bytes = b"") -> Column:
-    """The plain data; null for a stream that is cut, reordered or changed."""
+    """The plain data; null for a stream that is cut, reordered or changed.
+
+    Version 4 names its chunk size, versions 2 and 3 have 4096 bytes; version 2 has no footer, so a cut between
+    its chunks can't be told.
+    """
     k = F.lit(key) if isinstance(key, bytes) else key
-    size = read_int(stream, 1, 2)
-    seed = F.substring(stream, 4, SEED_BYTES)
-    head = 3 + SEED_BYTES
+    version = read_int(stream, 0, 1)
+    newest = version == STREAM_VERSION
+    size = F.when(newest, read_int(stream, 1, 2)).otherwise(CHUNK)
+    head = F.when(newest, 3 + SEED_BYTES).otherwise(1 + SEED_BYTES)
+    seed = F.substring(stream, head - (SEED_BYTES - 1), F.lit(SEED_BYTES))
     total = F.octet_length(stream)
-    footer = 4 + 4 + TAG_BYTES
+    footer = F.when(version == 2, 0).otherwise(4 + 4 + TAG_BYTES)
     frame = size + 4 + TAG_BYTES
     body = total - head - footer
     n = F.ceil(body / frame).cast("int")
@@ -97,7 +108,8 @@ def decrypt_stream(stream: Column, key: bytes | Column, footer_aad: bytes = b"")
 
     parts = F.transform(index, chunk)
     end = opened(total - footer, F.lit(4 + TAG_BYTES), F.concat(seed, F.lit(b"\xff\xff\xff\xff")), footer_aad)
-    good = (read_int(stream, 0, 1) == STREAM_VERSION) & (body >= 0) & (end == big_endian(n, 4)) & ~F.exists(parts, lambda x: x.isNull())
+    closed = (version == 2) | F.coalesce(end == big_endian(n, 4), F.lit(False))
+    good = version.isin(2, 3, STREAM_VERSION) & (body >= 0) & closed & ~F.exists(parts, lambda x: x.isNull())
     return F.when(good, F.aggregate(parts, F.lit(b""), lambda a, x: F.concat(a, x)))
 
 

@@ -108,6 +108,16 @@ def test_streams(spark, size):
         assert bad == raw or spark.createDataFrame([(bad,)], "s binary").select(crypto.decrypt_stream(F.col("s"), KEY, b"f")).first()[0] is None
 
 
+def test_older_streams(spark):
+    data = b"z" * 5000
+    df = spark.createDataFrame([(data,)], "d binary").select(crypto.encrypt_stream(F.col("d"), KEY, F.lit(b"seedseed"), footer_aad=b"f").alias("s"))
+    raw = bytes(df.first().s)
+    third, second = b"\x03" + raw[3:], b"\x02" + raw[3:-24]
+    for old in (third, second):
+        assert bytes(spark.createDataFrame([(old,)], "s binary").select(crypto.decrypt_stream(F.col("s"), KEY, b"f")).first()[0]) == data
+    assert spark.createDataFrame([(third[:-24],)], "s binary").select(crypto.decrypt_stream(F.col("s"), KEY, b"f")).first()[0] is None
+
+
 def test_keyed_hashes(spark):
     for key in (b"k", b"q" * 64, b"z" * 100):
         assert values(spark, [("data",)], "s string", crypto.hmac_sha256(key, F.col("s"))) == [hmac.new(key, b"data", hashlib.sha256).hexdigest()]
