@@ -228,7 +228,18 @@ class _Words(dict):
 
     def __missing__(self, word: str) -> bytes:
         e = self.encoder
-        out = e[" " + word] if word.isalpha() else b"".join(map(e.__getitem__, e.pieces(" " + word)))
+        if word.isalpha():
+            out = e[" " + word]
+        elif word[:-1].isalpha() and not word[-1].isalnum() and word[-1] != "'":
+            out = self[word[:-1]] + e[word[-1]]  # letters and one mark
+        elif "\n" in word:
+            head, _, tail = word.partition("\n")
+            if head[-1:].isspace() or not tail or not tail.isalpha() or tail[0].isspace():
+                out = b"".join(map(e.__getitem__, e.pieces(" " + word)))
+            else:
+                out = self[head] + e["\n"] + e[tail]
+        else:
+            out = b"".join(map(e.__getitem__, e.pieces(" " + word)))
         if len(word) <= LONGEST and "\n" not in word:
             if len(self) >= CACHE:
                 self.clear()
