@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,16 +61,8 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = repair.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
-
-    def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column(2)
-            sums = [repair.crc32(x.values.to_numpy()) for x in ids]
-            n = [len(x) for x in ids]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return out.mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    out = repair.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), packed=True)
+    return out.select("doc_id", "start", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
 def op8_archive_converter(spark: SparkSession, sf_dir: str) -> DataFrame:

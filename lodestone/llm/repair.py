@@ -20,6 +20,7 @@ folder; only id and text are read.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +30,13 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ._base import new_path, text_hash
+from .bpe import byte_of_char
 
-END_ID, SHARD_IDS, ROUNDS, MIN_PAIRS, PER_ROUND = 1, 1 << 21, 12, 8, 8192
-CACHE = 1 << 17
+END_ID, SHARD_IDS, ROUNDS, MIN_PAIRS, PER_ROUND = 1, 1 << 20, 12, 8, 8192
+#: Shards whose starts may be broadcast, 24 bytes each; beyond, shards and starts meet in a shuffle.
+MAX_STARTS = 1 << 20
+CACHE, _SLOT_BITS = 2_000_000, 20
+_MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 _SCHEMA = "part int, shard int, docs binary, lens binary, rules binary, spans binary, seq binary, n_ids long"
 
 
@@ -40,34 +45,59 @@ class WordEncoder(dict):
 
     The vocabulary's rules never look across ASCII blanks, and neither does its
     normaliser, as no character composes with a blank; texts with rarer
-    separators go to the library as a whole.
+    separators go to the library as a whole.  Words of Latin-1 letters are one
+    piece for the library's model, and so are ASCII marks behind them; others
+    pass its whole chain.
     """
 
     #: Separators on which the library and str.split() may differ.
-    _ODD = frozenset("\u001c\u001d\u001e\u001f\u0085\u00a0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
+    _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u1680", "\u2028", "\u2029", "\u202f", "\u205f", "\u3000", *map(chr, range(0x2000, 0x200B)))
 
     def __init__(self, spec: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.pieces, self.stand_ins = self.tokenizer.model.tokenize, {b: c for c, b in byte_of_char().items()}
+        self.ends: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        out = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if word.isalpha() and (word.isascii() or max(word) < "\u0100"):
+            if word.islower():  # one piece, in the bytes' stand-ins
+                piece = word if word.isascii() else "".join(map(self.stand_ins.__getitem__, word.encode()))
+                out = array("I", [t.id for t in self.pieces(piece)]).tobytes()
+            else:
+                out = self[word.lower()]
+        elif (core := word.rstrip(_MARKS)) and len(core) < len(word) and core.isalpha() and (core.isascii() or max(core) < "\u0100"):
+            out = self[core.lower()] + self._end(word[len(core) :])
+        else:
+            out = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         if len(self) >= CACHE:
             self.clear()
         if len(word) <= 64:
             self[word] = out
         return out
 
+    def _end(self, marks: str) -> bytes:
+        """Marks in a row are one piece, whatever stands before them."""
+        out = self.ends.get(marks)
+        if out is None:
+            out = array("I", self.tokenizer.encode(marks, add_special_tokens=False).ids).tobytes()
+            if len(self.ends) < 10_000:
+                self.ends[marks] = out
+        return out
+
     def encode(self, text: str) -> np.ndarray:
-        if not self._ODD.isdisjoint(text):
+        if any(c in text for c in self._ODD):
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         return np.frombuffer(b"".join(map(self.__getitem__, text.split())), "<u4")
 
 
 def compress(ids: np.ndarray, rounds: int = ROUNDS, min_pairs: int = MIN_PAIRS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(rules, lengths, sequence)``: nonterminal k stands for ``rules[k]``; its id is the first free one plus k."""
+    """``(rules, lengths, sequence)``: nonterminal k stands for ``rules[k]``; its id is the first free one plus k.
+
+    ``sequence`` has that first free id before its symbols.  A round ends the work if it saves too little.
+    """
     seq = ids.astype(np.uint64)
     base = int(seq.max(initial=0)) + 1
     rules: list[np.ndarray] = []
@@ -84,26 +114,35 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, min_pairs: int = MIN_PAIRS)
             break
         if len(often) > PER_ROUND:
             often = often[np.argpartition(-counts[often], PER_ROUND)[:PER_ROUND]]
-        keys = np.sort(ordered[cuts[often]])
-        where = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
-        hit = keys[where] == pairs
+        keys = ordered[cuts[often]]
+        # a table of slots finds a pair in one step; of keys that share a slot one waits for the next round
+        table = np.zeros(1 << _SLOT_BITS, np.uint32)
+        table[_slot(keys)] = np.arange(len(keys), dtype=np.uint32)
+        where = table[_slot(pairs)]
+        at = np.flatnonzero(keys[where] == pairs)
         # of overlapping occurrences every other one from the left
-        at = np.flatnonzero(hit)
-        first = np.r_[True, np.diff(at) > 1]
-        run = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
-        at = at[(np.arange(len(at)) - run) % 2 == 0]
-        used, place = np.unique(where[at], return_inverse=True)
-        seq[at] = np.uint64(base + n_rules) + place.astype(np.uint64)
+        count = np.arange(len(at))
+        run = np.maximum.accumulate(np.where(np.r_[True, np.diff(at) > 1], count, 0))
+        at = at[(count - run) % 2 == 0]
+        which = where[at]
+        used = np.bincount(which, minlength=len(keys)) > 0
+        seq[at] = (np.cumsum(used) - 1 + base + n_rules).astype(np.uint64)[which]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
         rules.append(keys[used])
-        n_rules += len(used)
+        n_rules += int(used.sum())
+        if len(at) * 200 < len(seq):
+            break
     flat = np.concatenate(rules) if rules else np.empty(0, np.uint64)
     table = np.stack([flat >> np.uint64(32), flat & np.uint64(0xFFFFFFFF)], axis=1).astype("<u4")
     return table, expansion_lengths(table, base), np.r_[np.uint64(base), seq].astype("<u4")
 
 
+def _slot(pairs: np.ndarray) -> np.ndarray:
+    return (pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)
+
+
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     """A rule's symbols come before it, in earlier rounds or as ids, so one pass by doubling settles all."""
     lengths = np.ones(len(rules), np.int64)
@@ -195,12 +234,13 @@ def write_shards(docs: DataFrame, path: str, out: str, id_col: str = "doc_id", t
     rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, _SCHEMA).write.parquet(out)
 
 
-def read_shards(spark: SparkSession, out: str, id_col: str = "doc_id") -> DataFrame:
-    """``(id, start, ids array<int>)`` of every document, decoded from the folder."""
+def read_shards(spark: SparkSession, out: str, id_col: str = "doc_id", packed: bool = False, max_starts: int = MAX_STARTS) -> DataFrame:
+    """``(id, start, ids array<int>)`` of every document, decoded from the folder; ``packed`` gives ids as little-endian bytes."""
     shards = spark.read.schema(_SCHEMA).parquet(out)
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = shards.select("part", "shard", "n_ids").select("part", "shard", before.cast("long").alias("start"))  # one small row for each shard
-    rows = shards.join(starts, ["part", "shard"]).select("docs", "lens", "rules", "seq", "start")
+    small = shards.count() <= max_starts
+    rows = shards.join(F.broadcast(starts) if small else starts, ["part", "shard"]).select("docs", "lens", "rules", "seq", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -214,9 +254,11 @@ def read_shards(spark: SparkSession, out: str, id_col: str = "doc_id") -> DataFr
                 begin = ends[:-1] + start.as_py()
                 for lo in range(0, len(n), 1024):
                     hi = min(lo + 1024, len(n))
-                    yield pa.RecordBatch.from_arrays([names.slice(lo, hi - lo), pa.array(begin[lo:hi]), pa.ListArray.from_arrays(pa.array((ends[lo : hi + 1] - ends[lo]).astype(np.int32)), pa.array(ids[ends[lo] : ends[hi]]))], [id_col, "start", "ids"])
+                    cuts, part = (ends[lo : hi + 1] - ends[lo]).astype(np.int32), ids[ends[lo] : ends[hi]]
+                    values = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(cuts * np.int32(4)), pa.py_buffer(part)]) if packed else pa.ListArray.from_arrays(pa.array(cuts), pa.array(part))
+                    yield pa.RecordBatch.from_arrays([names.slice(lo, hi - lo), pa.array(begin[lo:hi]), values], [id_col, "start", "ids"])
 
-    return rows.mapInArrow(run, f"`{id_col}` long, start long, ids array<int>")
+    return rows.mapInArrow(run, f"`{id_col}` long, start long, ids {'binary' if packed else 'array<int>'}")
 
 
 def crc32(ids: np.ndarray) -> int:
@@ -224,8 +266,8 @@ def crc32(ids: np.ndarray) -> int:
     return zlib.crc32(np.asarray(ids, "<u4").tobytes())
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", packed: bool = False) -> DataFrame:
     """All documents through the files and back."""
     out = new_path(docs.sparkSession, "shards")
     write_shards(docs, path, out, id_col, text)
-    return read_shards(docs.sparkSession, out, id_col)
+    return read_shards(docs.sparkSession, out, id_col, packed)
