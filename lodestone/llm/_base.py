@@ -8,6 +8,7 @@ after the last written table.
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -27,7 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+    own = tempfile.mkdtemp(prefix="lodestone-")
+    atexit.register(shutil.rmtree, own, True)
+    folder = "file://" + own
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 

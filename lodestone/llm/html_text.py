@@ -47,7 +47,7 @@ _PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd figcaption".spli
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _HOLDERS = frozenset("div section aside header footer nav ul ol dl table form figure main details center menu".split())
 # Words in class, id and role that name boilerplate.
-_NAMES = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus dropdown footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notification overlay pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets complementary contentinfo alert".split())
+_NAMES = frozenset("ad adbox ads adsense adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookiebanner cookiebar cookies copyright disqus dropdown footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notification overlay pager pagination popup promo promoted promotion recommended related replies reply respond search share sharebar sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription subnav toolbar topbar widget widgets complementary contentinfo alert".split())
 _HEADER_NAMES = frozenset(("header", "masthead"))
 _WHOLE = frozenset(("html", "body", "main", "article"))
 
