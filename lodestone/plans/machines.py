@@ -173,7 +173,11 @@ def a7_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counters.totals(rel.samples(spark, sf_dir))
 
 
-@query("s16_exposition")
+_A7 = with_sql("samples") + ", a7 AS (SELECT count(*) AS connections_total, count(*) FILTER (event_type = 'signup') - count(*) FILTER (event_type = 'error') AS active_connections, count(*) FILTER (event_type = 'purchase') AS uploads_total, count(*) FILTER (event_type = 'view') AS downloads_total, count(*) FILTER (event_type = 'error') AS deletes_total, count(*) FILTER (event_type = 'click') AS replication_total, count(*) FILTER (event_type = 'error') AS errors_total, coalesce(sum(trunc(value)::BIGINT) FILTER (event_type = 'purchase'), 0)::BIGINT AS bytes_uploaded_total, coalesce(sum(trunc(value)::BIGINT) FILTER (event_type = 'view'), 0)::BIGINT AS bytes_downloaded_total FROM samples)"
+_LINES = ", ".join(f"'# HELP store_{m} {t}', '# TYPE store_{m} {k}', 'store_{m} ' || {m}" for m, k, t in counters.METRICS)
+
+
+@query("s16_exposition", f"{_A7}, l AS (SELECT [{_LINES}] AS a FROM a7) SELECT (unnest(range(1, len(a) + 1)) - 1)::INT AS line_no, unnest(a) AS line FROM l")
 def s16_exposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counters.exposition(a7_counters(spark, sf_dir))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import codecs, crypto, http, strings
+from ..functions import codecs, crypto, http, oprf, strings
 from ..sources import relations as rel
 from ..sources.relations import with_sql
 from .registry import query
@@ -202,3 +202,18 @@ def f19_f20_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     sealed = crypto.envelope(text, KEY, F.unhex(F.sha2(text, 256)), "key-1", F.substring(F.unhex(F.sha2(text, 256)), 1, 8), MAGIC, b"footer")
     rows = rel.table(spark, sf_dir, "documents").select("doc_id", sealed.alias("s"))
     return rows.withColumn("x", crypto.open_envelope(F.col("s"), KEY, MAGIC, b"footer")).select("doc_id", "x.key_id", F.sha2("x.content", 256).alias("digest"))
+
+
+@query("f21_threshold_keys", "SELECT n_nationkey, true AS agree FROM nation")
+def f21_threshold_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two blinds and two sets of shares lead to one key."""
+    shares = oprf.make_shares([1 << 200, 12345], 3)
+    scalar = lambda label: F.concat(F.unhex(F.substring(F.sha2(F.concat("n_name", F.lit(label)), 256), 1, 62)), F.lit(b"\x00"))
+    rows = rel.table(spark, sf_dir, "nation").select("n_nationkey", "n_name", scalar("a").alias("r1"), scalar("b").alias("r2"))
+    rows = rows.withColumns({f"b{k}": oprf.blind(F.col("n_name"), F.col(f"r{k}"), b"lodestone") for k in (1, 2)})
+
+    def key(k: int, chosen: list) -> F.Column:
+        answers = F.array(*(F.struct(F.lit(x).alias("share_index"), oprf.evaluate(F.col(f"b{k}"), s).alias("evaluation")) for x, s in chosen))
+        return oprf.unblind(answers, F.col(f"r{k}"), 2)
+
+    return rows.select("n_nationkey", (key(1, shares[:2]) == key(2, shares[1:])).alias("agree"))
