@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from ._base import new_path, stash
 
 #: Words in the lexicon, bytes of its longest word, and pieces that a worker remembers.
-LEXICON, LONGEST, CACHE = 131_072, 32, 400_000
+LEXICON, LONGEST, CACHE = 131_072, 32, 900_000
 _COUNTED, _SHORT, _STEPS = 1 << 18, 40, 64
 # The piece pattern of the byte-level vocabulary, with the white space that the library's engine knows.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
