@@ -28,10 +28,22 @@ def unit_fold(digest_hex: Column) -> Column:
     return mantissa.cast("double") / F.lit(float(1 << 52))
 
 
+def _bind(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once; inside a lambda nothing else keeps it from being computed at every use."""
+    return F.transform(F.array(value), f)[0]
+
+
 def score(object_hash: Column, node_key: Column, weight: Column) -> Column:
     """``-w / ln(u)``; 0 where u isn't inside (0, 1)."""
-    u = unit_fold(F.sha2(F.concat(object_hash.cast("binary"), node_key), 256))
-    return F.when((u > 0) & (u < 1), -weight / F.ln(u)).otherwise(F.lit(0.0))
+    digest = F.sha2(F.concat(object_hash.cast("binary"), node_key), 256)
+    return _bind(_bind(digest, unit_fold), lambda u: F.when((u > 0) & (u < 1), -weight / F.ln(u)).otherwise(F.lit(0.0)))
+
+
+def spread(df: DataFrame, one_split: int = 128 << 20) -> DataFrame:
+    """Rows of an input that is at most one split dealt over the cores; larger ones have splits enough."""
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > one_split:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def _ranked(keys: DataFrame, key: str, members: str, rf: int) -> Column:
@@ -55,6 +67,7 @@ def place(keys: DataFrame, nodes: DataFrame, rf: int, key: str = "object_hash",
     groups = able.groupBy(F.pmod(F.xxhash64("node_id"), F.lit(blocks)).alias("b")).agg(F.collect_list(F.struct("node_id", "weight", "decl_order", "key")).alias("members"))
     usable = F.col(key).isNotNull() & (F.col(key) != "")
     names = keys.columns
+    keys = spread(keys)
     if blocks == 1:
         out = keys.crossJoin(F.broadcast(groups.select("members")))  # one row of at most max_nodes nodes
         return out.select(*names, F.when(usable, F.transform(_ranked(out, key, "members", rf), lambda x: x["node_id"])).alias("placement"))
