@@ -35,7 +35,7 @@ from .bpe import byte_of_char
 END_ID, SHARD_IDS, ROUNDS, MIN_PAIRS, PER_ROUND = 1, 1 << 20, 12, 8, 8192
 #: Shards whose starts may be broadcast, 24 bytes each; beyond, shards and starts meet in a shuffle.
 MAX_STARTS = 1 << 20
-CACHE, _SLOT_BITS = 2_000_000, 20
+CACHE, _SLOT_BITS = 1_000_000, 20
 _MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 _SCHEMA = "part int, shard int, docs binary, lens binary, rules binary, spans binary, seq binary, n_ids long"
 
