@@ -24,7 +24,8 @@ MIN_WORDS, WINDOW, REPEAT_PERCENT = 10, 5, 20
 COMMON, LONGEST, MIN_REFERENCE = 16, 6, 2_000
 #: Divergence counts only for texts of so many words.
 GUARD_WORDS = 60
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.55
+#: A text with none of the common words is at 0.322 to 0.328; the labelled good texts of sf0.1 reach 0.311.
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.32
 _BLANK = r"[\x20\x09-\x0D]+"
 _RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
 
