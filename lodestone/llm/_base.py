@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Broadcast at most so many bytes at once; larger sides go in blocks or through a shuffle.
 MAX_BROADCAST_BYTES = 64 << 20
+#: The same in rows of a few numbers.
+MAX_BROADCAST_ROWS = 1 << 20
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -66,6 +68,42 @@ def _clean() -> None:
             return
 
 
+def col(name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def boxed(docs: DataFrame, name: str = "row") -> Column:
+    """All columns of ``docs`` as one, so that no name can clash; ``select("row.*")`` opens it."""
+    return F.struct(*(col(c) for c in docs.columns)).alias(name)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A stashed table, to be broadcast if it has at most ``MAX_BROADCAST_ROWS`` rows; beyond, joins shuffle."""
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
+
+
+def only(docs: DataFrame, rows: DataFrame, stay: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of ``docs`` the rows that stay, with all their columns.
+
+    ``rows(id, th, sig)`` has every document's class, ``stay(sig, stay)`` the first document of each, as a struct
+    with ``id`` and ``th``; of rows equal to it in both one stays.
+    """
+    keyed = docs.select(boxed(docs), col(id_col).alias("id"), text_hash(col(text_col)).alias("th"))
+
+    def among(table: DataFrame) -> Column:
+        return keyed["id"].eqNullSafe(table["i"]) & (keyed["th"] == table["t"])
+
+    told = rows.join(stay, "sig").select(F.col("id").alias("i"), F.col("th").alias("t"), (F.col("id").eqNullSafe(F.col("stay.id")) & (F.col("th") == F.col("stay.th"))).alias("first"))
+    told = stash(told.groupBy("i", "t", "first").agg(F.count(F.lit(1)).alias("n")).where("not first or n > 1"), "told")
+    gone, twice = (small(stash(told.where(x).select("i", "t"), "gone")) for x in ("not first", "first"))
+    keyed = keyed.join(gone, among(gone), "left_anti")
+    if twice.isEmpty():
+        return keyed.select("row.*")
+    once = keyed.join(twice, among(twice), "left_semi").groupBy("id", "th").agg(F.first("row").alias("row"))
+    return keyed.join(twice, among(twice), "left_anti").select("row").unionByName(once.select("row")).select("row.*")
+
+
 def text_hash(text: Column) -> Column:
     """Tells rows of one id apart by their text; never null."""
     return F.xxhash64(text)

@@ -2,26 +2,32 @@
 
 Documents are ordered by id, encoded, and cut into shards of about
 ``SHARD_IDS`` ids.  Within a shard the frequent pairs of neighbouring symbols
-are replaced by nonterminals, again and again, until no pair is frequent; each
-round replaces all pairs of its upper ranks at once, the occurrences from left
-to right without overlap.  A shard stores its rules (two symbols each), the
-expansion length of every nonterminal, the remaining sequence and its
-documents' lengths, so any range of ids can be decoded without the rest.
+are replaced by nonterminals, again and again, until no pair stands
+``MIN_PAIRS`` times or more.  While more than ``PER_ROUND`` pairs are frequent,
+a round replaces those of the upper ranks; then it replaces all, and the rounds
+that follow count only pairs with a symbol of the round before, as no other can
+have become more frequent.  Occurrences go from left to right without overlap.
+A shard stores its rules (two symbols each), the expansion length of every
+nonterminal, the remaining sequence and its documents' lengths, so any range of
+ids can be decoded without the rest.
 
 Shards are rows of a Parquet folder, one binary column for each part, since
 Spark's writer is the way to shared storage that survives lost tasks.  The
-ids' place in the whole corpus follows from one row for each shard.
+ids' place in the whole corpus follows from the sums of the writing tasks.
 
-Null text encodes to no ids before the end id.  Order: id, null first, then the
-text's hash; rows that tie there are equal.  Empty tables give an empty
-folder; only id and text are read.
+Words are encoded once and remembered by their bytes; a batch is cut into words
+and looked up as a whole.  Null text encodes to no ids before the end id.
+Order: id, null first, then the text's hash; rows that tie there are equal.
+Very long texts are one document of a shard that is as long.  Empty tables give
+an empty folder; only id and text are read.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,118 +35,166 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ._base import new_path, text_hash
+from ._base import new_path, small, stash, text_hash
 from .bpe import byte_of_char
+from .merges import Merges
+from .words import SHORT, Memory, cut, flat, gather, lowered, slices
 
-END_ID, SHARD_IDS, ROUNDS, MIN_PAIRS, PER_ROUND = 1, 1 << 20, 12, 8, 8192
-#: Shards whose starts may be broadcast, 24 bytes each; beyond, shards and starts meet in a shuffle.
-MAX_STARTS = 1 << 20
-CACHE, _SLOT_BITS = 1_000_000, 20
-_MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+END_ID, SHARD_IDS, MIN_PAIRS, PER_ROUND = 1, 1 << 20, 8, 8192
+_SLICE, _SLOT_BITS = 4 << 20, 20
 _SCHEMA = "part int, shard int, docs binary, lens binary, rules binary, spans binary, seq binary, n_ids long"
 
 
-class WordEncoder(dict):
-    """Ids of whole texts by the tokenizers library, with the ids of blank-separated words remembered.
+class WordEncoder:
+    """Ids of texts as the tokenizers library has them, word by word.
 
-    The vocabulary's rules never look across ASCII blanks, and neither does its
-    normaliser, as no character composes with a blank; texts with rarer
-    separators go to the library as a whole.  Words of Latin-1 letters are one
-    piece for the library's model, and so are ASCII marks behind them; others
-    pass its whole chain.
+    The vocabulary's rules never look across ASCII blanks, nor from letters to a
+    mark behind them, and only behind an apostrophe from a mark to letters; no
+    character composes across these places.  So texts are cut there.  A word of
+    small Latin letters is one piece, and all such words of a batch that are new
+    are merged together; other words go to the library.  Capitals count as small
+    ones if an ASCII character follows, so that no mark composes with them.
     """
 
-    #: Separators on which the library and str.split() may differ.
-    _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u1680", "\u2028", "\u2029", "\u202f", "\u205f", "\u3000", *map(chr, range(0x2000, 0x200B)))
-
     def __init__(self, spec: str):
-        super().__init__()
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.pieces, self.stand_ins = self.tokenizer.model.tokenize, {b: c for c, b in byte_of_char().items()}
-        self.ends: dict[str, bytes] = {}
-
-    def __missing__(self, word: str) -> bytes:
-        if word.isalpha() and (word.isascii() or max(word) < "\u0100"):
-            if word.islower():  # one piece, in the bytes' stand-ins
-                piece = word if word.isascii() else "".join(map(self.stand_ins.__getitem__, word.encode()))
-                out = array("I", [t.id for t in self.pieces(piece)]).tobytes()
-            else:
-                out = self[word.lower()]
-        elif (core := word.rstrip(_MARKS)) and len(core) < len(word) and core.isalpha() and (core.isascii() or max(core) < "\u0100"):
-            out = self[core.lower()] + self._end(word[len(core) :])
-        else:
-            out = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        if len(self) >= CACHE:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = out
-        return out
-
-    def _end(self, marks: str) -> bytes:
-        """Marks in a row are one piece, whatever stands before them."""
-        out = self.ends.get(marks)
-        if out is None:
-            out = array("I", self.tokenizer.encode(marks, add_special_tokens=False).ids).tobytes()
-            if len(self.ends) < 10_000:
-                self.ends[marks] = out
-        return out
-
-    def encode(self, text: str) -> np.ndarray:
-        if any(c in text for c in self._ODD):
-            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        return np.frombuffer(b"".join(map(self.__getitem__, text.split())), "<u4")
-
-
-def compress(ids: np.ndarray, rounds: int = ROUNDS, min_pairs: int = MIN_PAIRS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        model = json.loads(spec)["model"]
+        ids, char_of = model["vocab"], {b: c for c, b in byte_of_char().items()}
+        ending = model["end_of_word_suffix"]
+        self.inner, self.final = (np.array([ids[char_of[b] + x] for b in range(256)], np.int32) for x in ("", ending))
+        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        self.merges = Merges(*(np.array([ids[x] for x in side]) for side in ([a for a, _ in pairs], [b for _, b in pairs], [a + b for a, b in pairs])))
+        self.memory = Memory(self._new)
+
+    def _new(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, and their numbers."""
+        size = ends - starts
+        most = 2 * SHORT
+        cells = np.minimum(starts[:, None] + np.arange(most + 1), len(data) - 1)
+        inside = np.arange(most + 1) < size[:, None]
+        c = data[cells]
+        c[~inside] = 97
+        letter, lead = (c >= 97) & (c <= 122), c == 0xC3
+        behind = np.zeros_like(lead)
+        behind[:, 1:] = lead[:, :-1]
+        fine = behind & (c >= 0x9F) & (c <= 0xBF) & (c != 0xB7) | ~behind & (letter | lead)
+        plain = fine.all(axis=1) & (size <= most)
+        counts = np.zeros(len(size), np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        for low, high in pairwise((0, 4, 6, 8, 10, 12, SHORT, most)):
+            at = np.flatnonzero(plain & (size > low) & (size <= high))
+            if not len(at):
+                continue
+            rows = np.where(inside[at, :high], self.inner[c[at, :high]], -1)
+            rows[np.arange(len(at)), size[at] - 1] = self.final[c[at, size[at] - 1]]
+            ids, counts[at] = self.merges.run(rows)
+            parts.append((at, ids))
+        at = np.flatnonzero(~plain)
+        found = [self.tokenizer.encode(data[i:j].tobytes().decode(), add_special_tokens=False).ids for i, j in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        counts[at] = [len(x) for x in found]
+        parts.append((at, np.array([k for x in found for k in x], np.uint32)))
+        begin = np.cumsum(counts) - counts
+        out = np.empty(int(counts.sum()), np.uint32)
+        for at, ids in parts:
+            n = counts[at]
+            out[np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+        return out, counts
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one behind the other, and each text's number of ids."""
+        data, ends = flat(texts)
+        plain = b"<|" not in data.tobytes()  # a special token's string holds letters and marks
+        if plain:
+            lowered(data)
+        opens, closes = cut(data, ends, marks=plain)
+        at, n = self.memory.look(data, opens, closes)
+        total = np.r_[0, np.cumsum(n)]
+        return gather(self.memory.ids, at, n), np.diff(total[np.searchsorted(opens, ends)])
+
+
+def compress(ids: np.ndarray, min_pairs: int = MIN_PAIRS, per_round: int = PER_ROUND) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(rules, lengths, sequence)``: nonterminal k stands for ``rules[k]``; its id is the first free one plus k.
 
-    ``sequence`` has that first free id before its symbols.  A round ends the work if it saves too little.
+    ``sequence`` has that first free id before its symbols.
     """
-    seq = ids.astype(np.uint64)
+    seq = ids.astype(np.uint32)
     base = int(seq.max(initial=0)) + 1
     rules: list[np.ndarray] = []
-    n_rules = 0
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        pairs = seq[:-1] << np.uint64(32) | seq[1:]
-        ordered = np.sort(pairs)
-        cuts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1], True])
-        counts = np.diff(cuts)
-        often = np.flatnonzero(counts >= min_pairs)
-        if not len(often):
-            break
-        if len(often) > PER_ROUND:
-            often = often[np.argpartition(-counts[often], PER_ROUND)[:PER_ROUND]]
-        keys = ordered[cuts[often]]
-        # a table of slots finds a pair in one step; of keys that share a slot one waits for the next round
-        table = np.zeros(1 << _SLOT_BITS, np.uint32)
-        table[_slot(keys)] = np.arange(len(keys), dtype=np.uint32)
-        where = table[_slot(pairs)]
-        at = np.flatnonzero(keys[where] == pairs)
-        # of overlapping occurrences every other one from the left
-        count = np.arange(len(at))
-        run = np.maximum.accumulate(np.where(np.r_[True, np.diff(at) > 1], count, 0))
-        at = at[(count - run) % 2 == 0]
-        which = where[at]
-        used = np.bincount(which, minlength=len(keys)) > 0
-        seq[at] = (np.cumsum(used) - 1 + base + n_rules).astype(np.uint64)[which]
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq = seq[keep]
-        rules.append(keys[used])
-        n_rules += int(used.sum())
-        if len(at) * 200 < len(seq):
-            break
-    flat = np.concatenate(rules) if rules else np.empty(0, np.uint64)
-    table = np.stack([flat >> np.uint64(32), flat & np.uint64(0xFFFFFFFF)], axis=1).astype("<u4")
-    return table, expansion_lengths(table, base), np.r_[np.uint64(base), seq].astype("<u4")
-
-
-def _slot(pairs: np.ndarray) -> np.ndarray:
-    return (pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)
+    free = base
+    whole = True
+    while whole and len(seq) > 1:
+        pairs = _pairs(seq)
+        keys, counts = _often(pairs, min_pairs)
+        whole = len(keys) > per_round
+        if whole:
+            keys = keys[np.argpartition(-counts, per_round)[:per_round]]
+        seq, fresh, made = _replace(seq, *_among(keys, pairs), keys, free)
+        rules.append(made)
+        free += len(made)
+    # all frequent pairs have gone at once; from here on only pairs with a symbol of the last round can be frequent
+    while rules and len(rules[-1]):
+        near = np.zeros(len(seq) + 1, bool)
+        near[fresh] = near[fresh - 1] = True  # place -1 is the one added
+        near = np.flatnonzero(near[: len(seq) - 1])
+        pairs = _pairs(seq, near)
+        keys, _ = _often(pairs, min_pairs)
+        at, which = _among(keys, pairs)
+        seq, fresh, made = _replace(seq, near[at], which, keys, free)
+        rules.append(made)
+        free += len(made)
+    pair = np.concatenate(rules) if rules else np.empty(0, np.uint64)
+    table = np.stack([pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF)], axis=1).astype("<u4")
+    return table, expansion_lengths(table, base), np.r_[np.uint32(base), seq].astype("<u4")
+
+
+def _pairs(seq: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """Neighbouring symbols as one number, at all places or some."""
+    left, right = (seq[:-1], seq[1:]) if at is None else (seq[at], seq[at + 1])
+    return left.astype(np.uint64) << np.uint64(32) | right
+
+
+def _often(pairs: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs that stand ``least`` times or more, and how often."""
+    ordered = np.sort(pairs)
+    cuts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1], True]) if len(pairs) else np.zeros(1, np.int64)
+    counts = np.diff(cuts)
+    some = np.flatnonzero(counts >= least)
+    return ordered[cuts[some]], counts[some]
+
+
+def _among(keys: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs that are among ``keys``, and which; a table of slots finds a pair in one step."""
+    where = np.full(len(pairs), -1, np.int64)
+    left, bits = np.arange(len(keys)), _SLOT_BITS
+    while len(left):  # keys that share a slot get tables of their own
+        table = np.full(1 << bits, -1, np.int32)
+        table[_slot(keys[left], bits)] = left
+        found = table[_slot(pairs, bits)]
+        held = (found >= 0) & (keys[found] == pairs)
+        where[held] = found[held]
+        left, bits = left[table[_slot(keys[left], bits)] != left], bits - 1
+    at = np.flatnonzero(where >= 0)
+    return at, where[at]
+
+
+def _replace(seq: np.ndarray, at: np.ndarray, which: np.ndarray, keys: np.ndarray, free: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sequence with its pairs ``keys[which]`` at places ``at`` replaced, where the new symbols stand, and the rules made."""
+    # of overlapping occurrences every other one from the left
+    count = np.arange(len(at))
+    run = np.maximum.accumulate(np.where(np.r_[True, np.diff(at) > 1], count, 0)) if len(at) else count
+    odd = (count - run) % 2 == 0
+    at, which = at[odd], which[odd]
+    used = np.bincount(which, minlength=len(keys)) > 0
+    seq[at] = (np.cumsum(used) - 1 + free).astype(np.uint32)[which]
+    keep = np.ones(len(seq), bool)
+    keep[at + 1] = False
+    return seq[keep], at - np.arange(len(at)), keys[used]
+
+
+def _slot(pairs: np.ndarray, bits: int) -> np.ndarray:
+    return (pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
 
 
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
@@ -189,12 +243,21 @@ def decode_range(rules: np.ndarray, lengths: np.ndarray, seq: np.ndarray, start:
 _encoders: dict[int, WordEncoder] = {}
 
 
+def _shard(part: int, shard: int, ids: np.ndarray, names: pa.Array, lens: np.ndarray) -> pa.RecordBatch:
+    rules, spans, seq = compress(ids)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([("id", pa.int64())])) as w:
+        w.write_batch(pa.RecordBatch.from_arrays([names], ["id"]))
+    blobs = [sink.getvalue().to_pybytes(), lens.astype("<u4").tobytes(), rules.tobytes(), spans.tobytes(), seq.tobytes()]
+    columns = [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs), pa.array([len(ids)], pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, ["part", "shard", "docs", "lens", "rules", "spans", "seq", "n_ids"])
+
+
 def write_shards(docs: DataFrame, path: str, out: str, id_col: str = "doc_id", text: str = "text", end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> None:
     """Writes all documents in ascending id order; ``path`` names the vocabulary file on the driver."""
     with open(path, encoding="utf-8") as f:
         raw = f.read()
     spec, key = docs.sparkSession.sparkContext.broadcast(raw), zlib.crc32(raw.encode())
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -204,29 +267,30 @@ def write_shards(docs: DataFrame, path: str, out: str, id_col: str = "doc_id", t
             _encoders.clear()
             _encoders[key] = WordEncoder(spec.value)
         e = _encoders[key]
-        shard, parts, names, lens, size = 0, [], [], [], 0
+        shard, size = 0, 0
+        held: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            rules, spans, seq = compress(ids)
-            head = pa.array(names, pa.int64())
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, pa.schema([("id", pa.int64())])) as w:
-                w.write_batch(pa.RecordBatch.from_arrays([head], ["id"]))
-            blobs = [sink.getvalue().to_pybytes(), np.array(lens, "<u4").tobytes(), rules.tobytes(), spans.tobytes(), seq.tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs), pa.array([len(ids)], pa.int64())], ["part", "shard", "docs", "lens", "rules", "spans", "seq", "n_ids"])
+            ids, names, lens = zip(*held, strict=True)
+            return _shard(part, shard, np.concatenate(ids), pa.concat_arrays(names), np.concatenate(lens))
 
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = e.encode(t or "")
-                parts += [ids.tobytes(), end]
-                names.append(i)
-                lens.append(len(ids) + 1)
-                size += len(ids) + 1
-                if size >= shard_ids:
-                    yield flush()
-                    shard, parts, names, lens, size = shard + 1, [], [], [], 0
-        if names:
+            first = 0
+            for texts in slices(b.column(1), _SLICE):
+                names = b.column(0).slice(first, len(texts))
+                first += len(texts)
+                ids, lens = e.encode(texts)
+                ids, lens = np.insert(ids, np.cumsum(lens), end_id), lens + 1
+                total = np.r_[0, np.cumsum(lens)]
+                at = 0
+                while at < len(lens):  # a shard ends with the document that fills it
+                    to = min(int(np.searchsorted(total, total[at] + shard_ids - size)), len(lens))
+                    held.append((ids[total[at] : total[to]], names.slice(at, to - at), lens[at:to]))
+                    size, at = size + int(total[to] - total[at]), to
+                    if size >= shard_ids:
+                        yield flush()
+                        shard, size, held = shard + 1, 0, []
+        if held:
             yield flush()
 
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text).cast("string").alias("t"))
@@ -234,13 +298,16 @@ def write_shards(docs: DataFrame, path: str, out: str, id_col: str = "doc_id", t
     rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, _SCHEMA).write.parquet(out)
 
 
-def read_shards(spark: SparkSession, out: str, id_col: str = "doc_id", packed: bool = False, max_starts: int = MAX_STARTS) -> DataFrame:
+def read_shards(spark: SparkSession, out: str, id_col: str = "doc_id", packed: bool = False) -> DataFrame:
     """``(id, start, ids array<int>)`` of every document, decoded from the folder; ``packed`` gives ids as little-endian bytes."""
     shards = spark.read.schema(_SCHEMA).parquet(out)
-    before = F.coalesce(F.sum("n_ids").over(Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = shards.select("part", "shard", "n_ids").select("part", "shard", before.cast("long").alias("start"))  # one small row for each shard
-    small = shards.count() <= max_starts
-    rows = shards.join(F.broadcast(starts) if small else starts, ["part", "shard"]).select("docs", "lens", "rules", "seq", "start")
+    # one sum for each writing task, of which the driver has kept more than that already
+    sums = sorted(tuple(r) for r in shards.groupBy("part").agg(F.sum("n_ids")).collect())
+    before = np.cumsum([0, *(n for _, n in sums)]).tolist()
+    parts = spark.createDataFrame([(p, n) for (p, _), n in zip(sums, before, strict=False)], "part int, zero long")
+    earlier = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = shards.select("part", "shard", "n_ids").select("part", "shard", earlier.alias("earlier")).join(F.broadcast(parts), "part").select("part", "shard", (F.col("zero") + F.col("earlier")).cast("long").alias("start"))
+    rows = shards.join(small(stash(starts, "starts")), ["part", "shard"]).select("docs", "lens", "rules", "seq", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -5,14 +5,16 @@ from __future__ import annotations
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodestone.llm import archive, bpe, decontam, html_text, line_dedup, pii, quality, repair, secrets, simhash
+from lodestone.llm import archive, bpe, decontam, html_text, line_dedup, pii, quality, repair, secrets, simhash, words
 from lodestone.llm._base import connected_components
 from lodestone.llm.queries import tokenizer_path
 
@@ -239,9 +241,11 @@ def test_token_shards_order_of_nulls_and_ties(spark):
 
 def test_grammar_round_trips():
     rnd = random.Random(11)
-    for n in (0, 1, 2, 50, 3000):
+    for n, least, some in ((0, 2, 9), (1, 2, 9), (2, 2, 9), (50, 2, 9), (3000, 2, 9), (3000, 5, 1), (3000, 3, 4)):
         ids = np.array([rnd.choice((1, 5, 5, 7, 49_000)) for _ in range(n)], "<u4")
-        rules, lens, seq = repair.compress(ids, min_pairs=2)
+        rules, lens, seq = repair.compress(ids, min_pairs=least, per_round=some)
+        left = Counter(zip(seq[1:].tolist(), seq[2:].tolist(), strict=False))
+        assert max(left.values(), default=0) < least  # no pair is frequent in the end
         assert repair.expand(rules, seq[1:], int(seq[0])).tolist() == ids.tolist()
         for k in range(len(rules)):
             assert len(repair.expand(rules, np.array([int(seq[0]) + k]), int(seq[0]))) == lens[k]
@@ -252,10 +256,28 @@ def test_word_encoder_equals_the_library():
     lib = Tokenizer.from_file(path)
     with open(path, encoding="utf-8") as f:
         e, rnd = repair.WordEncoder(f.read()), random.Random(13)
-    alphabet = "aB \xe9́ \n\t's\xdf日\x85\xa0 \x1c9\xb2İ"
-    for _ in range(3000):
-        s = "".join(rnd.choice(alphabet) if rnd.random() < 0.95 else "<|endoftext|>" for _ in range(rnd.randint(0, 30)))
-        assert lib.encode(s, add_special_tokens=False).ids == e.encode(s).tolist(), repr(s)
+    alphabet = "aBHtrES \xe9\xc9\xdf\xf7\xd7\u0301\u0331 \n\t\r\x0b\x00's'.(日\x85\xa0\u2003\x1c9\xb2İ"
+    rows = ["".join(rnd.choice(alphabet) if rnd.random() < 0.95 else rnd.choice(("<|endoftext|>", "<|ENDOFTEXT|>")) for _ in range(rnd.randint(0, 30))) for _ in range(3000)]
+    rows += ["".join(rnd.choice("aBHtrE\xe9\xc9\xdf s'.(,\u0331") for _ in range(rnd.randint(0, 40))) for _ in range(3000)] + [None, "", "x" * 5000, "abc" * 10]
+    for at in range(0, len(rows), 500):  # the first have special tokens in every batch, the others in none
+        ids, n = e.encode(pa.array(rows[at : at + 500]))
+        for s, got in zip(rows[at : at + 500], np.split(ids, np.cumsum(n)[:-1]), strict=True):
+            assert lib.encode(s or "", add_special_tokens=False).ids == got.tolist(), repr(s)
+
+
+def test_word_memory_forgets_and_evicts():
+    calls, rnd = [], random.Random(3)
+
+    def make(data, starts, ends):
+        calls.append(len(starts))
+        return data[starts].astype(np.uint32), np.ones(len(starts), np.int64)
+
+    m = words.Memory(make, bits=2, most=40)
+    for _ in range(30):
+        raw = [rnd.choice("abcdefgh") * k for k in range(1, 20)]
+        data, ends = words.flat(pa.array([" ".join(raw)]))
+        at, n = m.look(data, *words.cut(data, ends))
+        assert words.gather(m.ids, at, n).tolist() == [ord(w[0]) for w in raw]
 
 
 def test_archives(spark):
