@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .strings import cut_at_null, pad, pad_int
+from .strings import MAX_HASH, MAX_NAME, MAX_PATH, MAX_SIZE, cut_at_null, has_traversal_chars, is_unsafe_key, pad, pad_int
 
-MAX_BEAT = 256
+MAX_BEAT, MAX_PAYLOAD = 256, 1 << 20
 
 
 def big_endian(v: Column, size: int) -> Column:
@@ -27,73 +27,195 @@ def handshake(token: Column, stamp: Column, mode: Column) -> Column:
     return F.concat(pad(token, 64), pad(stamp, 19), pad(mode, 1))
 
 
-def metadata_frame(name: Column, object_hash: Column, size: Column) -> Column:
-    """192 bytes: name, hash and size, 64 each."""
-    return F.concat(pad(name, 64), pad(object_hash, 64), pad_int(size, 64))
+def metadata_frame(object_hash: Column, name: Column, size: Column) -> Column:
+    """192 bytes: hash, name and size, 64 each."""
+    return F.concat(pad(object_hash, 64), pad(name, 64), pad_int(size, 64))
 
 
 def read_metadata(frame: Column) -> Column:
-    """A struct ``name, object_hash, size``; null for another length."""
+    """A struct ``object_hash, name, size``; null for another length."""
     part = lambda at: cut_at_null(F.decode(F.substring(frame, at + 1, 64), "UTF-8"))
-    return F.when(F.octet_length(frame) == 192, F.struct(part(0).alias("name"), part(64).alias("object_hash"), part(128).try_cast("bigint").alias("size")))
+    return F.when(F.octet_length(frame) == 192, F.struct(part(0).alias("object_hash"), part(64).alias("name"), part(128).try_cast("bigint").alias("size")))
+
+
+def ack(server: Column) -> Column:
+    """Four bytes: a word and the server's id; null for an id beyond a byte."""
+    return F.when(server.between(0, 255), F.concat(F.lit(b"ACK"), big_endian(server, 1)))
+
+
+def read_ack(b: Column) -> Column:
+    """The server's id; null for anything but an acknowledgement."""
+    return F.when((F.octet_length(b) == 4) & (F.substring(b, 1, 3) == F.lit(b"ACK")), read_int(b, 3, 1))
+
+
+def _signed(v: Column) -> Column:
+    """Four bytes as a signed number."""
+    return F.when(v >= 1 << 31, v - (1 << 32)).otherwise(v)
+
+
+def _part(b: Column, at: Column | int, n: Column) -> Column:
+    place = (F.lit(at) if isinstance(at, int) else at) + 1
+    return F.substring(b, place.cast("int"), n.cast("int"))
+
+
+def _text(b: Column, at: Column | int, n: Column) -> Column:
+    return F.decode(_part(b, at, n), "UTF-8")
+
+
+def _fits(b: Column) -> Column:
+    return F.octet_length(b) <= MAX_PAYLOAD
 
 
 def rpc(sender: Column, kind: Column, payload: Column) -> Column:
-    return F.concat(big_endian(sender, 4), big_endian(kind, 1), big_endian(F.octet_length(payload), 4), payload)
+    """Length of what follows 4, kind 1, sender 4, payload."""
+    return F.concat(big_endian(F.octet_length(payload) + 5, 4), big_endian(kind, 1), big_endian(sender, 4), payload)
 
 
 def read_rpc(b: Column) -> Column:
-    n = read_int(b, 5, 4)
-    sender = read_int(b, 0, 4)
-    return F.when(F.octet_length(b) == 9 + n, F.struct(F.when(sender >= 1 << 31, sender - (1 << 32)).otherwise(sender).alias("sender"), read_int(b, 4, 1).alias("kind"), F.substring(b, F.lit(10), n.cast("int")).alias("payload")))
+    n = read_int(b, 0, 4)
+    return F.when(n.between(5, 1 << 20) & (F.octet_length(b) >= 4 + n), F.struct(_signed(read_int(b, 5, 4)).alias("sender"), read_int(b, 4, 1).alias("kind"), _part(b, 9, n - 5).alias("payload")))
 
 
 def ping(ping_id: Column, target: Column, ts: Column) -> Column:
+    """Id 8, target 4, time 8."""
     return F.concat(big_endian(ping_id, 8), big_endian(target, 4), big_endian(ts, 8))
 
 
 def read_ping(b: Column) -> Column:
-    return F.when(F.octet_length(b) == 20, F.struct(read_int(b, 0, 8).alias("ping_id"), read_int(b, 8, 4).alias("target"), read_int(b, 12, 8).alias("ts")))
+    return F.when(_fits(b) & (F.octet_length(b) >= 20), F.struct(read_int(b, 0, 8).alias("ping_id"), _signed(read_int(b, 8, 4)).alias("target"), read_int(b, 12, 8).alias("ts")))
 
 
 def lease(lease_id: Column, key: Column, expiry: Column) -> Column:
+    """Id 8, key's length 4, key, expiry 8."""
     k = key.cast("binary")
-    return F.concat(big_endian(lease_id, 8), big_endian(expiry, 8), big_endian(F.octet_length(k), 2), k)
+    return F.concat(big_endian(lease_id, 8), big_endian(F.octet_length(k), 4), k, big_endian(expiry, 8))
 
 
 def read_lease(b: Column) -> Column:
-    n = read_int(b, 16, 2)
-    return F.when(F.octet_length(b) == 18 + n, F.struct(read_int(b, 0, 8).alias("lease_id"), F.decode(F.substring(b, F.lit(19), n.cast("int")), "UTF-8").alias("key"), read_int(b, 8, 8).alias("expiry")))
+    n = read_int(b, 8, 4)
+    return F.when(_fits(b) & (F.octet_length(b) >= 20 + n), F.struct(read_int(b, 0, 8).alias("lease_id"), _text(b, 12, n).alias("key"), read_int(b, (n + 12).cast("int"), 8).alias("expiry")))
 
 
 def query(kind: Column, request_id: Column, data: Column) -> Column:
-    return F.concat(big_endian(kind, 1), big_endian(request_id, 8), big_endian(F.octet_length(data), 4), data)
+    """Kind 1, id 8, data to the end."""
+    return F.concat(big_endian(kind, 1), big_endian(request_id, 8), data)
 
 
 def read_query(b: Column) -> Column:
+    return F.when(_fits(b) & (F.octet_length(b) >= 9), F.struct(read_int(b, 0, 1).alias("kind"), read_int(b, 1, 8).alias("request_id"), _part(b, 9, F.octet_length(b)).alias("data")))
+
+
+def response(request_id: Column, data: Column, error: Column) -> Column:
+    """Id 8, data's length 4, data, error's length 2, error."""
+    e = error.cast("binary")
+    return F.concat(big_endian(request_id, 8), big_endian(F.octet_length(data), 4), data, big_endian(F.octet_length(e), 2), e)
+
+
+def read_response(b: Column) -> Column:
+    n = read_int(b, 8, 4)
+    m = F.when(F.octet_length(b) >= 14 + n, read_int(b, (n + 12).cast("int"), 2))
+    return F.when(_fits(b) & (F.octet_length(b) >= 14 + n + m), F.struct(read_int(b, 0, 8).alias("request_id"), _part(b, 12, n).alias("data"), _text(b, n + 14, m).alias("error")))
+
+
+def oprf_request(request_id: Column, share: Column, blinded: Column) -> Column:
+    """Id 8, share's index 1, length 4, blinded element."""
+    return F.concat(big_endian(request_id, 8), big_endian(share, 1), big_endian(F.octet_length(blinded), 4), blinded)
+
+
+def read_oprf_request(b: Column) -> Column:
     n = read_int(b, 9, 4)
-    return F.when(F.octet_length(b) == 13 + n, F.struct(read_int(b, 0, 1).alias("kind"), read_int(b, 1, 8).alias("request_id"), F.substring(b, F.lit(14), n.cast("int")).alias("data")))
+    return F.when(_fits(b) & (F.octet_length(b) >= 13 + n), F.struct(read_int(b, 0, 8).alias("request_id"), read_int(b, 8, 1).alias("share_index"), _part(b, 13, n).alias("blinded")))
+
+
+def oprf_response(request_id: Column, share: Column, error: Column, evaluation: Column) -> Column:
+    """Id 8, share's index 1, error's length 2, error, length 4, evaluation."""
+    e = error.cast("binary")
+    return F.concat(big_endian(request_id, 8), big_endian(share, 1), big_endian(F.octet_length(e), 2), e, big_endian(F.octet_length(evaluation), 4), evaluation)
+
+
+def read_oprf_response(b: Column) -> Column:
+    m = read_int(b, 9, 2)
+    n = F.when(F.octet_length(b) >= 15 + m, read_int(b, (m + 11).cast("int"), 4))
+    return F.when(_fits(b) & (F.octet_length(b) >= 15 + m + n), F.struct(read_int(b, 0, 8).alias("request_id"), read_int(b, 8, 1).alias("share_index"), _text(b, 11, m).alias("error"), _part(b, m + 15, n).alias("evaluation")))
+
+
+def heartbeat_peers(peers: Column, own: Column) -> Column:
+    """The peers that a heartbeat names: the first 256 without the sender."""
+    return F.slice(F.filter(peers, lambda p: p["id"] != own), 1, MAX_BEAT)
 
 
 def heartbeat(peers: Column) -> Column:
-    """At most 256 peers of ``(id, addr)``: count, then id, address length and address of each."""
-    kept = F.slice(peers, 1, MAX_BEAT)
+    """Peers of ``(id, addr)``: their number 4, then id 4, address length 2 and address of each."""
     one = lambda p: F.concat(big_endian(p["id"], 4), big_endian(F.octet_length(p["addr"]), 2), p["addr"].cast("binary"))
-    return F.aggregate(F.transform(kept, one), big_endian(F.size(kept), 2), lambda a, x: F.concat(a, x))
+    return F.concat(big_endian(F.size(peers), 4), joined(F.transform(peers, one)))
 
 
 def read_heartbeat(b: Column) -> Column:
     """The peers of a heartbeat, walked record by record; null for a broken one."""
-    n = read_int(b, 0, 2)
-    zero = F.struct(F.lit(2).cast("bigint").alias("at"), F.array().cast("array<struct<id:bigint,addr:string>>").alias("p"))
+    n = read_int(b, 0, 4)
+
+    def entry(at: Column) -> tuple[Column, Column, Column]:
+        size = read_int(b, (at + 4).cast("int"), 2)
+        return F.struct(_signed(read_int(b, at.cast("int"), 4)).alias("id"), _text(b, at + 6, size).alias("addr")), at + 6 + size, F.lit(True)
+
+    return F.when(_fits(b) & (F.octet_length(b) >= 4) & (n * 6 <= F.octet_length(b) - 4), _walk(b, n, 4, "struct<id:bigint,addr:string>", entry))
+
+
+def file_list(files: Column) -> Column:
+    """Files of ``(name, object_hash, size, remote_path, mod_time)``; those beyond the limits are left out.
+
+    Their number 4, then name and hash behind lengths of 4, size 8, path behind its length, time 8.
+    """
+
+    def held(x: Column) -> Column:
+        b = x.cast("binary")
+        return F.concat(big_endian(F.octet_length(b), 4), b)
+
+    kept = F.filter(files, lambda f: (F.octet_length(f["name"]) <= MAX_NAME) & (F.octet_length(f["object_hash"]) <= MAX_HASH) & (F.octet_length(f["remote_path"]) <= MAX_PATH))
+    one = lambda f: F.concat(held(f["name"]), held(f["object_hash"]), big_endian(f["size"], 8), held(f["remote_path"]), big_endian(f["mod_time"], 8))
+    return F.concat(big_endian(F.size(kept), 4), joined(F.transform(kept, one)))
+
+
+def read_file_list(b: Column) -> Column:
+    """The files of a list; null if any of its entries is cut, too long or unsafe."""
+    n = read_int(b, 0, 4)
+    long_ = lambda at: read_int(b, at.cast("int"), 4)
+
+    def entry(at: Column) -> tuple[Column, Column, Column]:
+        a = long_(at)
+        h_at = at + 4 + a
+        h = long_(h_at)
+        s_at = h_at + 4 + h
+        p = long_(s_at + 8)
+        t_at = s_at + 12 + p
+        name, digest, size = _text(b, at + 4, a), _text(b, h_at + 4, h), read_int(b, s_at.cast("int"), 8)
+        good = (a <= MAX_NAME) & (h <= MAX_HASH) & (p <= MAX_PATH) & size.between(0, MAX_SIZE) & ~has_traversal_chars(digest) & ~is_unsafe_key(name)
+        return F.struct(name.alias("name"), digest.alias("object_hash"), size.alias("size"), _text(b, s_at + 12, p).alias("remote_path"), read_int(b, t_at.cast("int"), 8).alias("mod_time")), t_at + 8, good
+
+    return F.when((F.octet_length(b) >= 4) & (n * 28 <= F.octet_length(b) - 4), _walk(b, n, 4, "struct<name:string,object_hash:string,size:bigint,remote_path:string,mod_time:bigint>", entry))
+
+
+def joined(parts: Column) -> Column:
+    """Binary parts one behind the other in one step; a fold would copy what is there for each of them."""
+    return F.array_join(F.transform(parts, lambda x: x.cast("string")), "").cast("binary")
+
+
+def bind(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once, as the only element of an array; a lambda would compute it at every use."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _walk(b: Column, n: Column, start: int, kind: str, entry) -> Column:
+    """``n`` entries from a place on; ``entry(at)`` gives one, the place behind it and whether it is good. Null if one isn't."""
+    zero = F.struct(F.lit(start).cast("bigint").alias("at"), F.array().cast(f"array<{kind}>").alias("p"))
 
     def step(s: Column, _: Column) -> Column:
-        size = read_int(b, s["at"].cast("int") + 4, 2)
-        one = F.struct(read_int(b, s["at"].cast("int"), 4).alias("id"), F.decode(F.substring(b, (s["at"] + 7).cast("int"), size.cast("int")), "UTF-8").alias("addr"))
-        return F.struct((s["at"] + 6 + size).alias("at"), F.concat(s["p"], F.array(one)).alias("p"))
+        one, behind, good = entry(s["at"])
+        fine = s["at"].isNotNull() & (behind <= F.octet_length(b)) & good
+        return F.struct(F.when(fine, behind).alias("at"), F.concat(s["p"], F.array(one)).alias("p"))
 
     end = F.aggregate(F.when(n > 0, F.sequence(F.lit(1).cast("bigint"), n)).otherwise(F.array().cast("array<bigint>")), zero, step)
-    return F.when((n <= MAX_BEAT) & (end["at"] == F.octet_length(b)), end["p"])
+    return F.when(end["at"].isNotNull(), end["p"])
 
 
 def unframe_chunks(raw: bytes) -> tuple[bytes, list[str], dict[str, str]]:

@@ -12,7 +12,7 @@ import hmac
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .codecs import big_endian, read_int
+from .codecs import big_endian, bind, joined, read_int
 
 STREAM_VERSION, CHUNK, SEED_BYTES, TAG_BYTES, NONCE_BYTES, FOOTER_INDEX = 4, 4096, 8, 16, 12, 0xFFFFFFFF
 
@@ -71,12 +71,16 @@ def _frame(sealed: Column) -> Column:
 
 def encrypt_stream(data: Column, key: bytes | Column, seed: Column, chunk: int = CHUNK, footer_aad: bytes = b"") -> Column:
     """A stream of version 4: version, chunk size, seed, sealed chunks behind their lengths, and a footer that binds their number."""
-    n = F.ceil(F.octet_length(data) / chunk).cast("int")
-    index = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    one = lambda i: _frame(_seal(F.substring(data, i * chunk + 1, F.lit(chunk)), key, F.concat(seed, big_endian(i, 4)), b""))
-    body = F.aggregate(F.transform(index, one), F.lit(b""), lambda a, x: F.concat(a, x))
-    footer = _frame(_seal(big_endian(n, 4), key, F.concat(seed, F.lit(b"\xff\xff\xff\xff")), footer_aad))
-    return F.concat(F.lit(bytes([STREAM_VERSION, chunk >> 8, chunk & 255])), seed, body, footer)
+    k = F.lit(key) if isinstance(key, bytes) else key
+
+    def whole(x: Column) -> Column:
+        n = F.ceil(F.octet_length(x["data"]) / chunk).cast("int")
+        index = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        one = lambda i: _frame(_seal(F.substring(x["data"], i * chunk + 1, F.lit(chunk)), x["key"], F.concat(x["seed"], big_endian(i, 4)), b""))
+        footer = _frame(_seal(big_endian(n, 4), x["key"], F.concat(x["seed"], F.lit(b"\xff\xff\xff\xff")), footer_aad))
+        return F.concat(F.lit(bytes([STREAM_VERSION, chunk >> 8, chunk & 255])), x["seed"], joined(F.transform(index, one)), footer)
+
+    return bind(F.struct(data.alias("data"), k.alias("key"), seed.alias("seed")), whole)
 
 
 def decrypt_stream(stream: Column, key: bytes | Column, footer_aad: bytes = b"") -> Column:
@@ -86,31 +90,38 @@ def decrypt_stream(stream: Column, key: bytes | Column, footer_aad: bytes = b"")
     its chunks can't be told.
     """
     k = F.lit(key) if isinstance(key, bytes) else key
+    return bind(F.struct(stream.alias("stream"), k.alias("key")), lambda x: _opened(x["stream"], x["key"], footer_aad))
+
+
+def _opened(stream: Column, key: Column, footer_aad: bytes) -> Column:
     version = read_int(stream, 0, 1)
     newest = version == STREAM_VERSION
-    size = F.when(newest, read_int(stream, 1, 2)).otherwise(CHUNK)
-    head = F.when(newest, 3 + SEED_BYTES).otherwise(1 + SEED_BYTES)
-    seed = F.substring(stream, head - (SEED_BYTES - 1), F.lit(SEED_BYTES))
     total = F.octet_length(stream)
-    footer = F.when(version == 2, 0).otherwise(4 + 4 + TAG_BYTES)
-    frame = size + 4 + TAG_BYTES
-    body = total - head - footer
-    n = F.ceil(body / frame).cast("int")
-    index = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    head = F.when(newest, 3 + SEED_BYTES).otherwise(1 + SEED_BYTES)
+    parts = F.struct(
+        F.when(newest, read_int(stream, 1, 2)).otherwise(CHUNK).alias("size"), head.alias("head"), F.substring(stream, head - (SEED_BYTES - 1), F.lit(SEED_BYTES)).alias("seed"),
+        (total - head - F.when(version == 2, 0).otherwise(4 + 4 + TAG_BYTES)).alias("body"), version.alias("version"),
+    )
+
+    def whole(x: Column) -> Column:
+        frame = x["size"] + 4 + TAG_BYTES
+        n = F.ceil(x["body"] / frame).cast("int")
+        index = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+        def opened(at: Column, length: Column, nonce: Column, aad: bytes) -> Column:
+            declared = read_int(stream, at.cast("int"), 4) == length
+            return F.when(declared, F.try_aes_decrypt(F.concat(nonce, F.substring(stream, (at + 5).cast("int"), length.cast("int"))), key, F.lit("GCM"), F.lit("DEFAULT"), F.lit(aad)))
 
-    def opened(at: Column, length: Column, nonce: Column, aad: bytes) -> Column:
-        declared = read_int(stream, at.cast("int"), 4) == length
-        return F.when(declared, F.try_aes_decrypt(F.concat(nonce, F.substring(stream, (at + 5).cast("int"), length.cast("int"))), k, F.lit("GCM"), F.lit("DEFAULT"), F.lit(aad)))
+        def chunk(i: Column) -> Column:
+            at = x["head"] + i * frame
+            return opened(at, F.least(frame, x["head"] + x["body"] - at) - 4, F.concat(x["seed"], big_endian(i, 4)), b"")
 
-    def chunk(i: Column) -> Column:
-        at = head + i * frame
-        return opened(at, F.least(frame, head + body - at) - 4, F.concat(seed, big_endian(i, 4)), b"")
+        end = opened(x["head"] + x["body"], F.lit(4 + TAG_BYTES), F.concat(x["seed"], F.lit(b"\xff\xff\xff\xff")), footer_aad)
+        closed = (x["version"] == 2) | F.coalesce(end == big_endian(n, 4), F.lit(False))
+        good = x["version"].isin(2, 3, STREAM_VERSION) & (x["body"] >= 0) & closed
+        return F.when(good, bind(F.transform(index, chunk), lambda p: F.when(~F.exists(p, lambda c: c.isNull()), joined(p))))
 
-    parts = F.transform(index, chunk)
-    end = opened(total - footer, F.lit(4 + TAG_BYTES), F.concat(seed, F.lit(b"\xff\xff\xff\xff")), footer_aad)
-    closed = (version == 2) | F.coalesce(end == big_endian(n, 4), F.lit(False))
-    good = version.isin(2, 3, STREAM_VERSION) & (body >= 0) & closed & ~F.exists(parts, lambda x: x.isNull())
-    return F.when(good, F.aggregate(parts, F.lit(b""), lambda a, x: F.concat(a, x)))
+    return bind(parts, whole)
 
 
 def envelope(data: Column, master: bytes, data_key: Column, key_id: str, seed: Column, magic: bytes, footer_aad: bytes = b"") -> Column:
@@ -123,10 +134,14 @@ def envelope(data: Column, master: bytes, data_key: Column, key_id: str, seed: C
 def open_envelope(data: Column, master: bytes, magic: bytes, footer_aad: bytes = b"") -> Column:
     """A struct ``key_id, content``; null for another magic, content null where anything was changed."""
     m = len(magic)
-    kid, wrap = read_int(data, m + 2, 2).cast("int"), read_int(data, m + 4, 2).cast("int")
-    key = decrypt(F.substring(data, F.lit(m + 7) + kid, wrap), master)
-    stream = F.substring(data, F.lit(m + 7) + kid + wrap, F.octet_length(data))
-    return F.when(is_envelope(data, magic), F.struct(F.decode(F.substring(data, F.lit(m + 7), kid), "UTF-8").alias("key_id"), decrypt_stream(stream, key, footer_aad).alias("content")))
+
+    def opened(b: Column) -> Column:
+        kid, wrap = read_int(b, m + 2, 2).cast("int"), read_int(b, m + 4, 2).cast("int")
+        key = decrypt(F.substring(b, F.lit(m + 7) + kid, wrap), master)
+        stream = F.substring(b, F.lit(m + 7) + kid + wrap, F.octet_length(b))
+        return F.when(is_envelope(b, magic), F.struct(F.decode(F.substring(b, F.lit(m + 7), kid), "UTF-8").alias("key_id"), decrypt_stream(stream, key, footer_aad).alias("content")))
+
+    return bind(data, opened)
 
 
 def is_envelope(data: Column, magic: bytes) -> Column:

@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 MAX_NAME, MAX_HASH, MAX_PATH, MAX_SIZE, MAX_HEADERS, MAX_HEADER = 64, 64, 4096, 1 << 30, 8192, 1024
 
 
+# The characters that Unicode counts as white space, for patterns.
+SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
+def trim_space(s: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(s, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+
+
 def sanitize_log(s: Column) -> Column:
     """Control characters below 0x20 except tab become underscores; DEL stays."""
     return F.regexp_replace(s, r"[\x00-\x08\x0A-\x1F]", "_")
@@ -25,10 +34,10 @@ def is_unsafe_key(s: Column) -> Column:
 
 def normalize_path(p: Column) -> Column:
     """A struct of ``path`` and ``error``: empty stays empty; NUL, backslash or a ``..`` segment, or nothing left, is EINVAL."""
-    t = F.regexp_replace(p, r"^[\t-\r \x{85}\x{A0}]+|[\t-\r \x{85}\x{A0}]+$", "")
+    t = trim_space(p)
     parts = F.split(t, "/", -1)
     bad = F.contains(t, F.lit("\x00")) | F.contains(t, F.lit("\\")) | F.array_contains(parts, "..")
-    kept = F.filter(parts, lambda x: (x != ".") & (F.trim(x) != ""))
+    kept = F.filter(parts, lambda x: (x != ".") & ~x.rlike(rf"\A[{SPACE}]*\z"))
     error = F.when(t == "", None).when(bad | (F.size(kept) == 0), "EINVAL")
     return F.struct(F.when(t == "", "").when(error.isNull(), F.array_join(kept, "/")).alias("path"), error.alias("error"))
 
@@ -58,9 +67,15 @@ def replace_crlf(s: Column) -> Column:
 
 
 def clean_header(s: Column) -> Column:
-    """Cut at 1024 bytes, line ends as blanks, trimmed."""
-    cut = F.when(F.octet_length(s) > MAX_HEADER, F.decode(F.substring(s.cast("binary"), 1, MAX_HEADER), "UTF-8")).otherwise(s)
-    return F.trim(replace_crlf(cut))
+    """Cut at 1024 bytes, a character that the cut splits left out; line ends as blanks, trimmed."""
+    b = s.cast("binary")
+    tail = F.hex(F.substring(b, MAX_HEADER - 2, 4))  # the last three bytes kept and the first one lost
+    lost = [F.substring(tail, 2 * k + 1, 2) for k in range(4)]
+    inside = lambda x: x.between("80", "BF")
+    # bytes of the character that the cut goes through: it goes through one if the byte behind it continues one
+    over = F.when(~inside(lost[3]), 0).when(~inside(lost[2]), 1).when(~inside(lost[1]), 2).otherwise(3)
+    cut = F.when(F.octet_length(s) > MAX_HEADER, F.decode(F.substring(b, F.lit(1), F.lit(MAX_HEADER) - over), "UTF-8")).otherwise(s)
+    return trim_space(replace_crlf(cut))
 
 
 def xml_escape(s: Column) -> Column:
@@ -69,11 +84,23 @@ def xml_escape(s: Column) -> Column:
     return s
 
 
+# Error codes by HTTP status; any other status is an InternalError.
+ERROR_CODES = {400: "InvalidArgument", 403: "AccessDenied", 404: "NoSuchKey", 405: "MethodNotAllowed", 409: "BucketNotEmpty", 413: "EntityTooLarge", 415: "InvalidRequest", 500: "InternalError", 503: "ServiceUnavailable"}
+
+
+def error_code(status: Column) -> Column:
+    """The code that an error document names for a status."""
+    out = F.lit("InternalError")
+    for number, code in ERROR_CODES.items():
+        out = F.when(status == number, code).otherwise(out)
+    return out
+
+
 def csv_ints(s: Column) -> Column:
-    """Comma-separated integers without blanks; null if any isn't one."""
-    parts = F.filter(F.transform(F.split(s, ",", -1), lambda x: F.trim(x)), lambda x: x != "")
-    ints = F.transform(parts, lambda x: x.try_cast("int"))
-    return F.when(~F.exists(ints, lambda x: x.isNull()), ints)
+    """Comma-separated 64-bit integers without blanks; null if any isn't one or there is none."""
+    parts = F.filter(F.transform(F.split(s, ",", -1), trim_space), lambda x: x != "")
+    ints = F.transform(parts, lambda x: F.when(x.rlike(r"\A[+-]?[0-9]+\z"), x.try_cast("bigint")))
+    return F.when((F.size(ints) > 0) & ~F.exists(ints, lambda x: x.isNull()), ints)
 
 
 def _micros(ns: Column) -> Column:
@@ -123,7 +150,7 @@ def decode_token(token: Column) -> Column:
 
 
 # Headers that are kept besides the x-amz-meta- ones, lower case.
-STANDARD_HEADERS = ("content-type", "cache-control", "content-disposition", "content-encoding", "content-language", "x-amz-server-side-encryption")
+STANDARD_HEADERS = ("content-type", "cache-control", "content-disposition", "content-encoding", "expires", "x-amz-server-side-encryption")
 
 
 def collect_headers(headers: Column) -> Column:

@@ -10,13 +10,18 @@ from ..functions.strings import MAX_HASH, MAX_NAME, last_modified_iso, xml_escap
 PAGE = 1000
 
 
+def listable(catalog: DataFrame) -> DataFrame:
+    """Rows whose name and hash fit into a listing."""
+    return catalog.where((F.octet_length("name") <= MAX_NAME) & (F.octet_length("object_hash") <= MAX_HASH))
+
+
 def elements(catalog: DataFrame, prefix: str = "", delimiter: str = "", after: tuple[str, str] | None = None) -> DataFrame:
     """What a page is cut from: ``kind`` K with its row, or P for all names that share a prefix up to the delimiter.
 
     ``after`` resumes behind a key (``("K", key)``) or behind a whole prefix (``("P", prefix)``).  The prefix and
     the resume key are plain comparisons of the name, so they reach the scan.
     """
-    rows = catalog.where((F.octet_length("name") <= MAX_NAME) & (F.octet_length("object_hash") <= MAX_HASH))
+    rows = listable(catalog)
     if prefix:
         rows = rows.where(F.startswith("name", F.lit(prefix)))
     if after:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codecs, crypto, http, oprf, strings
+from ..operators import listing
 from ..sources import relations as rel
 from ..sources.relations import with_sql
 from .registry import query
@@ -24,13 +25,15 @@ def f2_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.table(spark, sf_dir, "documents").select("doc_id", F.sha2(strings.sanitize_log(F.col("text")), 256).alias("clean"))
 
 
-_RAW = "CASE page_id % 6 WHEN 0 THEN '/' || url || '//x' WHEN 1 THEN url || '/../etc' WHEN 2 THEN './' || url WHEN 3 THEN url || chr(92) WHEN 4 THEN '  ' || url || '  ' ELSE '//' END"
+_RAW = "CASE page_id % 8 WHEN 0 THEN '/' || url || '//x' WHEN 1 THEN url || '/../etc' WHEN 2 THEN './' || url WHEN 3 THEN url || chr(92) WHEN 4 THEN '  ' || url || '  ' WHEN 5 THEN chr(8195) || url || '/' || chr(9) || '/' || chr(160) || chr(8232) || '/b c' || chr(12288) WHEN 6 THEN chr(9) || '/' || chr(133) ELSE '//' END"
+_SPACE = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
-@query("f3_normalize_path", f"""SELECT page_id, CASE WHEN bad THEN NULL ELSE array_to_string(kept, '/') END AS path, CASE WHEN bad THEN 'EINVAL' END AS error FROM (SELECT page_id, contains(t, chr(92)) OR list_contains(parts, '..') OR len(kept) = 0 AS bad, kept FROM (SELECT page_id, t, string_split(t, '/') AS parts, list_filter(string_split(t, '/'), lambda x: x <> '.' AND trim(x) <> '') AS kept FROM (SELECT page_id, trim({_RAW}) AS t FROM pages)))""")
+@query("f3_normalize_path", f"""SELECT page_id, CASE WHEN bad THEN NULL ELSE array_to_string(kept, '/') END AS path, CASE WHEN bad THEN 'EINVAL' END AS error FROM (SELECT page_id, contains(t, chr(92)) OR list_contains(parts, '..') OR len(kept) = 0 AS bad, kept FROM (SELECT page_id, t, string_split(t, '/') AS parts, list_filter(string_split(t, '/'), lambda x: x <> '.' AND NOT regexp_full_match(x, '{_SPACE}*')) AS kept FROM (SELECT page_id, regexp_replace(regexp_replace({_RAW}, '^{_SPACE}+', ''), '{_SPACE}+$', '') AS t FROM pages)))""")
 def f3_normalize_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u, k = F.col("url"), F.col("page_id") % 6
-    raw = F.when(k == 0, F.concat(F.lit("/"), u, F.lit("//x"))).when(k == 1, F.concat(u, F.lit("/../etc"))).when(k == 2, F.concat(F.lit("./"), u)).when(k == 3, F.concat(u, F.lit("\\"))).when(k == 4, F.concat(F.lit("  "), u, F.lit("  "))).otherwise("//")
+    u, k = F.col("url"), F.col("page_id") % 8
+    raw = F.when(k == 0, F.concat(F.lit("/"), u, F.lit("//x"))).when(k == 1, F.concat(u, F.lit("/../etc"))).when(k == 2, F.concat(F.lit("./"), u)).when(k == 3, F.concat(u, F.lit("\\"))).when(k == 4, F.concat(F.lit("  "), u, F.lit("  ")))
+    raw = raw.when(k == 5, F.concat(F.lit("\u2003"), u, F.lit("/\t/\xa0\u2028/b c\u3000"))).when(k == 6, "\t/\x85").otherwise("//")
     return rel.table(spark, sf_dir, "pages").select("page_id", strings.normalize_path(raw).alias("x")).select("page_id", "x.path", "x.error")
 
 
@@ -57,6 +60,19 @@ def f9_xml_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.table(spark, sf_dir, "pages").select("page_id", F.sha2(strings.xml_escape(F.col("html")), 256).alias("escaped"))
 
 
+_CUT = "list_aggregate(list_filter([octet_length(encode(text[:n])) <= 1024 FOR n IN range(0, 1025)], lambda x: x), 'count')"
+
+
+@query("f8_clean_header", f"SELECT doc_id, sha256(trim(replace(replace(CASE WHEN octet_length(encode(text)) > 1024 THEN text[:{_CUT} - 1] ELSE text END, chr(13), ' '), chr(10), ' '), ' ' || chr(9) || chr(11) || chr(12) || chr(160) || chr(133) || chr(12288))) AS clean FROM documents WHERE text IS NOT NULL")
+def f8_clean_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rel.table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.sha2(strings.clean_header(F.col("text")), 256).alias("clean"))
+
+
+@query("f9_error_codes", "SELECT o_orderkey, CASE s WHEN 400 THEN 'InvalidArgument' WHEN 403 THEN 'AccessDenied' WHEN 404 THEN 'NoSuchKey' WHEN 405 THEN 'MethodNotAllowed' WHEN 409 THEN 'BucketNotEmpty' WHEN 413 THEN 'EntityTooLarge' WHEN 415 THEN 'InvalidRequest' WHEN 503 THEN 'ServiceUnavailable' ELSE 'InternalError' END AS code FROM (SELECT o_orderkey, 400 + o_orderkey % 110 AS s FROM orders)")
+def f9_error_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rel.table(spark, sf_dir, "orders").select("o_orderkey", strings.error_code(F.col("o_orderkey") % 110 + 400).alias("code"))
+
+
 @query("f10_last_modified", with_sql("objects") + " SELECT name, strftime(make_timestamp(mod_time // 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso, strftime(make_timestamp(mod_time // 1000), '%a, %d %b %Y %H:%M:%S GMT') AS http_date FROM objects")
 def f10_last_modified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.objects(spark, sf_dir).select("name", strings.last_modified_iso(F.col("mod_time")).alias("iso"), strings.last_modified_http(F.col("mod_time")).alias("http_date"))
@@ -98,17 +114,19 @@ def m12_last_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("user_id", F.try_element_at(strings.headers_from_json(F.col("j")), F.lit("k")).cast("bigint").alias("k"))
 
 
-@query("f29_f30_codes", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE [o_orderkey::INT, 7] END AS ints, CASE WHEN o_orderkey % 2 = 0 THEN (o_orderkey % 10)::INT ELSE 76 END AS mode FROM orders")
+@query("f29_f30_codes", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE [o_orderkey + 5000000000, 7] END AS ints, CASE WHEN o_orderkey % 2 = 0 THEN (o_orderkey % 10)::INT ELSE 76 END AS mode FROM orders")
 def f29_f30_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    text = F.when(k % 4 == 3, "1,x").otherwise(F.concat(F.lit(" "), k.cast("string"), F.lit(", ,7")))
+    text = F.when(k % 4 == 3, "1,x").otherwise(F.concat(F.lit(" "), (k + 5_000_000_000).cast("string"), F.lit(", ,\t7")))
     code = F.when(k % 2 == 0, (k % 10).cast("string")).otherwise("L")
     return rel.table(spark, sf_dir, "orders").select("o_orderkey", strings.csv_ints(text).alias("ints"), strings.mode_byte(code).cast("int").alias("mode"))
 
 
-@query("p2_row_limits", with_sql("objects") + " SELECT name FROM objects WHERE octet_length(encode(name)) <= 18")
+@query("p2_row_limits", with_sql("objects") + " SELECT name FROM (SELECT repeat(name, 1 + size % 4) AS name FROM objects) WHERE octet_length(encode(name)) <= 64")
 def p2_row_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rel.objects(spark, sf_dir).where(F.octet_length("name") <= 18).select("name")
+    """Rows whose name or hash is too long to be listed are left out."""
+    long = F.expr("repeat(name, cast(1 + size % 4 as int))").alias("name")
+    return listing.listable(rel.objects(spark, sf_dir).select(long, "object_hash")).select("name")
 
 
 @query("p1_prefix", with_sql("objects") + " SELECT name, size FROM objects WHERE starts_with(name, 'src2/')")
@@ -145,11 +163,14 @@ def p8_conditional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.objects(spark, sf_dir).select("name", http.conditional_status(F.when(k == 0, '"no"'), F.when(k == 1, h), since, h, t).alias("status"))
 
 
-@query("p9_byte_range", "SELECT doc_id, sha256(text[1:10]) AS part FROM documents WHERE lang = 'en' AND regexp_full_match(text, '[\\x00-\\x7F]*') AND octet_length(encode(text)) >= 10")
+@query("p9_byte_range", "SELECT doc_id, lower(hex(encode(coalesce(text, ''))))[2 * a + 1 : 2 * a + 20] AS part FROM (SELECT doc_id, text, doc_id % 97 AS a FROM documents)")
 def p9_byte_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = rel.table(spark, sf_dir, "documents").where("lang = 'en'").where(F.col("text").rlike(r"^[\x00-\x7F]*\z") & (F.octet_length("text") >= 10))
-    b = F.col("text").cast("binary")
-    return d.select("doc_id", F.sha2(http.slice_bytes(b, http.parse_range(F.lit("bytes=0-9"), F.octet_length("text").cast("bigint"))), 256).alias("part"))
+    """Ten bytes of every text, from places that may lie inside a character or beyond the end."""
+    b = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    at = F.col("doc_id") % 97
+    header = F.concat(F.lit("bytes="), at.cast("string"), F.lit("-"), (at + 9).cast("string"))
+    asked = http.parse_range(header, F.octet_length(b).cast("bigint"))
+    return rel.table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.lower(F.hex(http.slice_bytes(b, asked))), F.lit("")).alias("part"))
 
 
 @query("p12_p13_skew", with_sql("samples") + " SELECT event_id, abs(k - 25) * 60 <= 900 AS fresh, k > 0 AND k * 3600 <= 86400 AS lifetime_ok FROM samples")
@@ -160,14 +181,73 @@ def p12_p13_skew(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", http.within_skew(stamp(now + (F.col("k") - 25) * 60), now).alias("fresh"), http.presign_valid(stamp(now), (F.col("k") * 3600).cast("string"), now).alias("lifetime_ok"))
 
 
-@query("f26_f27_codecs", with_sql("samples") + " SELECT event_id, 20 AS ping_bytes, event_id AS ping_id, ts_us AS ts, 'k' || k AS lease_key, 192 AS frame_bytes FROM samples")
+def _int(v: str, size: int) -> str:
+    """SQL for the hexadecimal digits of an integer of so many bytes."""
+    return f"lpad(printf('%x', ({v})::BIGINT), {2 * size}, '0')"
+
+
+def _hex(v: str) -> str:
+    return f"lower(hex(encode({v})))"
+
+
+def _len(v: str, size: int) -> str:
+    return _int(f"octet_length(encode({v}))", size)
+
+
+def _held(v: str, size: int) -> str:
+    return f"{_len(v, size)} || {_hex(v)}"
+
+
+_PADDED = "{0} || repeat('00', 64 - octet_length(encode({1})))"
+_MESSAGES = {
+    "ping": f"{_int('event_id', 8)} || {_int('user_id', 4)} || {_int('ts_us', 8)}",
+    "rpc": f"{_int('5 + octet_length(encode(d))', 4)} || {_int('1 + k % 13', 1)} || {_int('user_id', 4)} || {_hex('d')}",
+    "query": f"{_int('1 + k % 4', 1)} || {_int('event_id', 8)} || {_hex('d')}",
+    "response": f"{_int('event_id', 8)} || {_held('d', 4)} || {_held('t', 2)}",
+    "lease": f"{_int('event_id', 8)} || {_held('d', 4)} || {_int('ts_us', 8)}",
+    "oprf_request": f"{_int('event_id', 8)} || {_int('k', 1)} || {_held('d', 4)}",
+    "oprf_response": f"{_int('event_id', 8)} || {_int('k', 1)} || {_held('t', 2)} || {_held('d', 4)}",
+    "heartbeat": f"{_int('2', 4)} || {_int('user_id', 4)} || {_held('d', 2)} || {_int('k', 4)} || {_held('t', 2)}",
+    "files": f"{_int('1 + (k % 2)', 4)} || {_held('d', 4)} || {_held('t', 4)} || {_int('k', 8)} || {_held('d', 4)} || {_int('ts_us', 8)} || CASE WHEN k % 2 = 1 THEN {_held('t', 4)} || {_held('t', 4)} || {_int('0', 8)} || {_int('0', 4)} || {_int('0', 8)} ELSE '' END",
+    "frame": " || ".join((_PADDED.format(_hex("t"), "t"), _PADDED.format(_hex("d"), "d"), _PADDED.format(_hex("k::VARCHAR"), "k::VARCHAR"))),
+    "ack": f"{_hex(chr(39) + 'ACK' + chr(39))} || {_int('k', 1)}",
+}
+
+
+@query("f26_f27_codecs", with_sql("samples") + f", m AS (SELECT *, 'd\u00e9' || event_id AS d, 't' || k AS t FROM samples) SELECT event_id, {', '.join(f'{v} AS {k}' for k, v in _MESSAGES.items())} FROM m")
 def f26_f27_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = rel.samples(spark, sf_dir)
-    p = codecs.ping(F.col("event_id"), F.col("user_id"), F.col("ts_us"))
-    x = codecs.lease(F.col("event_id"), F.concat(F.lit("k"), F.col("k").cast("string")), F.col("ts_us"))
-    m = codecs.metadata_frame(F.concat(F.lit("n"), F.col("k").cast("string")), F.sha2(F.col("k").cast("string"), 256), F.col("k"))
-    rows = e.select("event_id", p.alias("p"), x.alias("l"), m.alias("m"))
-    return rows.select("event_id", F.octet_length("p").alias("ping_bytes"), codecs.read_ping(F.col("p"))["ping_id"].alias("ping_id"), codecs.read_ping(F.col("p"))["ts"].alias("ts"), codecs.read_lease(F.col("l"))["key"].alias("lease_key"), F.octet_length("m").alias("frame_bytes"))
+    """The bytes of every message and frame."""
+    return _messages(spark, sf_dir).select("event_id", *(F.lower(F.hex(name)).alias(name) for name in _MESSAGES))
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = rel.samples(spark, sf_dir).withColumns({"d": F.concat(F.lit("d\u00e9"), F.col("event_id").cast("string")), "t": F.concat(F.lit("t"), F.col("k").cast("string"))})
+    i, u, k, ts, d, t = (F.col(c) for c in ("event_id", "user_id", "k", "ts_us", "d", "t"))
+    raw = d.cast("binary")
+    peer = lambda n, a: F.struct(n.cast("bigint").alias("id"), a.alias("addr"))
+    file = lambda n, h, s, p, at: F.struct(n.alias("name"), h.alias("object_hash"), s.cast("bigint").alias("size"), p.alias("remote_path"), at.cast("bigint").alias("mod_time"))
+    zero, none = F.lit(0), F.lit("")
+    second = file(F.when(k % 2 == 1, t).otherwise(F.repeat(t, 64)), t, zero, none, zero)  # a name beyond the limit is left out
+    return e.select(
+        "event_id", "user_id", "k", "ts_us", "d", "t", codecs.ping(i, u, ts).alias("ping"), codecs.rpc(u, k % 13 + 1, raw).alias("rpc"), codecs.query(k % 4 + 1, i, raw).alias("query"),
+        codecs.response(i, raw, t).alias("response"), codecs.lease(i, d, ts).alias("lease"), codecs.oprf_request(i, k, raw).alias("oprf_request"), codecs.oprf_response(i, k, t, raw).alias("oprf_response"),
+        codecs.heartbeat(F.array(peer(u, d), peer(k, t))).alias("heartbeat"), codecs.file_list(F.array(file(d, t, k, d, ts), second)).alias("files"), codecs.metadata_frame(t, d, k).alias("frame"), codecs.ack(k).alias("ack"),
+    )
+
+
+@query("f26_f27_read_back", with_sql("samples") + ", m AS (SELECT *, 'd\u00e9' || event_id AS d, 't' || k AS t FROM samples) SELECT event_id, user_id AS target, k % 13 + 1 AS kind, d AS rpc_data, d AS query_data, t AS error, d AS lease_key, ts_us AS expiry, k AS share_index, t AS oprf_error, [user_id, k]::BIGINT[] AS peers, CASE WHEN k % 2 = 1 THEN [d, t] ELSE [d] END AS files, k AS frame_size, k AS acked FROM m")
+def f26_f27_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the readers find in the bytes, and nothing in bytes that are cut by one."""
+    m = _messages(spark, sf_dir)
+    text = lambda c: F.decode(c, "UTF-8")
+    readers = {"ping": codecs.read_ping, "rpc": codecs.read_rpc, "response": codecs.read_response, "lease": codecs.read_lease, "oprf_request": codecs.read_oprf_request, "oprf_response": codecs.read_oprf_response, "heartbeat": codecs.read_heartbeat, "files": codecs.read_file_list, "frame": codecs.read_metadata, "ack": codecs.read_ack}
+    rows = m.withColumns({f"{n}_x": f(F.col(n)) for n, f in readers.items()} | {f"{n}_cut": f(F.substring(F.col(n), F.lit(1), F.octet_length(n) - 1)) for n, f in readers.items()} | {"query_x": codecs.read_query(F.col("query"))})
+    whole = rows.where(F.coalesce(*(F.col(f"{n}_cut").cast("string") for n in readers)).isNull())
+    return whole.select(
+        "event_id", F.col("ping_x.target").alias("target"), F.col("rpc_x.kind").alias("kind"), text(F.col("rpc_x.payload")).alias("rpc_data"), text(F.col("query_x.data")).alias("query_data"), F.col("response_x.error").alias("error"),
+        F.col("lease_x.key").alias("lease_key"), F.col("lease_x.expiry").alias("expiry"), F.col("oprf_request_x.share_index").alias("share_index"), F.col("oprf_response_x.error").alias("oprf_error"),
+        F.transform("heartbeat_x", lambda p: p["id"]).alias("peers"), F.transform("files_x", lambda f: f["name"]).alias("files"), F.col("frame_x.size").alias("frame_size"), F.col("ack_x").alias("acked"),
+    )
 
 
 def _hmac_sql(key: bytes, data: str) -> str:

@@ -73,21 +73,67 @@ def test_etags_and_conditions(spark):
 
 
 def test_frames(spark):
-    row = values(spark, [("name", "h" * 64, 12)], "n string, h string, s long", codecs.read_metadata(codecs.metadata_frame(F.col("n"), F.col("h"), F.col("s"))), F.octet_length(codecs.handshake(F.col("n"), F.lit("1700000000000000000"), F.lit("2"))))[0]
-    assert tuple(row[0]) == ("name", "h" * 64, 12) and row[1] == 84
+    row = values(spark, [("name", "h" * 64, 12)], "n string, h string, s long", codecs.metadata_frame(F.col("h"), F.col("n"), F.col("s")), codecs.read_metadata(codecs.metadata_frame(F.col("h"), F.col("n"), F.col("s"))), F.octet_length(codecs.handshake(F.col("n"), F.lit("1700000000000000000"), F.lit("2"))))[0]
+    assert bytes(row[0]) == b"h" * 64 + b"name".ljust(64, b"\0") + b"12".ljust(64, b"\0")
+    assert tuple(row[1]) == ("h" * 64, "name", 12) and row[2] == 84
     assert values(spark, [("x" * 65,)], "s string", strings.pad(F.col("s"), 64)) == [None]
+    acks = values(spark, [(7,), (255,), (256,), (-1,)], "i int", F.hex(codecs.ack(F.col("i"))), codecs.read_ack(codecs.ack(F.col("i"))))
+    assert [tuple(x) for x in acks] == [("41434B07", 7), ("41434BFF", 255), (None, None), (None, None)]
+    assert values(spark, [(b"ACX\x01",), (b"ACK",), (b"ACK\x01\x02",)], "b binary", codecs.read_ack(F.col("b"))) == [None, None, None]
+
+
+def test_message_bytes(spark):
+    """Fixed bytes of every message."""
+    hexed = lambda c: F.lower(F.hex(c))
+    n = F.lit
+    b = lambda s: F.lit(s.encode())
+    peers = F.array(F.struct(n(1).alias("id"), n("a:1").alias("addr")), F.struct(n(-2).alias("id"), n("").alias("addr")))
+    file = F.struct(n("n").alias("name"), n("hh").alias("object_hash"), n(5).cast("bigint").alias("size"), n("p/q").alias("remote_path"), n(6).cast("bigint").alias("mod_time"))
+    got = values(
+        spark, [(0,)], "x int", hexed(codecs.rpc(n(2), n(3), b("ab"))), hexed(codecs.lease(n(1), n("key"), n(2))), hexed(codecs.query(n(4), n(9), b("z"))), hexed(codecs.response(n(1), b("ab"), n("e"))),
+        hexed(codecs.oprf_request(n(1), n(2), b("xy"))), hexed(codecs.oprf_response(n(1), n(2), n("no"), b(""))), hexed(codecs.heartbeat(peers)), hexed(codecs.ping(n(1), n(-1), n(2))), hexed(codecs.file_list(F.array(file))),
+    )[0]
+    assert tuple(got) == (
+        "0000000703000000026162", "0000000000000001000000036b65790000000000000002", "0400000000000000097a", "0000000000000001000000026162000165",
+        "000000000000000102000000027879", "00000000000000010200026e6f00000000", "00000002000000010003613a31fffffffe0000", "0000000000000001ffffffff0000000000000002",
+        "00000001" "000000016e" "000000026868" "0000000000000005" "00000003702f71" "0000000000000006",
+    )
 
 
 def test_messages(spark):
     peers = [(k, f"10.0.0.{k}:1") for k in range(300)]
     df = spark.createDataFrame([(peers,)], "p array<struct<id:int,addr:string>>")
-    got = df.select(codecs.read_heartbeat(codecs.heartbeat(F.col("p")))).first()[0]
-    assert [(g.id, g.addr) for g in got] == peers[:256]
+    sent = codecs.heartbeat(codecs.heartbeat_peers(F.col("p"), F.lit(3)))
+    got = df.select(codecs.read_heartbeat(sent)).first()[0]
+    assert [(g.id, g.addr) for g in got] == [p for p in peers if p[0] != 3][:256]
     one = values(spark, [(-3, 7, b"xyz")], "s int, k int, p binary", codecs.read_rpc(codecs.rpc(F.col("s"), F.col("k"), F.col("p"))), codecs.read_rpc(F.lit(b"\0" * 12)), codecs.read_query(codecs.query(F.lit(2), F.lit(1 << 62), F.col("p"))))[0]
     assert (one[0].sender, one[0].kind, bytes(one[0].payload)) == (-3, 7, b"xyz") and one[1] is None
     assert (one[2].kind, one[2].request_id, bytes(one[2].data)) == (2, 1 << 62, b"xyz")
 
 
+def test_file_lists_are_checked(spark):
+    """One bad entry makes a list undecodable; entries beyond the limits aren't sent."""
+    def file(name="n", digest="h", size=1, path="", at=2):
+        return name, digest, size, path, at
+
+    kind = "f array<struct<name:string,object_hash:string,size:bigint,remote_path:string,mod_time:bigint>>"
+    rows = [[file(), file("a" * 64, "b" * 64, 1 << 30, "p" * 4096)], [], [file(), file("x" * 65)], [file(), file("..")], [file("a\\b")], [file(digest="a/b")], [file(size=-1)], [file(size=(1 << 30) + 1)], [file(path="p" * 4097), file("k")]]
+    got = values(spark, [(r,) for r in rows], kind, codecs.read_file_list(codecs.file_list(F.col("f"))))
+    names = [None if x is None else [tuple(f) for f in x] for x in got]
+    assert names == [rows[0], [], rows[2][:1], None, None, None, None, None, rows[8][1:]]
+    cut = values(spark, [(rows[0],)], kind, *(codecs.read_file_list(F.substring(codecs.file_list(F.col("f")), 1, n)) for n in (3, 4, 40, 4285)))[0]
+    assert list(cut) == [None] * 4
+    assert values(spark, [(b"\x00\x00\x00\xc8",)], "b binary", codecs.read_file_list(F.col("b"))) == [None]
+
+
+def test_paths_and_lists(spark):
+    rows = [("a/\t/b",), ("\u2003a/ /b\u3000",), ("\t/\x85",), ("a\n/../b",), ("",), (" x y /z",)]
+    assert [tuple(x) for x in values(spark, rows, "p string", strings.normalize_path(F.col("p")))] == [("a/b", None), ("a/b", None), (None, "EINVAL"), (None, "EINVAL"), ("", None), ("x y /z", None)]
+    assert values(spark, [("5000000000, ,-7",), ("9223372036854775808",), ("1.5",), (" , ",)], "s string", strings.csv_ints(F.col("s"))) == [[5_000_000_000, -7], None, None, None]
+    long = [("a" * 1023 + "\u00e9" + "b",), ("a" * 1022 + "\u00e9" + "b",), ("a" * 1021 + "\U0001f600" + "b",), (" a\r\nb\t ",)]
+    assert values(spark, long, "s string", strings.clean_header(F.col("s"))) == ["a" * 1023, "a" * 1022 + "\u00e9", "a" * 1021, "a  b"]
+
+
 def test_chunked_bodies():
     body = codecs.frame_chunks(b"hello world", 4, ["a", "b", "c", "d"])
     assert codecs.unframe_chunks(body) == (b"hello world", ["a", "b", "c", "d"], {})
