@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .buckets import DAY_US, with_previous, with_running_sum
+
 # The metrics of the exposition, in order, with kind and help.
 METRICS = (
     ("connections_total", "counter", "Total number of connections accepted."),
@@ -52,19 +54,23 @@ def rates(samples: DataFrame, when: Column, range_s: int, step_s: int, ts_us: st
     return samples.where(when).select(by, ends.alias("w")).groupBy(by, "w").agg(F.count(F.lit(1)).alias("n")).select(by, (F.col("w") * step).alias("window_end_us"), (F.col("n") / range_s).alias("per_second"))
 
 
-def increase(samples: DataFrame, by: str, ts: str, value: str) -> DataFrame:
-    """The growth of counters that may start anew from 0: a fall counts the new value whole."""
-    before = F.lag(value).over(Window.partitionBy(by).orderBy(ts))
+def increase(samples: DataFrame, by: str, ts: str, value: str, bucket: Column | None = None) -> DataFrame:
+    """The growth of counters that may start anew from 0: a fall counts the new value whole.
+
+    ``bucket`` cuts the order of a hot key; by default into days, if ``ts`` is in microseconds.
+    """
+    rows = with_previous(samples, [by], [ts], F.struct(F.col(value).alias("v")), F.floor(F.col(ts) / DAY_US) if bucket is None else bucket, "__p")
+    before = F.col("__p.v")
     step = F.when(before.isNull(), 0).when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before)
-    return samples.withColumn("__d", step).groupBy(by).agg(F.sum("__d").alias("increase"))
+    return rows.withColumn("__d", step).groupBy(by).agg(F.sum("__d").alias("increase"))
 
 
-def alerts(series: DataFrame, fires: Column, hold_us: int, by: str, ts: str) -> DataFrame:
+def alerts(series: DataFrame, fires: Column, hold_us: int, by: str, ts: str, bucket: Column | None = None) -> DataFrame:
     """``by, since, until``: stretches of consecutive samples where ``fires`` holds, at least ``hold_us`` long.
 
     An island's samples share the count of quiet ones before them.
     """
-    w = Window.partitionBy(by).orderBy(ts)
-    quiet = F.sum(F.when(fires, 0).otherwise(1)).over(w)
-    islands = series.withColumns({"__f": fires, "__g": quiet}).where("__f").groupBy(by, "__g").agg(F.min(ts).alias("since"), F.max(ts).alias("until"))
+    cut = F.floor(F.col(ts) / DAY_US) if bucket is None else bucket
+    counted = with_running_sum(series.withColumn("__f", fires), [by], [ts], F.when(F.col("__f"), 0).otherwise(1), cut, "__g")
+    islands = counted.where("__f").groupBy(by, "__g").agg(F.min(ts).alias("since"), F.max(ts).alias("until"))
     return islands.where(F.col("until") - F.col("since") >= hold_us).select(by, "since", "until")

@@ -15,6 +15,7 @@ def merge(lists: DataFrame, validity: Column | None = None) -> DataFrame:
     so copies of a row combine before the shuffle.
     """
     if validity is not None:
+        lists = lists.repartition("name", "object_hash")  # one exchange for both uses; the last step needs it anyway
         good = lists.groupBy("source_rank").agg(F.bool_and(validity).alias("ok")).where("ok").select("source_rank")
         lists = lists.join(good, "source_rank", "left_semi")
     rest = [c for c in lists.columns if c not in ("name", "object_hash")]
@@ -52,9 +53,18 @@ def repeated(rows: DataFrame, key: str) -> DataFrame:
 
 
 def answered(requests: DataFrame, responses: DataFrame, timeout: str, within: str = "INTERVAL 0 SECONDS") -> DataFrame:
-    """Requests with the responses of their id that came within ``timeout``; works on batches and on watermarked streams."""
-    on = F.expr(f"id = response_id AND response_ts >= request_ts + {within} AND response_ts <= request_ts + {timeout}")
-    return requests.join(responses, on)
+    """Requests with the responses of their id that came within ``timeout``; works on batches and on watermarked streams.
+
+    In a batch an id's requests and responses meet in slots of the timeout's length, a request in those that its
+    time to wait touches, so a hot id spreads over time.
+    """
+    on = f"id = response_id AND response_ts >= request_ts + {within} AND response_ts <= request_ts + {timeout}"
+    if requests.isStreaming or responses.isStreaming:
+        return requests.join(responses, F.expr(on))
+    slot = lambda t: f"unix_micros(cast({t} as timestamp)) div unix_micros(timestamp_micros(0) + {timeout})"
+    asked = requests.withColumn("__slot", F.explode(F.expr(f"sequence({slot(f'request_ts + {within}')}, {slot(f'request_ts + {timeout}')})")))
+    came = responses.withColumn("__at", F.expr(slot("response_ts")))
+    return asked.join(came, F.expr(f"{on} AND __slot = __at")).drop("__slot", "__at")
 
 
 def unseen(members: DataFrame, known: DataFrame) -> DataFrame:

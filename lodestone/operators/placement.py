@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.codecs import bind
+
 MAX_NODES = 4096
 MODES = {"none": 0, "chain": 1, "splay": 2, "primary-splay": 3}
 ACK_NS = 30 * 1_000_000_000
@@ -23,20 +25,24 @@ def little_endian(v: Column) -> Column:
 
 def unit_fold(digest_hex: Column) -> Column:
     """A digest as a number in [0, 1): its first four and last four bytes, little endian, make 52 bits."""
-    word = lambda at: F.conv(F.concat(*(F.substring(digest_hex, at + 6 - 2 * k, 2) for k in range(4))), 16, 10).cast("bigint")
-    mantissa = F.shiftleft(word(1), 20).bitwiseOR(word(57).bitwiseAND(F.lit(0xFFFFF)))
-    return mantissa.cast("double") / F.lit(float(1 << 52))
+    ends = F.conv(F.concat(F.substring(digest_hex, 1, 8), F.substring(digest_hex, 57, 8)), 16, -10).cast("bigint")
+    # each byte: how far it moves to the right, what is kept of it, and where
+    moves = ((36, 0xFF, 20), (20, 0xFF, 28), (4, 0xFF, 36), (-12, 0xFF, 44), (24, 0xFF, 0), (8, 0xFF, 8), (-8, 0xF, 16))
 
+    def mantissa(v: Column) -> Column:
+        out = F.lit(0).cast("bigint")
+        for shift, mask, to in moves:
+            moved = F.shiftrightunsigned(v, shift) if shift > 0 else F.shiftleft(v, -shift)
+            out = out.bitwiseOR(moved.bitwiseAND(F.lit(mask << to).cast("bigint")))
+        return out
 
-def _bind(value: Column, f) -> Column:
-    """``f(value)`` with the value computed once; inside a lambda nothing else keeps it from being computed at every use."""
-    return F.transform(F.array(value), f)[0]
+    return bind(ends, mantissa).cast("double") / F.lit(float(1 << 52))
 
 
 def score(object_hash: Column, node_key: Column, weight: Column) -> Column:
     """``-w / ln(u)``; 0 where u isn't inside (0, 1)."""
     digest = F.sha2(F.concat(object_hash.cast("binary"), node_key), 256)
-    return _bind(_bind(digest, unit_fold), lambda u: F.when((u > 0) & (u < 1), -weight / F.ln(u)).otherwise(F.lit(0.0)))
+    return bind(bind(digest, unit_fold), lambda u: F.when((u > 0) & (u < 1), -weight / F.ln(u)).otherwise(F.lit(0.0)))
 
 
 def spread(df: DataFrame, one_split: int = 128 << 20) -> DataFrame:

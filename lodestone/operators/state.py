@@ -1,10 +1,9 @@
 """Catalogue state folded from the operation log, and its garbage collection.
 
 Last values come from aggregates that combine before the shuffle.  What depends
-on the operation before (whether a delete hits a live name) needs order, so a
-name's log is cut into time buckets: windows run inside a bucket, and one
-summary row for each bucket carries the state on.  A hot name thus spreads over
-its buckets.
+on the operation before (whether a delete hits a live name, and how many
+references a hash has by then) needs order, so the log of a name or hash is cut
+into time buckets (``buckets``), over which hot ones spread.
 """
 
 from __future__ import annotations
@@ -12,25 +11,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_US = 24 * 3600 * 1_000_000
+from ..functions.codecs import joined
+from .buckets import DAY_US, with_previous, with_running_sum
 
 
 def _key() -> Column:
     return F.struct("seq", "op_id")
 
 
-def effects(ops: DataFrame, bucket_us: int = BUCKET_US) -> DataFrame:
+def effects(ops: DataFrame, bucket_us: int = DAY_US) -> DataFrame:
     """Puts and deletes with ``prev_op`` and ``prev_hash`` of the name's operation before, and their ``delta`` on ``ref_hash``.
 
     A put adds one to its hash, whatever the name held before; a delete takes one from the hash that the name
     holds, and none if it holds none.
     """
-    log = ops.where(F.col("op").isin("put", "delete")).withColumn("bucket", F.floor(F.col("seq") / bucket_us))
-    inside = Window.partitionBy("name", "bucket").orderBy("seq", "op_id")
-    last = log.groupBy("name", "bucket").agg(F.max_by(F.struct("op", "object_hash"), _key()).alias("x"))
-    before = last.select("name", "bucket", F.lag("x").over(Window.partitionBy("name").orderBy("bucket")).alias("carried"))
-    here = F.lag(F.struct("op", "object_hash")).over(inside)
-    out = log.withColumn("here", here).join(before, ["name", "bucket"]).withColumn("prev", F.coalesce("here", "carried"))
+    log = ops.where(F.col("op").isin("put", "delete"))
+    out = with_previous(log, ["name"], ["seq", "op_id"], F.struct("op", "object_hash"), F.floor(F.col("seq") / bucket_us))
     live = F.coalesce(F.col("prev.op") == "put", F.lit(False))
     return out.select(
         "seq", "op_id", "op", "name", "object_hash", "size", "remote_path", "op_ts",
@@ -59,15 +55,13 @@ def paths(ops: DataFrame) -> DataFrame:
     return at.where("p is not null and (d is null or p > d)").select("name", "remote_path")
 
 
-def object_table(ops: DataFrame) -> DataFrame:
+def object_table(ops: DataFrame, bucket_us: int = DAY_US) -> DataFrame:
     """``object_hash, size, ref_count``: signed sums of the effects; the size is the first put's since the count was last zero."""
-    deltas = effects(ops).where("delta <> 0")
-    w = Window.partitionBy("ref_hash").orderBy("seq", "op_id")
-    run = deltas.withColumn("after", F.sum("delta").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    born = run.where("op = 'put' and after = 1")
-    size = born.groupBy("ref_hash").agg(F.max_by("size", _key()).alias("size"))
-    refs = deltas.groupBy("ref_hash").agg(F.sum("delta").alias("ref_count")).where("ref_count > 0")
-    return refs.join(size, "ref_hash").select(F.col("ref_hash").alias("object_hash"), "size", "ref_count")
+    deltas = effects(ops, bucket_us).where("delta <> 0")
+    run = with_running_sum(deltas, ["ref_hash"], ["seq", "op_id"], F.col("delta"), F.floor(F.col("seq") / bucket_us))
+    born = F.when((F.col("op") == "put") & (F.col("after") == 1), _key())
+    out = run.groupBy("ref_hash").agg(F.max_by("size", born).alias("size"), F.sum("delta").alias("ref_count")).where("ref_count > 0")
+    return out.select(F.col("ref_hash").alias("object_hash"), "size", "ref_count")
 
 
 def ref_counts(ops: DataFrame) -> DataFrame:
@@ -138,19 +132,19 @@ def verified(uploads: DataFrame) -> DataFrame:
     return uploads.withColumn("accepted", F.sha2("content", 256) == F.col("object_hash"))
 
 
-def allocate(blobs: DataFrame, seq: str = "seq", buckets: int = 64) -> DataFrame:
+def allocate(blobs: DataFrame, seq: str = "seq") -> DataFrame:
     """``object_hash, offset, length`` of a bump allocator in order of first appearance.
 
-    Running sums run inside ranges of the order and one row for each range carries the offset on.
+    The blobs are dealt in ranges of the order, of about equal rows, to tasks; running sums run inside a task, and
+    one row for each task carries the offset on.
     """
     first = blobs.groupBy("object_hash").agg(F.min(F.struct(seq, "length")).alias("x")).select("object_hash", F.col(f"x.{seq}").alias("seq"), F.col("x.length").alias("length"))
-    ends = first.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).first()
-    width = max(1, -(-((ends.hi or 0) - (ends.lo or 0) + 1) // buckets))
-    cut = first.withColumn("b", F.floor((F.col("seq") - (ends.lo or 0)) / width))
+    dealt = first.repartitionByRange("seq", "object_hash").withColumn("b", F.spark_partition_id())
     inner = Window.partitionBy("b").orderBy("seq", "object_hash").rowsBetween(Window.unboundedPreceding, -1)
-    sums = cut.groupBy("b").agg(F.sum("length").alias("n"))
-    base = sums.select("b", F.coalesce(F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # at most buckets rows
-    return cut.withColumn("o", F.coalesce(F.sum("length").over(inner), F.lit(0))).join(F.broadcast(base), "b").select("object_hash", (F.col("base") + F.col("o")).alias("offset"), "length")
+    sums = dealt.groupBy("b").agg(F.sum("length").alias("n"), F.min(F.struct("seq", "object_hash")).alias("least"), F.max(F.struct("seq", "object_hash")).alias("most"))
+    base = sums.select("least", "most", F.coalesce(F.sum("n").over(Window.orderBy("least").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # one row for each task
+    rows = dealt.withColumns({"o": F.coalesce(F.sum("length").over(inner), F.lit(0)), "k": F.struct("seq", "object_hash")})
+    return rows.join(F.broadcast(base), F.col("k").between(F.col("least"), F.col("most"))).select("object_hash", (F.col("base") + F.col("o")).alias("offset"), "length")
 
 
 def next_offset(alloc: DataFrame) -> DataFrame:
@@ -161,7 +155,7 @@ def next_offset(alloc: DataFrame) -> DataFrame:
 def multipart(parts: DataFrame) -> DataFrame:
     """``upload_id, n_parts, size, object_hash`` of completed uploads: parts by number, repeated numbers all kept."""
     rows = parts.groupBy("upload_id").agg(F.sort_array(F.collect_list(F.struct("part_number", "arrival", "data"))).alias("p"))  # an upload has at most 10,000 parts
-    whole = F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["data"]))
+    whole = joined(F.transform("p", lambda x: x["data"]))
     return rows.select("upload_id", F.size("p").alias("n_parts"), F.octet_length(whole).cast("bigint").alias("size"), F.sha2(whole, 256).alias("object_hash"))
 
 
