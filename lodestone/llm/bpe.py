@@ -1,16 +1,23 @@
 """Byte-level BPE encoding and decoding through a minimal acyclic transducer.
 
-The most frequent pieces of all documents are compiled, with the ids that their
+The most frequent words of all documents are compiled, with the ids that their
 merges give, into a minimal acyclic automaton with shared suffixes.  Each arc
 carries the number of words before it, so the sum along a word's path is the
 word's rank, and the rank addresses its ids.  The automaton is one flat file,
 which Spark hands to the executors from the shared folder and each worker maps
-into memory.  Pieces that aren't in it are merged exactly, pair by pair.
+into memory.
+
+Texts are cut into the vocabulary's pieces a batch at a time, and all pieces of
+a batch walk the automaton together, a byte a step.  Pieces that aren't in it
+are merged exactly, all new ones of a batch together, and only those are
+remembered.  Texts with characters whose kind isn't known here (neither Western
+letters nor marks) are cut by the vocabulary's own pattern.
 
 Null text encodes to no ids and decodes to an empty text.  The special token's
 string in a text becomes its id, as the tokenizers library has it.  Very long
-pieces merge in time n log n.  Repeated rows give repeated rows, empty tables
-empty results; only the id and the text are read.
+pieces merge in time n log n.  Of equally frequent words all are in the lexicon
+or none.  Repeated rows give repeated rows, empty tables empty results; only the
+id and the text are read.
 """
 
 from __future__ import annotations
@@ -21,9 +28,9 @@ import json
 import mmap
 import re
 import struct
-from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +39,13 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import new_path, stash
+from ._base import col, new_path, stash
+from .merges import Merges, placed
+from .words import SHORT, Memory, flat, gather, in_order, slices
 
-#: Words in the lexicon, bytes of its longest word, and pieces that a worker remembers.
-LEXICON, LONGEST, CACHE = 131_072, 32, 900_000
+#: Words in the lexicon, and bytes of its longest word.
+LEXICON, LONGEST = 131_072, 32
+_SLICE = 4 << 20
 _COUNTED, _SHORT, _STEPS = 1 << 18, 40, 64
 # The piece pattern of the byte-level vocabulary, with the white space that the library's engine knows.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -146,107 +156,222 @@ def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
             n += below[target]
         first.append(len(rows))
     ids = [words[w] for w in order]
-    parts = [np.array(first, "<u4"), np.array([f for f, _ in finished], "u1"), np.array([r[0] for r in rows], "u1"), np.array([r[1] for r in rows], "<u4"), np.array([r[2] for r in rows], "<u4"), np.cumsum([0, *map(len, ids)]).astype("<u4"), np.array([k for x in ids for k in x], "<u4")]
-    head = struct.pack("<5I", root, len(finished), len(rows), len(ids), sum(map(len, ids)))
-    return head + b"".join(p.tobytes() for p in parts)
+    label, target, before = (np.array([r[k] for r in rows], "<u4") for k in range(3))
+    source = np.repeat(np.arange(len(finished), dtype="<u4"), np.diff(first))
+    # an arc is found by its state and byte in one of two tables
+    keys = source << np.uint32(8) | label
+    bits, tables = placed(lambda bits: [arc_slot(keys, k, bits) for k in (0, 1)], len(keys))
+    parts = [np.array([f for f, _ in finished], "u1"), target, before, np.cumsum([0, *map(len, ids)]).astype("<u4"), np.array([k for x in ids for k in x], "<u4")]
+    for t in tables:
+        parts += [np.where(t >= 0, keys[np.maximum(t, 0)], np.uint32(0xFFFFFFFF)).astype("<u4") if len(keys) else np.full(len(t), 0xFFFFFFFF, "<u4"), t.astype("<i4")]
+    head = struct.pack("<6I", root, len(finished), len(rows), len(ids), sum(map(len, ids)), bits)
+    return head + b"".join(p.tobytes() + bytes(-len(p.tobytes()) % 8) for p in parts)
+
+
+def arc_slot(keys: np.ndarray, side: int, bits: int) -> np.ndarray:
+    """An arc's place in one of the two tables."""
+    k = keys ^ (keys >> np.uint32(15)) if side else keys
+    return (k * np.uint32((0x9E3779B1, 0x85EBCA77)[side])) >> np.uint32(32 - bits)
 
 
 class Lexicon:
     """A compiled automaton in any buffer, such as a mapped file."""
 
     def __init__(self, data):
-        self.root, states, arcs, n, ids = struct.unpack_from("<5I", data)
-        at, view, parts = 20, memoryview(data), []
-        for code, count in (("I", states + 1), ("B", states), ("B", arcs), ("I", arcs), ("I", arcs), ("I", n + 1), ("I", ids)):
-            size = count * (4 if code == "I" else 1)
-            parts.append(view[at : at + size].cast(code))
-            at += size
-        self.first, self.final, labels, self.target, self.before, self.at, self.ids = parts
-        self.find, self.states = bytes(labels).find, states
+        self.root, self.states, arcs, self.words, ids, self.bits = struct.unpack_from("<6I", data)
+        at, view, parts = 24, memoryview(data), []
+        size = 1 << self.bits
+        for code, count in (("u1", self.states), ("<u4", arcs), ("<u4", arcs), ("<u4", self.words + 1), ("<u4", ids), ("<u4", size), ("<i4", size), ("<u4", size), ("<i4", size)):
+            n = count * np.dtype(code).itemsize
+            parts.append(np.frombuffer(view[at : at + n], code))
+            at += n + -n % 8
+        self.final, self.target, self.before, self.at, self.ids = parts[:5]
+        self.keys, self.arcs = parts[5::2], parts[6::2]
+
+    def walk(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The rank of every word, -1 for those that aren't in the lexicon; all words go a byte a step."""
+        out = np.full(len(starts), -1, np.int64)
+        live = np.flatnonzero(ends - starts <= LONGEST)
+        at, stop = starts[live], ends[live]
+        state, rank = np.full(len(live), self.root, np.uint32), np.zeros(len(live), np.uint32)
+        while len(live):
+            over = at == stop
+            if over.any():
+                k = np.flatnonzero(over & (self.final[state] > 0))
+                out[live[k]] = rank[k]
+                on = ~over
+                live, at, stop, state, rank = live[on], at[on], stop[on], state[on], rank[on]
+                if not len(live):
+                    break
+            key = state << np.uint32(8) | data[at]
+            slot = arc_slot(key, 0, self.bits)
+            arc = np.where(self.keys[0][slot] == key, self.arcs[0][slot], -1)
+            rest = np.flatnonzero(arc < 0)
+            slot = arc_slot(key[rest], 1, self.bits)
+            arc[rest] = np.where(self.keys[1][slot] == key[rest], self.arcs[1][slot], -1)
+            on = arc >= 0
+            arc = arc[on]
+            live, at, stop, state, rank = live[on], at[on] + 1, stop[on], self.target[arc], rank[on] + self.before[arc]
+        return out
 
     def get(self, word: bytes) -> list[int] | None:
         """The ids of a word, or None."""
-        state, rank, first, find = self.root, 0, self.first, self.find
-        for c in word:
-            arc = find(c, first[state], first[state + 1])
-            if arc < 0:
-                return None
-            rank += self.before[arc]
-            state = self.target[arc]
-        return self.ids[self.at[rank] : self.at[rank + 1]].tolist() if self.final[state] else None
-
-
-class Encoder(dict):
-    """Maps pieces to their ids as bytes; what isn't remembered goes through the lexicon, else it is merged.
-
-    In a text whose white space is single blanks and line ends between words, no
-    piece reaches beyond a blank and the word behind it, so such words are
-    remembered as wholes.
+        rank = int(self.walk(np.frombuffer(word + bytes(SHORT), np.uint8), np.zeros(1, np.int64), np.array([len(word)]))[0])
+        return None if rank < 0 else self.ids[self.at[rank] : self.at[rank + 1]].tolist()
+
+
+#: Kinds of characters: 0 white space, 1 letters, 2 numbers, 3 others, 9 not known here.
+_KINDS = np.full(256, 9, np.uint8)
+_KINDS[:128] = 3
+_KINDS[[9, 10, 11, 12, 13, 32]] = 0
+_KINDS[[c for c in range(128) if chr(c).isalpha()]] = 1
+_KINDS[48:58] = 2
+#: By the first byte less 0xC2 and the second less 0x80: letters up to U+024F, all beyond Latin-1 are; U+0085 and U+00A0 are white space.
+_TWO = np.ones((8, 64), np.uint8)
+_TWO[0] = [9 if c in (0x85, 0xA0) else 1 if chr(c).isalpha() else 2 if chr(c).isnumeric() else 3 for c in range(0x80, 0xC0)]
+_TWO[1] = [1 if chr(c).isalpha() else 3 for c in range(0xC0, 0x100)]
+#: Third bytes behind E2 80 and E2 82: general punctuation without its white space and directions, currency signs.
+_THREE = np.full((2, 64), 9, np.uint8)
+_THREE[0, 0x0B:0x28] = 3
+_THREE[0, 0x30:0x40] = 3
+_THREE[1, 0x20:0x40] = 3
+
+
+def _kinds(data: np.ndarray) -> np.ndarray:
+    """The kind of every byte's character; ``data`` has zeros behind it."""
+    kind = _KINDS[data]
+    lead = np.flatnonzero(data >= 0xC2)
+    first, second, third = data[lead], data[lead + 1], data[lead + 2]
+    two = first <= 0xC9
+    k = _TWO[first[two] - 0xC2, second[two] & 63]
+    kind[lead[two]] = kind[lead[two] + 1] = k
+    three = (first == 0xE2) & ((second == 0x80) | (second == 0x82))
+    k = _THREE[(second[three] == 0x82).astype(np.int64), third[three] & 63]
+    kind[lead[three]] = kind[lead[three] + 1] = kind[lead[three] + 2] = k
+    return kind
+
+
+def cut_pieces(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the vocabulary's pieces, and the numbers of texts whose pieces must be found otherwise.
+
+    Runs of letters, of numbers and of other marks are pieces, with a blank before them if there is one; of white
+    space before them all but its last character is one; letters of a contraction go with an apostrophe that
+    neither a blank nor a mark precedes.
     """
-
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None):
-        super().__init__()
+    n = len(data) - SHORT
+    kind = _kinds(data)[:n]
+    text = data[:n]
+    opens = np.zeros(n + 1, bool)
+    opens[ends] = True
+    first, last = opens[:-1], opens[1:]
+    space = kind == 0
+    before = np.empty(n, np.uint8)
+    before[:1], before[1:] = 9, kind[:-1]
+    blank = np.zeros(n, bool)
+    blank[1:] = text[:-1] == 32
+    blank &= ~first
+    start = space & (first | (before != 0))
+    start[:-1] |= space[:-1] & ~space[1:] & ~last[:-1]
+    start |= ~space & (first | (before != kind)) & ~blank
+    quote = np.flatnonzero((text == 39) & (first | (before == 1) | (before == 2) | ((before == 0) & ~blank)))
+    if len(quote):
+        left = ends[np.searchsorted(ends, quote, "right")] - quote  # bytes of the text from here on
+        a, b = data[quote + 1], data[quote + 2]
+        one = (left > 1) & ((a == 115) | (a == 116) | (a == 109) | (a == 100))
+        two = (left > 2) & (((a == 114) | (a == 118)) & (b == 101) | (a == 108) & (b == 108))
+        size = np.where(one, 2, np.where(two, 3, 0))
+        on = size > 0
+        quote, size, left = quote[on], size[on], left[on]
+        start[quote + 1] = False
+        goes_on = size < left
+        behind = (quote + size)[goes_on]
+        start[behind] |= ~space[behind]
+    starts = np.flatnonzero(start)
+    odd = np.unique(np.searchsorted(ends, np.flatnonzero(kind == 9), "right")) - 1
+    return starts, np.r_[starts[1:], n] if len(starts) else starts, odd
+
+
+class Encoder:
+    """Ids of texts by batch: pieces walk the lexicon, and what it lacks is merged and remembered."""
+
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.pieces = regex.compile(_PIECES).findall
-        self.words = _Words(self)
-
-    def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode()
-        short = len(raw) <= LONGEST
-        ids = self.lexicon.get(raw) if self.lexicon and short else None
-        out = array("i", self.vocabulary.merge(raw) if ids is None else ids).tobytes()
-        if short:
-            if len(self) >= CACHE:
-                self.clear()
-            self[piece] = out
-        return out
-
-    def _plain(self, text: str) -> bytes:
-        words = text.split(" ")
-        if len(words) + text.count("\n") != len(text.split()):
-            return b"".join(map(self.__getitem__, self.pieces(text)))
-        head = b"".join(map(self.__getitem__, self.pieces(words[0])))
-        del words[0]
-        return head + b"".join(map(self.words.__getitem__, words))
-
-    def encode(self, text: str) -> np.ndarray:
+        self.pattern = regex.compile(_PIECES).findall
+        self.single = np.array(vocabulary.single, np.int32)
+        left, right, new = (np.array(x, np.int64) for x in zip(*((a, b, new) for (a, b), (_, new) in sorted(vocabulary.ranks.items(), key=lambda x: x[1][0])), strict=True))
+        self.merges = Merges(left, right, new)
+        self.memory = Memory(self._new, first=lexicon.ids)
+        self.walked = self.met = 0
+
+    def _new(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces by merging, and their numbers."""
+        size = ends - starts
+        counts, parts = np.zeros(len(size), np.int64), []
+        for low, high in pairwise((0, 4, 6, 8, 10, 12, SHORT, 2 * SHORT)):
+            at = np.flatnonzero((size > low) & (size <= high))
+            if len(at):
+                cells = np.arange(high)
+                rows = np.where(cells < size[at, None], self.single[data[np.minimum(starts[at, None] + cells, len(data) - 1)]], -1)
+                ids, counts[at] = self.merges.run(rows)
+                parts.append((at, ids))
+        at = np.flatnonzero(size > 2 * SHORT)
+        found = [self.vocabulary.merge(data[i:j].tobytes()) for i, j in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        counts[at] = [len(x) for x in found]
+        parts.append((at, np.array([k for x in found for k in x], np.uint32)))
+        return in_order(parts, counts), counts
+
+    def _ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, one behind the other, and their numbers."""
+        rank = self.lexicon.walk(data, starts, ends)
+        known = rank >= 0
+        self.walked, self.met = self.walked + int(known.sum()), self.met + len(rank)
+        at, n = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
+        at[known] = self.lexicon.at[rank[known]]
+        n[known] = self.lexicon.at[rank[known] + 1] - self.lexicon.at[rank[known]]
+        rest = ~known
+        at[rest], n[rest] = self.memory.look(data, starts[rest], ends[rest])
+        return gather(self.memory.ids, at, n), n
+
+    def _whole(self, text: str) -> np.ndarray:
+        """Ids of a text by the vocabulary's own pattern, with its special tokens."""
         cut, special = self.vocabulary.cut, self.vocabulary.special
-        parts = cut.split(text) if cut and any(s in text for s in special) else [text]
-        out = [array("i", [special[part]]).tobytes() if k % 2 else self._plain(part) for k, part in enumerate(parts)]
-        return np.frombuffer(b"".join(out), "<i4")
+        out = [np.empty(0, np.uint32)]
+        for k, part in enumerate(cut.split(text) if cut else [text]):
+            if k % 2:
+                out.append(np.array([special[part]], np.uint32))
+            elif part:
+                data, ends = flat(pa.array(self.pattern(part)))
+                out.append(self._ids(data, ends[:-1], ends[1:])[0])
+        return np.concatenate(out)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one behind the other, and each text's number of ids."""
+        data, ends = flat(texts)
+        starts, stops, odd = cut_pieces(data, ends)
+        raw = data.tobytes()
+        special = [m.start() for t in self.vocabulary.special for m in re.finditer(re.escape(t.encode()), raw)]
+        odd = np.union1d(odd, np.searchsorted(ends, special, "right") - 1).astype(np.int64)
+        if len(odd):
+            strange = np.zeros(len(ends) - 1, bool)
+            strange[odd] = True
+            own = ~strange[np.searchsorted(ends, starts, "right") - 1]
+            starts, stops = starts[own], stops[own]
+        ids, n = self._ids(data, starts, stops)
+        total = np.r_[0, np.cumsum(n)][np.searchsorted(starts, ends)]
+        counts = np.diff(total)
+        if not len(odd):
+            return ids, counts
+        parts, last = [], 0
+        for d in odd.tolist():
+            whole = self._whole(raw[ends[d] : ends[d + 1]].decode())
+            parts += [ids[last : total[d]], whole]
+            last, counts[d] = total[d], len(whole)
+        return np.concatenate([*parts, ids[last:]]), counts
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.vocabulary.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-class _Words(dict):
-    """Ids of a blank and the word behind it."""
-
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, word: str) -> bytes:
-        e = self.encoder
-        if word.isalpha():
-            out = e[" " + word]
-        elif word[:-1].isalpha() and not word[-1].isalnum() and word[-1] != "'":
-            out = self[word[:-1]] + e[word[-1]]  # letters and one mark
-        elif "\n" in word:
-            head, _, tail = word.partition("\n")
-            if head[-1:].isspace() or not tail or not tail.isalpha() or tail[0].isspace():
-                out = b"".join(map(e.__getitem__, e.pieces(" " + word)))
-            else:
-                out = self[head] + e["\n"] + e[tail]
-        else:
-            out = b"".join(map(e.__getitem__, e.pieces(" " + word)))
-        if len(word) <= LONGEST and "\n" not in word:
-            if len(self) >= CACHE:
-                self.clear()
-            self[word] = out
-        return out
-
-
 def frequent_words(docs: DataFrame, text: str = "text", size: int = LEXICON) -> list[str]:
     """The most frequent words of all texts, at most ``size``, with the blank before them.
 
@@ -269,7 +394,7 @@ def frequent_words(docs: DataFrame, text: str = "text", size: int = LEXICON) ->
                     sums.clear()
         yield out()
 
-    counts = docs.select(F.col(text).cast("string")).mapInArrow(count, "p string, c long")
+    counts = docs.select(col(text).cast("string")).mapInArrow(count, "p string, c long")
     counts = counts.where(F.octet_length("p") < LONGEST).groupBy("p").agg(F.sum("c").alias("c")).where("c > 1")
     counts = stash(counts.select("p", F.floor(F.log2("c") * _STEPS).cast("int").alias("step")), "words")
     # a sorted limit would send its number of rows from every partition to the driver; the steps are a few hundred
@@ -314,17 +439,20 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text
     with open(path, "rb") as f:
         raw = f.read()
     vocabulary = Vocabulary(raw)
-    data = compile_lexicon({p.encode(): vocabulary.merge(p.encode()) for p in frequent_words(docs, text, lexicon)})
+    marks = [x + chr(c) for c in range(128) for x in ("", " ")]
+    data = compile_lexicon({p.encode(): vocabulary.merge(p.encode()) for p in [*marks, *frequent_words(docs, text, lexicon)]})
     name, spec = share(spark, data), spark.sparkContext.broadcast(raw)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _encoder(spec, name)
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                ids = [e.encode(t or "") for t in part.column(1).to_pylist()]
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, "<i4"), *ids]))), pa.array([e.decode(x) for x in ids], pa.string())], [id_col, "ids", "decoded"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text).cast("string").alias("__t")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string")
+            first = 0
+            for texts in slices(b.column(1), _SLICE):
+                ids, n = e.encode(texts)
+                ends = np.r_[0, np.cumsum(n)]
+                decoded = [e.decode(ids[i:j]) for i, j in pairwise(ends.tolist())]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32))), pa.array(decoded, pa.string())], ["id", "ids", "decoded"])
+                first += len(texts)
+
+    rows = docs.select(col(id_col).alias("id"), col(text).cast("string").alias("t")).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, ids array<int>, decoded string")
+    return rows.select(F.col("id").alias(id_col), "ids", "decoded")

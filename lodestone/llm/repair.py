@@ -38,7 +38,7 @@ from tokenizers import Tokenizer
 from ._base import new_path, small, stash, text_hash
 from .bpe import byte_of_char
 from .merges import Merges
-from .words import SHORT, Memory, cut, flat, gather, lowered, slices
+from .words import SHORT, Memory, cut, flat, gather, in_order, lowered, slices
 
 END_ID, SHARD_IDS, MIN_PAIRS, PER_ROUND = 1, 1 << 20, 8, 8192
 _SLICE, _SLOT_BITS = 4 << 20, 20
@@ -95,12 +95,7 @@ class WordEncoder:
         found = [self.tokenizer.encode(data[i:j].tobytes().decode(), add_special_tokens=False).ids for i, j in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
         counts[at] = [len(x) for x in found]
         parts.append((at, np.array([k for x in found for k in x], np.uint32)))
-        begin = np.cumsum(counts) - counts
-        out = np.empty(int(counts.sum()), np.uint32)
-        for at, ids in parts:
-            n = counts[at]
-            out[np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
-        return out, counts
+        return in_order(parts, counts), counts
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one behind the other, and each text's number of ids."""

@@ -113,17 +113,18 @@ class Memory:
 
     It returns the ids, one word's behind the other's, and their number for each word.
     Two places for each hash hold a key of three numbers and where its ids lie; a word that finds both taken
-    replaces the first.  When ``most`` ids are held, all is forgotten.
+    replaces the first.  When ``most`` ids are held, all is forgotten but ``first``, ids that are held in front.
     """
 
-    def __init__(self, make: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], bits: int = 21, most: int = 1 << 23):
+    def __init__(self, make: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], bits: int = 21, most: int = 1 << 23, first: np.ndarray | None = None):
         self.make, self.bits, self.most = make, bits, most
+        self.first = np.empty(0, np.uint32) if first is None else first
         self.clear()
 
     def clear(self) -> None:
         # first bytes, last bytes, length, place of the ids << 32 | their number
         self.table = np.zeros((1 << self.bits, 4), np.uint64)
-        self.ids, self.used = np.empty(1 << 20, np.uint32), 0
+        self.ids, self.used = np.concatenate([self.first, np.empty(1 << 20, np.uint32)]), len(self.first)
 
     def _keep(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Puts the ids of new words away; place << 32 | number of each."""
@@ -138,7 +139,7 @@ class Memory:
 
     def look(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each word, where its ids lie in ``self.ids`` and how many; good until the next call."""
-        if self.used > self.most:
+        if self.used - len(self.first) > self.most:
             self.clear()
         size = ends - starts
         small = np.flatnonzero(size <= SHORT)
@@ -174,6 +175,16 @@ class Memory:
         return (found >> np.uint64(32)).astype(np.int64), (found & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
+def in_order(parts: list[tuple[np.ndarray, np.ndarray]], counts: np.ndarray) -> np.ndarray:
+    """Ids of words that were made in parts: each has its words' numbers and their ids, one behind the other."""
+    begin = np.cumsum(counts) - counts
+    out = np.empty(int(counts.sum()), np.uint32)
+    for at, ids in parts:
+        n = counts[at]
+        out[np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+    return out
+
+
 def gather(ids: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
     """``ids[at[k] : at[k] + n[k]]`` for every k, one behind the other."""
     total = np.cumsum(n)
