@@ -216,31 +216,3 @@ def _walk(b: Column, n: Column, start: int, kind: str, entry) -> Column:
 
     end = F.aggregate(F.when(n > 0, F.sequence(F.lit(1).cast("bigint"), n)).otherwise(F.array().cast("array<bigint>")), zero, step)
     return F.when(end["at"].isNotNull(), end["p"])
-
-
-def unframe_chunks(raw: bytes) -> tuple[bytes, list[str], dict[str, str]]:
-    """The payload, chunk signatures and trailers of a chunked upload body; ValueError for a broken one."""
-    at, parts, signatures = 0, [], []
-    while True:
-        end = raw.find(b"\r\n", at)
-        if end < 0:
-            raise ValueError("a chunk's head is cut short")
-        size, _, rest = raw[at:end].partition(b";")
-        n = int(size, 16)
-        signatures += [rest.partition(b"chunk-signature=")[2].decode()] if b"chunk-signature=" in rest else []
-        at = end + 2
-        if n == 0:
-            break
-        if raw[at + n : at + n + 2] != b"\r\n":
-            raise ValueError("a chunk doesn't end where its length says")
-        parts.append(raw[at : at + n])
-        at += n + 2
-    trailers = dict(line.split(":", 1) for line in raw[at:].decode().split("\r\n") if ":" in line)
-    return b"".join(parts), signatures, {k.strip().lower(): v.strip() for k, v in trailers.items()}
-
-
-def frame_chunks(payload: bytes, size: int, signatures: list[str] | None = None) -> bytes:
-    """A chunked upload body of ``payload``."""
-    cuts = [payload[k : k + size] for k in range(0, len(payload), size)] + [b""]
-    sign = signatures or [""] * len(cuts)
-    return b"".join(b"%x%s\r\n%s\r\n" % (len(c), f";chunk-signature={s}".encode() if s else b"", c) for c, s in zip(cuts, sign, strict=False))

@@ -21,6 +21,13 @@ METRICS = (
 )
 
 
+# Help of a process's own metrics.
+PROCESS_HELP = {
+    "uptime_seconds": "Server uptime in seconds.", "goroutines": "Current number of goroutines.", "memory_alloc_bytes": "Allocated memory in bytes.",
+    "memory_sys_bytes": "System memory in bytes.", "gc_runs_total": "Total number of GC runs.", "build_info": "Build information.",
+}
+
+
 def totals(samples: DataFrame, instance: str = "user_id") -> DataFrame:
     """Counters of each instance from its events; open and closed connections make the gauge."""
     kind = F.col("event_type")
@@ -54,6 +61,23 @@ def rates(samples: DataFrame, when: Column, range_s: int, step_s: int, ts_us: st
     return samples.where(when).select(by, ends.alias("w")).groupBy(by, "w").agg(F.count(F.lit(1)).alias("n")).select(by, (F.col("w") * step).alias("window_end_us"), (F.col("n") / range_s).alias("per_second"))
 
 
+def gauges(samples: DataFrame, by: str, value: Column, bad: Column) -> DataFrame:
+    """``by, total, mebibytes, error_percent``: a gauge summed over instances, its sum in mebibytes, and the share of bad samples."""
+    total = F.sum(value)
+    return samples.groupBy(by).agg(total.alias("total"), (total / F.lit(1048576.0)).alias("mebibytes"), (F.lit(100.0) * F.count_if(bad) / F.count(F.lit(1))).alias("error_percent"))
+
+
+#: The answer of a health check.
+HEALTH = "OK"
+
+
+def process_lines(prefix: str, uptime_s: float, tasks: int, alloc: int, reserved: int, gc_runs: int, host: str) -> list[str]:
+    """The lines of a process's own six metrics, after those of ``exposition``."""
+    rows = (("uptime_seconds", "gauge", f"{uptime_s:.2f}"), ("goroutines", "gauge", tasks), ("memory_alloc_bytes", "gauge", alloc), ("memory_sys_bytes", "gauge", reserved), ("gc_runs_total", "counter", gc_runs))
+    out = [x for (name, kind, value) in rows for x in (f"# HELP {prefix}_{name} {PROCESS_HELP[name]}", f"# TYPE {prefix}_{name} {kind}", f"{prefix}_{name} {value}")]
+    return [*out, f"# HELP {prefix}_build_info {PROCESS_HELP['build_info']}", f"# TYPE {prefix}_build_info gauge", f'{prefix}_build_info{{hostname="{host}"}} 1']
+
+
 def increase(samples: DataFrame, by: str, ts: str, value: str, bucket: Column | None = None) -> DataFrame:
     """The growth of counters that may start anew from 0: a fall counts the new value whole.
 

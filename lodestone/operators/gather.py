@@ -34,9 +34,13 @@ def quorum(n: Column) -> Column:
     return F.when(n <= 0, 0).otherwise(F.floor(n / 2).cast("int") + 1)
 
 
-def lease_results(grants: DataFrame, peers: int, known: int) -> DataFrame:
-    """``lease_id, granted, acquired`` over alive ``peers``; with peers known but none alive nothing is acquired."""
-    votes = grants.groupBy("lease_id").agg(F.count_if("granted").alias("granted"))
+def lease_results(grants: DataFrame, peers: int, known: int, duration_ns: int | None = None) -> DataFrame:
+    """``lease_id, granted, acquired`` over alive ``peers``; with peers known but none alive nothing is acquired.
+
+    With a duration, only grants ``waited_ns`` of which is at most half of it count: no longer does anyone wait.
+    """
+    vote = F.col("granted") if duration_ns is None else F.col("granted") & (F.col("waited_ns") <= duration_ns // 2)
+    votes = grants.groupBy("lease_id").agg(F.count_if(vote).alias("granted"))
     cut_off = known > 0 and peers == 0
     return votes.select("lease_id", "granted", (F.lit(not cut_off) & (F.col("granted") >= quorum(F.lit(peers)))).alias("acquired"))
 

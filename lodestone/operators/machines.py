@@ -3,8 +3,8 @@
 Each is one step function from a state to the next, on columns.  A batch runs
 it over a key's events in order with ``aggregate``; the streaming twins keep
 the same state between batches.  The events of a key are collected for the
-fold, so the batch form takes ``buckets`` of bounded time through ``chunked``
-where a key may be hot.
+fold, which bounds a key's history in a batch by a task's memory; beyond that
+the twins run the same steps over a stored stream.
 """
 
 from __future__ import annotations
@@ -75,14 +75,12 @@ def replay_liveness(events: DataFrame, tick_ns: int, timeout_ns: int, until_ns:
     """
     from pyspark.sql import Window
 
-    last = Window.partitionBy("peer").orderBy("ts_ns")
     # a hot peer's beats spread over buckets of an hour; the edge of a bucket takes the first beat of the next one
     hour = F.floor(F.col("ts_ns") / (3600 * SECOND))
     beats = events.select("peer", "ts_ns", hour.alias("b"))
     edge = beats.groupBy("peer", "b").agg(F.min("ts_ns").alias("first")).withColumn("next_first", F.lead("first").over(Window.partitionBy("peer").orderBy("b"))).select("peer", "b", "next_first")
     inside = Window.partitionBy("peer", "b").orderBy("ts_ns")
     gaps = beats.withColumn("n", F.lead("ts_ns").over(inside)).join(edge, ["peer", "b"]).select("peer", "ts_ns", F.coalesce("n", "next_first", F.lit(until_ns)).alias("next_ts"), F.coalesce("n", "next_first").isNull().alias("final"))
-    del last
     # ticks at multiples of tick_ns: the first that finds the peer beyond a bound
     tick_after = lambda t: (F.floor(t / tick_ns) + 1) * tick_ns
     suspect_at = tick_after(F.col("ts_ns") + timeout_ns)
@@ -183,9 +181,38 @@ def alive_by_quality(peers: DataFrame) -> DataFrame:
     return peers.where(F.col("state") == ALIVE).orderBy(F.col("rtt_ns") == 0, "rtt_ns", "id")
 
 
+def ranked(rows: DataFrame, order: list[Column], out: str = "place") -> DataFrame:
+    """``rows`` with their place in the order, from 1; ranges of the order are dealt to tasks, one row for each carries the count on."""
+    from pyspark.sql import Window
+
+    dealt = rows.repartitionByRange(*order).withColumn("__b", F.spark_partition_id())
+    inner = F.row_number().over(Window.partitionBy("__b").orderBy(*order))
+    sums = dealt.groupBy("__b").agg(F.count(F.lit(1)).alias("n"))
+    before = sums.select("__b", F.coalesce(F.sum("n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__n"))  # one row for each task
+    return dealt.withColumn("__p", inner).join(F.broadcast(before), "__b").withColumn(out, (F.col("__n") + F.col("__p")).cast("int")).drop("__b", "__p", "__n")
+
+
 def random_peers(peers: DataFrame, k: int, exclude: int, round_: int) -> DataFrame:
     """``k`` alive peers in an order that the round's number settles, without one's own."""
-    return peers.where((F.col("state") == ALIVE) & (F.col("id") != exclude)).orderBy(F.xxhash64("id", F.lit(round_)), "id").limit(k)
+    chance = F.sha2(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(round_))), 256)
+    return peers.where((F.col("state") == ALIVE) & (F.col("id") != exclude)).orderBy(chance, "id").limit(k)
+
+
+def swept(leases: DataFrame, now_ns: int) -> DataFrame:
+    """The leases that a sweep leaves: those that haven't expired before now."""
+    return leases.where(F.col("expiry") >= now_ns)
+
+
+def membership_events(known: DataFrame, members: DataFrame) -> DataFrame:
+    """``id, event``: a join for each member that wasn't known."""
+    return members.select("id").distinct().join(known.select("id"), "id", "left_anti").select("id", F.lit("join").alias("event"))
+
+
+def garbage(objects: DataFrame, tombs: DataFrame, now_ns: int, retention_ns: int) -> DataFrame:
+    """``kind, key`` of what one run of the collector removes: orphans first, then expired tombstones."""
+    from .state import expired, orphans
+
+    return orphans(objects).select(F.lit("object").alias("kind"), F.col("object_hash").alias("key")).unionByName(expired(tombs, now_ns, retention_ns).select(F.lit("tombstone").alias("kind"), F.col("name").alias("key")))
 
 
 def probe(pings: DataFrame, acks: DataFrame, timeout_ns: int = 500 * MS) -> DataFrame:
@@ -194,3 +221,17 @@ def probe(pings: DataFrame, acks: DataFrame, timeout_ns: int = 500 * MS) -> Data
     near = (F.col("ping_id") == F.col("__p")) & F.col("ack_ns").between(F.col("ts_ns"), F.col("ts_ns") + timeout_ns)
     met = pings.join(a, near, "left").groupBy("ping_id", "target", "ts_ns").agg(F.min("ack_ns").alias("ack_ns"))
     return met.select("ping_id", "target", (F.col("ack_ns") - F.col("ts_ns")).alias("rtt_ns"), F.col("ack_ns").isNull().alias("suspect"))
+
+
+def probe_twice(pings: DataFrame, acks: DataFrame, timeout_ns: int = 500 * MS) -> DataFrame:
+    """Pings ``(ping_id, target, ts_ns, helpers)`` with the outcome of both waits.
+
+    An ack within the timeout answers directly.  Without one, helpers are asked, and an ack within a second timeout
+    answers through them; without a helper, or without an ack by then, the target turns suspect.
+    """
+    a = acks.select(F.col("ping_id").alias("__p"), F.col("ts_ns").alias("ack_ns"))
+    near = (F.col("ping_id") == F.col("__p")) & F.col("ack_ns").between(F.col("ts_ns"), F.col("ts_ns") + 2 * timeout_ns)
+    met = pings.join(a, near, "left").groupBy("ping_id", "target", "ts_ns", "helpers").agg(F.min("ack_ns").alias("ack_ns"))
+    wait = F.col("ack_ns") - F.col("ts_ns")
+    how = F.when(wait <= timeout_ns, "direct").when((F.col("helpers") > 0) & wait.isNotNull(), "indirect").otherwise("suspect")
+    return met.select("ping_id", "target", how.alias("outcome"), F.when(how != "suspect", wait).alias("rtt_ns"))

@@ -108,9 +108,27 @@ def has(objects: DataFrame, hashes: DataFrame) -> DataFrame:
     return hashes.join(known, "object_hash", "left").select("object_hash", F.coalesce("__f", F.lit(False)).alias("found"))
 
 
-def copy_objects(ns: DataFrame, requests: DataFrame) -> DataFrame:
-    """Puts for ``requests(source, target)``: the target becomes an alias of the source's hash, which gains a reference."""
-    return requests.join(ns.withColumnRenamed("name", "source"), "source").select(F.col("target").alias("name"), "object_hash", F.lit("put").alias("op"))
+def copy_objects(ns: DataFrame, requests: DataFrame, headers: DataFrame | None = None) -> DataFrame:
+    """Puts for ``requests(source, target)``: the target becomes an alias of the source's hash.
+
+    Each adds a reference (``delta``) to it, which belongs into the log like any put; headers ``(name, headers)``
+    go along.
+    """
+    out = requests.join(ns.withColumnRenamed("name", "source"), "source").withColumns({"op": F.lit("put"), "delta": F.lit(1)})
+    if headers is None:
+        return out.select(F.col("target").alias("name"), "object_hash", "op", "delta")
+    return out.join(headers.withColumnRenamed("name", "source"), "source", "left").select(F.col("target").alias("name"), "object_hash", "op", "delta", "headers")
+
+
+def open_uploads(started: DataFrame, ended: DataFrame) -> DataFrame:
+    """Uploads that no completion and no abort has ended."""
+    return started.join(ended.select("upload_id"), "upload_id", "left_anti")
+
+
+def bucket_status(verb: Column, bucket: Column, own: str, empty: Column) -> Column:
+    """The HTTP status of a request on a bucket: there is one; it is deleted only while no object is listed."""
+    mine = bucket == own
+    return F.when(~mine, 404).when((verb == "DELETE") & ~empty, 409).when(verb == "DELETE", 204).otherwise(200)
 
 
 def delete_batch(keys: DataFrame) -> DataFrame:

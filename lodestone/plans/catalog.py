@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import strings
-from ..operators import gather, listing, placement, state
+from ..operators import gather, listing, machines, placement, state
 from ..sources import relations as rel
 from ..sources.relations import with_sql
 from .registry import query
@@ -158,10 +158,12 @@ def s3_metadata_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scan(spark, sf_dir, True)
 
 
-@query("s4_has", _FOLD + " SELECT h AS object_hash, objs.object_hash IS NOT NULL AS found FROM (SELECT sha256(i::VARCHAR) AS h FROM range(0, 32) t(i)) LEFT JOIN objs ON h = objs.object_hash")
+@query("s4_has", _FOLD + " SELECT h AS object_hash, objs.object_hash IS NOT NULL AS found FROM (SELECT DISTINCT unnest([object_hash, sha256(object_hash)]) AS h FROM ops) LEFT JOIN objs ON h = objs.object_hash")
 def s4_has(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = spark.range(32).select(F.sha2(F.col("id").cast("string"), 256).alias("object_hash"))
-    return state.has(state.object_table(_ops(spark, sf_dir)), asked)
+    """Every hash of the log, and as many that nobody put."""
+    ops = _ops(spark, sf_dir)
+    asked = ops.select(F.explode(F.array("object_hash", F.sha2("object_hash", 256))).alias("object_hash")).distinct()
+    return state.has(state.object_table(ops), asked)
 
 
 @query("s5_hash_for_name", _FOLD + " SELECT name, object_hash FROM ns ANTI JOIN tombs USING (name)")
@@ -170,11 +172,12 @@ def s5_hash_for_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.namespace(ops).join(state.tombstones(ops), "name", "left_anti").select("name", "object_hash")
 
 
-@query("p14_proof_of_knowledge", _FOLD + " SELECT name, object_hash FROM ns JOIN (SELECT 'u' || u || '/' || s AS name, sha256(((u + s) % 16)::VARCHAR) AS object_hash FROM range(0, 20) a(u), range(0, 8) b(s)) USING (name, object_hash)")
+@query("p14_proof_of_knowledge", _FOLD + " SELECT name, object_hash FROM ns JOIN (SELECT DISTINCT name, unnest([object_hash, sha256(object_hash)]) AS object_hash FROM ops) USING (name, object_hash)")
 def p14_proof_of_knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u, s = F.floor(F.col("id") / 8), F.col("id") % 8
-    claims = spark.range(160).select(F.concat(F.lit("u"), u.cast("string"), F.lit("/"), s.cast("string")).alias("name"), F.sha2(((u + s) % 16).cast("string"), 256).alias("object_hash"))
-    return state.namespace(_ops(spark, sf_dir)).join(claims, ["name", "object_hash"]).select("name", "object_hash")
+    """Every name of the log claims all hashes it ever had, and one for each that it never had."""
+    ops = _ops(spark, sf_dir)
+    claims = ops.select("name", F.explode(F.array("object_hash", F.sha2("object_hash", 256))).alias("object_hash")).distinct()
+    return state.namespace(ops).join(claims, ["name", "object_hash"]).select("name", "object_hash")
 
 
 @query("s7_blob_path", with_sql("objects") + " SELECT DISTINCT object_hash, object_hash[1:2] || '/' || object_hash[3:4] || '/' || object_hash[5:6] || '/' || object_hash AS path FROM objects")
@@ -202,11 +205,40 @@ def m5_expired_tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.expired(state.tombstones(_ops(spark, sf_dir)), _NOW, _KEEP)
 
 
-@query("m7_copy", _FOLD + " SELECT 'copy/' || name AS name, object_hash, 'put' AS op FROM ns WHERE name LIKE 'u1%'")
+@query("m7_copy", _FOLD + ", heads AS (SELECT name, arg_max('t' || (op_ts % 7), (seq, op_id)) AS h FROM ops WHERE op = 'put' GROUP BY name) SELECT 'copy/' || name AS name, object_hash, 'put' AS op, 1 AS delta, h AS headers FROM ns LEFT JOIN heads USING (name)")
 def m7_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ns = state.namespace(_ops(spark, sf_dir))
-    wanted = ns.where(F.startswith("name", F.lit("u1"))).select(F.col("name").alias("source"), F.concat(F.lit("copy/"), "name").alias("target"))
-    return state.copy_objects(ns, wanted)
+    """Every name is copied, with its headers; each copy adds a reference to its hash."""
+    ops = _ops(spark, sf_dir)
+    ns = state.namespace(ops)
+    heads = ops.where("op = 'put'").groupBy("name").agg(F.max_by(F.concat(F.lit("t"), (F.col("op_ts") % 7).cast("string")), F.struct("seq", "op_id")).alias("headers"))
+    wanted = ns.select(F.col("name").alias("source"), F.concat(F.lit("copy/"), "name").alias("target"))
+    return state.copy_objects(ns, wanted, heads)
+
+
+@query("m6_collection", _FOLD + """, balance AS (SELECT object_hash, count(*) FILTER (op = 'put') - count(*) FILTER (op = 'delete') AS n FROM ops WHERE op IN ('put', 'delete') GROUP BY 1) SELECT 'object' AS kind, object_hash AS key FROM balance WHERE n <= 0 UNION ALL SELECT 'tombstone', name FROM tombs WHERE deleted_at < 1706000000000000000 - 86400000000000""")
+def m6_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One run of the collector over objects by plain balance of puts and deletes, and over the log's tombstones."""
+    ops = _ops(spark, sf_dir)
+    refs = ops.where("op in ('put', 'delete')").groupBy("object_hash").agg(F.sum(F.when(F.col("op") == "put", 1).otherwise(-1)).alias("ref_count"))
+    return machines.garbage(refs, state.tombstones(ops), 1_706_000_000_000_000_000, 86_400 * machines.SECOND)
+
+
+@query("m11_list_uploads", "SELECT conv_id AS upload_id, 'c' || conv_id AS key, count(*) AS n_parts, (row_number() OVER (ORDER BY min(turn), conv_id))::INT AS place FROM conversations GROUP BY conv_id HAVING count(*) % 2 = 1")
+def m11_list_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploads that are neither completed nor aborted, by creation."""
+    c = rel.table(spark, sf_dir, "conversations")
+    events = c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.min("turn").alias("t"))
+    ended = events.where("n % 2 = 0").select(F.col("conv_id").alias("upload_id"), F.when(F.col("n") % 4 == 0, "complete").otherwise("abort").alias("end"))
+    started = events.select(F.col("conv_id").alias("upload_id"), F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("key"), F.col("t").alias("created_at"), F.col("n").alias("n_parts"))
+    return machines.ranked(state.open_uploads(started, ended), [F.col("created_at"), F.col("upload_id")]).select("upload_id", "key", "n_parts", "place")
+
+
+@query("m9_bucket_requests", with_sql("objects") + " SELECT name, CASE WHEN b <> 'main' THEN 404 WHEN verb = 'DELETE' THEN 409 ELSE 200 END::INT AS status FROM (SELECT name, CASE WHEN size % 3 = 0 THEN 'other' ELSE 'main' END AS b, ['PUT', 'HEAD', 'GET', 'DELETE'][1 + size % 4] AS verb FROM objects)")
+def m9_bucket_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests on a bucket of the store, which is not empty, and on another one."""
+    bucket = F.when(F.col("size") % 3 == 0, "other").otherwise("main")
+    verb = F.element_at(F.array(*map(F.lit, ("PUT", "HEAD", "GET", "DELETE"))), (1 + F.col("size") % 4).cast("int"))
+    return rel.objects(spark, sf_dir).select("name", state.bucket_status(verb, bucket, "main", F.lit(False)).alias("status"))
 
 
 @query("m8_delete_batch", with_sql("objects") + " SELECT name, CASE WHEN contains(name, '..') OR contains(name, chr(92)) THEN 'InvalidArgument' ELSE 'Deleted' END AS status FROM (SELECT CASE WHEN size % 5 = 0 THEN '../' || name WHEN size % 5 = 1 THEN name || chr(92) ELSE name END AS name FROM objects)")
@@ -308,10 +340,10 @@ def s17_list_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.page_xml(k7_list_prefix(spark, sf_dir))
 
 
-@query("s18_deleted_keys", with_sql("objects") + " SELECT size AS request_id, trim(name) AS key FROM objects WHERE size % 3 = 0")
+@query("s18_deleted_keys", with_sql("objects") + " SELECT name AS request_id, trim(name) AS key FROM objects")
 def s18_deleted_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.concat(F.lit("<Delete><Object><Key> "), strings.xml_escape(F.col("name")), F.lit(" </Key></Object><Object><Key> </Key></Object></Delete>"))
-    return listing.deleted_keys(rel.objects(spark, sf_dir).where("size % 3 = 0").select(F.col("size").alias("request_id"), body.alias("body")))
+    return listing.deleted_keys(rel.objects(spark, sf_dir).select(F.col("name").alias("request_id"), body.alias("body")))
 
 
 # ---- scatter and gather

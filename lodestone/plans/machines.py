@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import codecs
 from ..operators import counters, gather, machines
 from ..sources import relations as rel
 from ..sources.relations import with_sql
@@ -50,11 +51,10 @@ def _peers(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PEERS = "WITH peers AS (SELECT c_custkey AS id, c_custkey % 3 AS state, CASE WHEN c_custkey % 5 = 0 THEN 0 ELSE floor(abs(c_acctbal) * 100) END::BIGINT AS rtt_ns FROM customer)"
 
 
-@query("k5_alive_by_quality", _PEERS + " SELECT id, rtt_ns, row_number() OVER (ORDER BY rtt_ns = 0, rtt_ns, id)::INT AS place FROM peers WHERE state = 0 ORDER BY place LIMIT 50")
+@query("k5_alive_by_quality", _PEERS + " SELECT id, rtt_ns, row_number() OVER (ORDER BY rtt_ns = 0, rtt_ns, id)::INT AS place FROM peers WHERE state = 0")
 def k5_alive_by_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = machines.alive_by_quality(_peers(spark, sf_dir)).limit(50)  # the best fifty, a top-n
-    rows = top.agg(F.sort_array(F.collect_list(F.struct((F.col("rtt_ns") == 0).alias("u"), "rtt_ns", "id"))).alias("a"))
-    return rows.select(F.posexplode("a").alias("p", "x")).select("x.id", "x.rtt_ns", (F.col("p") + 1).alias("place"))
+    alive = _peers(spark, sf_dir).where(F.col("state") == machines.ALIVE)
+    return machines.ranked(alive, [F.col("rtt_ns") == 0, F.col("rtt_ns"), F.col("id")]).select("id", "rtt_ns", "place")
 
 
 @query("p10_alive_count", _PEERS + " SELECT count(*) FILTER (state = 0) AS alive FROM peers")
@@ -62,7 +62,7 @@ def p10_alive_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _peers(spark, sf_dir).agg(F.count_if(F.col("state") == 0).alias("alive"))
 
 
-@query("k6_random_peers")
+@query("k6_random_peers", _PEERS + " SELECT id, state FROM peers WHERE state = 0 AND id <> 3 ORDER BY sha256(id || ':1'), id LIMIT 5")
 def k6_random_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return machines.random_peers(_peers(spark, sf_dir), 5, 3, 1).select("id", "state")
 
@@ -126,7 +126,19 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.samples(spark, sf_dir).select(F.col("user_id").alias("source"), (F.col("ts_us") * NS).alias("ts"), "event_id", (F.col("event_type") != "error").alias("ok"))
 
 
-@query("t13_auth_limiter")
+_BASE = machines.SECOND
+_FRESH = f"(a.f > 0 AND b.ts - a.s > {machines.IDLE_NS} AND b.ts >= a.n)"
+_N = f"(CASE WHEN {_FRESH} THEN 0 ELSE a.f END + 1)"
+_WAIT = f"CASE WHEN {_N} >= {machines.MAX_FAILURES} THEN {machines.lockout(_BASE)} ELSE least({machines.MAX_DELAY}, {_BASE} << least({_N} - 1, 20)) END"
+_STEP = f"""CASE WHEN NOT {_FRESH} AND (b.ts < a.n OR b.ts < a.l) THEN {{'ts': b.ts, 'id': b.id, 'ok': b.ok, 'f': a.f, 'n': a.n, 'l': a.l, 's': a.s, 'r': a.r + 1}}
+ WHEN b.ok THEN {{'ts': b.ts, 'id': b.id, 'ok': b.ok, 'f': 0::BIGINT, 'n': 0::BIGINT, 'l': 0::BIGINT, 's': 0::BIGINT, 'r': a.r}}
+ ELSE {{'ts': b.ts, 'id': b.id, 'ok': b.ok, 'f': {_N}, 'n': (b.ts + {_WAIT})::BIGINT, 'l': CASE WHEN {_N} >= {machines.MAX_FAILURES} THEN (b.ts + {_WAIT})::BIGINT WHEN {_FRESH} THEN 0 ELSE a.l END, 's': b.ts, 'r': a.r}} END"""
+LIMITER = with_sql("samples") + f""", ev AS (SELECT user_id AS source, ts_us * 1000 AS ts, event_id, event_type <> 'error' AS ok FROM samples),
+folded AS (SELECT source, list_reduce(list({{'ts': ts, 'id': event_id, 'ok': ok, 'f': 0::BIGINT, 'n': 0::BIGINT, 'l': 0::BIGINT, 's': 0::BIGINT, 'r': 0::BIGINT}} ORDER BY ts, event_id), lambda a, b: {_STEP}, {{'ts': 0::BIGINT, 'id': 0::BIGINT, 'ok': true, 'f': 0::BIGINT, 'n': 0::BIGINT, 'l': 0::BIGINT, 's': 0::BIGINT, 'r': 0::BIGINT}}) AS s FROM ev GROUP BY source)
+SELECT source, s.f::INT AS failures, s.n AS next_allow, s.l AS locked_until, s.s AS last_seen, s.r::INT AS refused FROM folded"""
+
+
+@query("t13_auth_limiter", LIMITER)
 def t13_auth_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = machines.fold(attempts(spark, sf_dir), "source", ["ts", "event_id"], ["ok"], machines.limiter_zero(), lambda s, x: machines.limiter_step(s, x, machines.SECOND))
     return out.select("source", "state.*")
@@ -162,10 +174,60 @@ def t4_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return machines.probe(pings, acks)
 
 
-@query("p15_heartbeat_peers", with_sql("samples") + " SELECT user_id AS peer, least(count(*) FILTER (k <> 3), 256) AS n FROM samples GROUP BY 1")
+@query("p15_heartbeat_peers", with_sql("samples") + " SELECT peer, len(p)::INT AS n, sha256(array_to_string(p, ',')) AS named FROM (SELECT user_id AS peer, list(event_id ORDER BY event_id) FILTER (event_id % 7 <> user_id % 7)[1:256] AS p FROM samples GROUP BY 1)")
 def p15_heartbeat_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = rel.samples(spark, sf_dir).where("k <> 3").groupBy(F.col("user_id").alias("peer")).agg(F.count(F.lit(1)).alias("n"))
-    return e.select("peer", F.least("n", F.lit(256)).alias("n"))
+    """What each sender's heartbeat names of all peers it knows: the first 256 without itself."""
+    e = rel.samples(spark, sf_dir)
+    own = F.col("user_id") % 7
+    # events of the sender's own residue stand for itself
+    known = e.groupBy(F.col("user_id").alias("peer")).agg(F.sort_array(F.collect_list(F.struct("event_id", F.when(F.col("event_id") % 7 == own, F.lit(-1)).otherwise(F.col("event_id")).alias("id"), F.lit("a").alias("addr")))).alias("p"))
+    sent = codecs.read_heartbeat(codecs.heartbeat(codecs.heartbeat_peers(F.col("p"), F.lit(-1))))
+    return known.select("peer", sent.alias("s")).select("peer", F.size("s").alias("n"), F.sha2(F.array_join(F.transform("s", lambda x: x["id"].cast("string")), ","), 256).alias("named"))
+
+
+@query("t3_t5_observed", with_sql("samples") + " SELECT event_id, CASE WHEN event_type IN ('click', 'view', 'signup') THEN 0 WHEN event_type = 'error' AND k % 3 = 0 THEN 1 ELSE k % 3 END::INT AS state FROM samples")
+def t3_t5_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beats, pings and acks restore a peer of any state; an announced suspicion takes an alive one."""
+    kind = F.when(F.col("event_type") == "click", "heartbeat").when(F.col("event_type") == "view", "ping").when(F.col("event_type") == "signup", "ack").when(F.col("event_type") == "error", "suspect").otherwise("query")
+    return rel.samples(spark, sf_dir).select("event_id", machines.observed((F.col("k") % 3).cast("int"), kind).cast("int").alias("state"))
+
+
+_PINGS = with_sql("samples") + ", pings AS (SELECT event_id AS ping_id, user_id AS target, ts_us * 1000 AS ts_ns, k % 3 AS helpers, k FROM samples), acks AS (SELECT ping_id, ts_ns + (k - 10) * 40000000 AS ack_ns FROM pings WHERE k % 4 <> 1 UNION ALL SELECT ping_id, ts_ns + k * 90000000 FROM pings)"
+
+
+@query("t4_probe_twice", _PINGS + ", met AS (SELECT p.ping_id, target, helpers, min(ack_ns) - any_value(ts_ns) AS wait FROM pings p LEFT JOIN acks a ON a.ping_id = p.ping_id AND ack_ns BETWEEN ts_ns AND ts_ns + 1000000000 GROUP BY ALL), told AS (SELECT *, CASE WHEN wait <= 500000000 THEN 'direct' WHEN helpers > 0 AND wait IS NOT NULL THEN 'indirect' ELSE 'suspect' END AS outcome FROM met) SELECT ping_id, target, outcome, CASE WHEN outcome <> 'suspect' THEN wait END AS rtt_ns FROM told")
+def t4_probe_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event pings; two acks, the first of which may be lost or stem from before."""
+    p = rel.samples(spark, sf_dir).select(F.col("event_id").alias("ping_id"), F.col("user_id").alias("target"), (F.col("ts_us") * NS).alias("ts_ns"), (F.col("k") % 3).alias("helpers"), "k")
+    first = p.where("k % 4 <> 1").select("ping_id", (F.col("ts_ns") + (F.col("k") - 10) * 40 * machines.MS).alias("ts_ns"))
+    second = p.select("ping_id", (F.col("ts_ns") + F.col("k") * 90 * machines.MS).alias("ts_ns"))
+    return machines.probe_twice(p.drop("k"), first.unionByName(second))
+
+
+@query("t6_join_events", with_sql("samples") + " SELECT DISTINCT user_id AS id, 'join' AS event FROM samples WHERE event_type = 'view' AND user_id NOT IN (SELECT user_id FROM samples WHERE event_type = 'signup' AND k < 20)")
+def t6_join_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = rel.samples(spark, sf_dir)
+    return machines.membership_events(e.where("event_type = 'signup' and k < 20").select(F.col("user_id").alias("id")), e.where("event_type = 'view'").select(F.col("user_id").alias("id")))
+
+
+@query("t11_lease_sweep", with_sql("samples") + " SELECT event_id AS lease_id, ts_us * 1000 + k * 3600000000000 AS expiry FROM samples WHERE ts_us * 1000 + k * 3600000000000 >= 1705000000000000000")
+def t11_lease_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leases = rel.samples(spark, sf_dir).select(F.col("event_id").alias("lease_id"), (F.col("ts_us") * NS + F.col("k") * 3600 * machines.SECOND).alias("expiry"))
+    return machines.swept(leases, 1_705_000_000_000_000_000)
+
+
+@query("t12_lease_wait", with_sql("samples") + " SELECT k AS lease_id, count(*) FILTER (event_type <> 'error' AND value * 1000000 <= 100000000) AS granted, count(*) FILTER (event_type <> 'error' AND value * 1000000 <= 100000000) >= 8 AS acquired FROM samples GROUP BY k")
+def t12_lease_wait(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grants that come after half of the lease's duration are too late."""
+    e = rel.samples(spark, sf_dir)
+    return gather.lease_results(e.select(F.col("k").alias("lease_id"), (F.col("event_type") != "error").alias("granted"), (F.col("value") * 1_000_000).alias("waited_ns")), 15, 15, 200 * machines.MS)
+
+
+@query("a10_gauges", with_sql("samples") + " SELECT ts_us // 3600000000 AS hour, sum(value) AS total, sum(value) / 1048576.0::DOUBLE AS mebibytes, 100.0::DOUBLE * count(*) FILTER (event_type = 'error') / count(*) AS error_percent FROM samples GROUP BY 1")
+def a10_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of a gauge over instances, in other units, and shares."""
+    e = rel.samples(spark, sf_dir).withColumn("hour", F.floor(F.col("ts_us") / 3_600_000_000))
+    return counters.gauges(e, "hour", F.col("value"), F.col("event_type") == "error")
 
 
 @query("a7_counters", with_sql("samples") + " SELECT user_id AS instance, count(*) AS connections_total, count(*) FILTER (event_type = 'signup') - count(*) FILTER (event_type = 'error') AS active_connections, count(*) FILTER (event_type = 'purchase') AS uploads_total, count(*) FILTER (event_type = 'view') AS downloads_total, count(*) FILTER (event_type = 'error') AS deletes_total, count(*) FILTER (event_type = 'click') AS replication_total, count(*) FILTER (event_type = 'error') AS errors_total, coalesce(sum(trunc(value)::BIGINT) FILTER (event_type = 'purchase'), 0)::BIGINT AS bytes_uploaded_total, coalesce(sum(trunc(value)::BIGINT) FILTER (event_type = 'view'), 0)::BIGINT AS bytes_downloaded_total FROM samples GROUP BY user_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import codecs, crypto, http, oprf, strings
+from ..functions import chunked, codecs, crypto, http, oprf, strings
 from ..operators import listing
 from ..sources import relations as rel
 from ..sources.relations import with_sql
@@ -163,6 +163,14 @@ def p8_conditional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.objects(spark, sf_dir).select("name", http.conditional_status(F.when(k == 0, '"no"'), F.when(k == 1, h), since, h, t).alias("status"))
 
 
+@query("p8_if_range", with_sql("objects") + " SELECT name, CASE size % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN mod_time % 1000000000 = 0 WHEN 3 THEN true ELSE false END AS matches FROM objects")
+def p8_if_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range holds for the same tag, or for a date not before the object's time."""
+    k, h, t = F.col("size") % 5, F.col("object_hash"), F.col("mod_time")
+    value = F.when(k == 0, F.concat(F.lit('"'), h, F.lit('"'))).when(k == 1, '"no"').when(k == 2, strings.last_modified_http(t)).when(k == 3, strings.last_modified_http(t + 86_400_000_000_000)).otherwise("junk")
+    return rel.objects(spark, sf_dir).select("name", http.if_range_matches(value, h, t).alias("matches"))
+
+
 @query("p9_byte_range", "SELECT doc_id, lower(hex(encode(coalesce(text, ''))))[2 * a + 1 : 2 * a + 20] AS part FROM (SELECT doc_id, text, doc_id % 97 AS a FROM documents)")
 def p9_byte_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten bytes of every text, from places that may lie inside a character or beyond the end."""
@@ -173,12 +181,12 @@ def p9_byte_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.lower(F.hex(http.slice_bytes(b, asked))), F.lit("")).alias("part"))
 
 
-@query("p12_p13_skew", with_sql("samples") + " SELECT event_id, abs(k - 25) * 60 <= 900 AS fresh, k > 0 AND k * 3600 <= 86400 AS lifetime_ok FROM samples")
+@query("p12_p13_skew", with_sql("samples") + " SELECT event_id, abs(k - 25) * 60 <= 900 AS fresh, abs(k - 25) * 60 <= 900 AS handshake, k > 0 AND k * 3600 <= 86400 AS lifetime_ok FROM samples")
 def p12_p13_skew(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = rel.samples(spark, sf_dir)
     now = F.floor(F.col("ts_us") / 1_000_000)
     stamp = lambda s: F.date_format(F.timestamp_seconds(s), "yyyyMMdd'T'HHmmss'Z'")
-    return e.select("event_id", http.within_skew(stamp(now + (F.col("k") - 25) * 60), now).alias("fresh"), http.presign_valid(stamp(now), (F.col("k") * 3600).cast("string"), now).alias("lifetime_ok"))
+    return e.select("event_id", http.within_skew(stamp(now + (F.col("k") - 25) * 60), now).alias("fresh"), http.handshake_fresh((now + (F.col("k") - 25) * 60) * 1_000_000_000, now * 1_000_000_000).alias("handshake"), http.presign_valid(stamp(now), (F.col("k") * 3600).cast("string"), now).alias("lifetime_ok"))
 
 
 def _int(v: str, size: int) -> str:
@@ -250,6 +258,18 @@ def f26_f27_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("f22_chunked_uploads", "SELECT doc_id, CASE WHEN k NOT IN (1, 2, 3) THEN sha256(t) END AS content_hash, CASE WHEN k NOT IN (1, 2, 3) THEN octet_length(encode(t))::BIGINT END AS size, CASE k WHEN 1 THEN 'malformed' WHEN 2 THEN 'signature' WHEN 3 THEN 'size' END AS error FROM (SELECT doc_id, coalesce(text, '') AS t, doc_id % 8 AS k FROM documents)")
+def f22_chunked_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a signed upload; some are cut, some follow on another request, some declare another length."""
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    d = rel.table(spark, sf_dir, "documents").select("doc_id", text.alias("content"), F.sha2(F.col("doc_id").cast("string"), 256).alias("seed"))
+    k, now, scope = F.col("doc_id") % 8, "20240101T000000Z", "20240101/eu-1/s3/aws4_request"
+    sent = chunked.encode(d, 1000, KEY, now, scope, "doc_id").join(d.select("doc_id", "seed", F.octet_length("content").cast("long").alias("n")), "doc_id")
+    body = F.when(k == 1, F.substring(F.col("body"), F.lit(1), F.octet_length("body") - 1)).otherwise(F.col("body"))
+    came = sent.select("doc_id", body.alias("body"), F.when(k == 2, F.reverse("seed")).otherwise(F.col("seed")).alias("seed"), F.when(k == 3, F.col("n") + 1).otherwise(F.col("n")).alias("decoded_length"))
+    return chunked.decode(came, KEY, now, scope, id_col="doc_id").select("doc_id", "content_hash", "size", "error")
+
+
 def _hmac_sql(key: bytes, data: str) -> str:
     k = key.ljust(64, b"\0")
     inner, outer = ("".join(f"{b ^ pad:02x}" for b in k) for pad in (0x36, 0x5C))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.relations import with_sql
 from ..streaming import twins
-from .machines import _RTT
+from .machines import _RTT, LIMITER
 from .registry import query
 
 
@@ -20,7 +20,7 @@ def t1_latency_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _last(twins.run(twins.latency(twins.events(spark, sf_dir)), "update"), "peer")
 
 
-@query("t13_limiter_stream")
+@query("t13_limiter_stream", LIMITER)
 def t13_limiter_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _last(twins.run(twins.limiter(twins.events(spark, sf_dir)), "update"), "source")
 

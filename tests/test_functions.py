@@ -8,7 +8,8 @@ import hmac
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.functions import codecs, crypto, http, strings
+from lodestone.functions import chunked, codecs, crypto, http, strings
+from lodestone.operators import counters
 
 
 def values(spark, rows, schema, *cols):
@@ -135,10 +136,30 @@ def test_paths_and_lists(spark):
 
 
 def test_chunked_bodies():
-    body = codecs.frame_chunks(b"hello world", 4, ["a", "b", "c", "d"])
-    assert codecs.unframe_chunks(body) == (b"hello world", ["a", "b", "c", "d"], {})
-    with pytest.raises(ValueError):
-        codecs.unframe_chunks(body[:12])
+    key, at = b"k" * 32, ("20240101T000000Z", "20240101/x/s3/aws4_request", "seed")
+    for payload in (b"", b"hello world", b"\r\n0\r\n" * 40):
+        body = chunked.frame(payload, 4, key, *at, trailers={"X-Sum": "1"})
+        assert chunked.unframe(body, key, *at, trailers=True) == (payload, {"x-sum": "1"})
+        assert chunked.unframe(body, trailers=True)[0] == payload == chunked.unframe(chunked.frame(payload, 3))[0]
+        for cut in range(len(body)):
+            with pytest.raises(chunked.Broken):
+                chunked.unframe(body[:cut], key, *at, trailers=True)
+    body = chunked.frame(b"hello world", 4, key, *at)
+    for changed, reason in ((body.replace(b"hell", b"help"), "signature"), (body.replace(b"4;", b"5;", 1), "malformed"), (b"zz\r\n", "malformed"), (b"-1\r\n", "malformed"), (b"900000\r\n", "malformed"), (b"0" * 2000, "malformed")):
+        with pytest.raises(chunked.Broken) as e:
+            chunked.unframe(changed, key, *at)
+        assert e.value.reason == reason
+    with pytest.raises(chunked.Broken) as e:
+        chunked.unframe(body, key, at[0], at[1], "other")
+    assert e.value.reason == "signature"
+    with pytest.raises(chunked.Broken) as e:
+        chunked.unframe(body, max_size=5)
+    assert e.value.reason == "size"
+
+
+def test_process_lines():
+    lines = counters.process_lines("store", 1.5, 7, 10, 20, 3, "h")
+    assert len(lines) == 18 and lines[2] == "store_uptime_seconds 1.50" and lines[-1] == 'store_build_info{hostname="h"} 1'
 
 
 KEY = bytes(range(32))
