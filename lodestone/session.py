@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -28,3 +31,17 @@ def local(cores: int | None = None, partitions: int = 8) -> SparkSession:
     """A local session for tests and the benchmark."""
     n = cores or int(os.environ.get("BENCH_CPUS", "8"))
     return session("lodestone-local", f"local[{n}]", spark__sql__shuffle__partitions=str(partitions), spark__driver__memory="12g")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one only for a local master without that setting."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local[") and master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    own = tempfile.mkdtemp(prefix="lodestone-")
+    atexit.register(shutil.rmtree, own, True)
+    spark.conf.set("spark.checkpoint.dir", "file://" + own)
+    return "file://" + own

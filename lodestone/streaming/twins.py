@@ -2,12 +2,12 @@
 
 Each twin runs on event time, so a replay of the same events ends in the state
 that the batch form computes.  Late events beyond the watermark are dropped, as
-responses are that come after their request has timed out.
+responses are that come after their request has timed out.  State of a key that
+has been silent for ``KEEP_S`` is dropped, so it doesn't grow for ever.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,6 +18,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..operators import gather, machines
+from ..session import shared_dir
+
+#: A key without events for so long loses its state.
+KEEP_S = 7 * 24 * 3600
 
 
 def events(spark: SparkSession, sf_dir: str, files_per_batch: int = 1) -> DataFrame:
@@ -28,10 +32,9 @@ def events(spark: SparkSession, sf_dir: str, files_per_batch: int = 1) -> DataFr
 
 
 def run(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there and returns its rows with the batch that made them."""
+    """Runs a stream over what is there and returns its rows with the batch that made them, from the shared folder."""
     spark = stream.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lodestone-")
-    path = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/out/{number}")
@@ -41,18 +44,28 @@ def run(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(StructType([*stream.schema.fields, StructField("batch", IntegerType())])).parquet(f"{path}/out/*")
 
 
-def latency(stream: DataFrame, key: str = "user_id") -> DataFrame:
+def _kept(state: GroupState, last_ms: int, keep_s: int) -> None:
+    """Sets the time when the state goes unless an event comes before."""
+    state.setTimeoutTimestamp(max(last_ms + keep_s * 1000, state.getCurrentWatermarkMs() + 1))
+
+
+def latency(stream: DataFrame, key: str = "user_id", watermark: str = "1 hour", keep_s: int = KEEP_S) -> DataFrame:
     """``key, rtt_ns`` after each batch."""
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         value = state.get[0] if state.exists else None
-        for x in pd.concat(list(frames)).sort_values(["ts", "event_id"])["rtt_ns"]:
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        for x in rows["rtt_ns"]:
             value = int(x) if value is None else int(value * 0.75 + int(x) * 0.25)
         state.update((value,))
+        _kept(state, int(rows["ms"].max()), keep_s)
         yield pd.DataFrame({"peer": [k[0]], "rtt_ns": [value]})
 
-    samples = stream.withColumn("rtt_ns", F.floor(F.col("value") * 1_000_000).cast("bigint"))
-    return samples.groupBy(key).applyInPandasWithState(step, "peer long, rtt_ns long", "rtt_ns long", "update", GroupStateTimeout.NoTimeout)
+    samples = stream.withWatermark("ts", watermark).withColumns({"rtt_ns": F.floor(F.col("value") * 1_000_000).cast("bigint"), "ms": F.unix_millis("ts")})
+    return samples.groupBy(key).applyInPandasWithState(step, "peer long, rtt_ns long", "rtt_ns long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def limiter_state(state: tuple[int, int, int, int, int], ts: int, ok: bool, base_ns: int) -> tuple[int, int, int, int, int]:
@@ -70,19 +83,24 @@ def limiter_state(state: tuple[int, int, int, int, int], ts: int, ok: bool, base
     return n, ts + min(base_ns * 2 ** (n - 1), machines.MAX_DELAY), 0 if fresh else locked, ts, refused
 
 
-def limiter(stream: DataFrame, base_ns: int = machines.SECOND) -> DataFrame:
+def limiter(stream: DataFrame, base_ns: int = machines.SECOND, watermark: str = "1 hour", keep_s: int = KEEP_S) -> DataFrame:
     """``source`` and its limiter's state after each batch."""
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = tuple(state.get) if state.exists else (0, 0, 0, 0, 0)
-        for r in pd.concat(list(frames)).sort_values(["ts_ns", "event_id"]).itertuples():
+        rows = pd.concat(list(frames)).sort_values(["ts_ns", "event_id"])
+        for r in rows.itertuples():
             held = limiter_state(held, int(r.ts_ns), bool(r.ok), base_ns)
         state.update(held)
+        _kept(state, int(rows["ts_ns"].max()) // machines.MS, keep_s)
         yield pd.DataFrame([[k[0], *held]], columns=["source", "failures", "next_allow", "locked_until", "last_seen", "refused"])
 
-    rows = stream.select(F.col("user_id").alias("source"), "event_id", (F.unix_micros("ts") * 1000).alias("ts_ns"), (F.col("event_type") != "error").alias("ok"))
+    rows = stream.withWatermark("ts", watermark).select(F.col("user_id").alias("source"), "ts", "event_id", (F.unix_micros("ts") * 1000).alias("ts_ns"), (F.col("event_type") != "error").alias("ok"))
     kinds = "failures int, next_allow long, locked_until long, last_seen long, refused int"
-    return rows.groupBy("source").applyInPandasWithState(step, f"source long, {kinds}", kinds, "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("source").applyInPandasWithState(step, f"source long, {kinds}", kinds, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def liveness(stream: DataFrame, timeout_s: int, watermark: str = "1 hour") -> DataFrame:
@@ -117,6 +135,6 @@ def daily_counts(stream: DataFrame) -> DataFrame:
 
 
 def collect_garbage(stream: DataFrame, sweep: Callable[[DataFrame, int], None], every: str = "300 seconds", checkpoint: str | None = None):
-    """Starts the sweep on a schedule: orphans first, then tombstones, as ``sweep(batch, number)`` does it."""
+    """Starts the sweep on a schedule: orphans first, then tombstones, as ``sweep(batch, number)`` does it; ``machines.garbage`` says what goes."""
     writer = stream.writeStream.trigger(processingTime=every).foreachBatch(sweep)
     return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
