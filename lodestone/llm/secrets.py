@@ -7,16 +7,18 @@ account or user names given to a key), ``secret`` (forty mixed base-64
 characters) and ``endpoint`` (service addresses).  A weak candidate is reported
 only where its complementary parts lie in its scope: an ident needs a secret,
 a secret an identifier, an endpoint both.  A scope is a stretch without a blank
-line; parts join by intervals, at most ``REACH`` code points apart.
+line (which may hold blanks, tabs and carriage returns); parts join by
+intervals, at most ``REACH`` code points apart.
 
 The interval join runs inside each row: weak candidates and parts are sorted by
 start, and running maxima and minima give each candidate its nearest part on
 either side.  Sums and extremes run over blocks of ``BLOCK`` elements, so a text
 of very many matches stays close to linear.
 
-Places are code points.  Null text counts as empty.  Repeated rows give
-repeated rows, empty tables empty results; the added columns replace columns of
-the same name.
+Places are code points.  Null text counts as empty.  Spans of one start are in
+the order of KINDS.  Repeated rows give repeated rows, empty tables empty
+results; a column ``spans`` is replaced, all others are carried along whatever
+their names.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._base import col
+
 KINDS = ("assign", "access", "hex", "ident", "secret", "endpoint")
 REACH, BLOCK, FAR = 300, 128, 1 << 40
 # The patterns of the strong kinds; the others are this module's own.
@@ -35,6 +39,8 @@ HEX = "[0-9a-f]+"
 IDENT = r"""(?i)(access_?key_?id|client_?id|account_?id|user_?name|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@=-]+)"""
 SECRET = "[A-Za-z0-9+/]{40,}"
 ENDPOINT = r"(https?|ftp|jdbc:[a-z]+|mongodb|redis|postgres)://[A-Za-z0-9._/:?=&%~-]+"
+#: A line without a word ends a scope.
+BREAK = r"\n[\x20\t\r]*\n"
 _NONE = "array<struct<s:bigint,e:bigint,m:string,g:string>>"
 
 
@@ -80,7 +86,7 @@ def _beside(weak: Column, parts: Column, text: Column) -> Column:
     both = F.sort_array(F.concat(F.transform(weak, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(False).alias("p"), x["m"].alias("m"), x["g"].alias("g"))), F.transform(parts, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(True).alias("p"), x["m"].alias("m"), x["g"].alias("g")))))
 
     def open_gap(a: Column, b: Column) -> Column:
-        return (b - a <= REACH) & ((b <= a) | ~F.contains(F.substring(text, (a + 1).cast("int"), (b - a).cast("int")), F.lit("\n\n")))
+        return (b - a <= REACH) & ((b <= a) | ~F.substring(text, (a + 1).cast("int"), (b - a).cast("int")).rlike(BREAK))
 
     def near(z: Column) -> Column:
         ends = running(F.transform(z, lambda x: F.when(x["p"], x["e"]).otherwise(F.lit(-FAR))), -FAR, lambda a, b: F.greatest(a, b))
@@ -97,7 +103,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     none = F.array().cast(_NONE)
     t = F.col("__t")
     signs = F.contains(t, F.lit("=")) | F.contains(t, F.lit(":"))
-    df = docs.withColumn("__t", F.coalesce(F.col(text), F.lit("")))
+    names = [c for c in docs.columns if c != "spans"]
+    df = docs.select(F.struct(*(col(c) for c in names)).alias("row"), F.coalesce(col(text).cast("string"), F.lit("")).alias("__t"))
     df = df.withColumns({
         "__assign": F.when(signs & t.rlike("(?i)passw|secret|token|api_?key"), F.filter(spans(t, ASSIGN, 2), lambda x: F.length(x["g"]) >= 6)).otherwise(none),
         "__access": F.when(F.contains(t, F.lit("AKIA")), F.filter(spans(t, ACCESS, 0), lambda x: F.length(x["m"]) >= 20)).otherwise(none),
@@ -120,8 +127,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
     found = [of_kind(k, c) for k, c in enumerate(("__assign", "__access", "__hex", "__linked_ident", "__linked_secret", "__linked_endpoint"))]
     df = df.withColumn("__all", F.sort_array(F.concat(*found)))
-    names = [c for c in docs.columns if c != "spans"]
-    return df.select(*names, F.transform("__all", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["match"].alias("match"))).alias("spans"))
+    return df.select("row.*", F.transform("__all", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["match"].alias("match"))).alias("spans"))
 
 
 def joined(found: Column) -> Column:
