@@ -34,7 +34,7 @@ cut AS (SELECT doc_id, lang, t, regexp_extract_all(t, '{_WORDS}') AS w, list_fil
  [{", ".join(f"length({_strip(k)})" for k in range(7))}] AS n, {_strip(6)} AS rest FROM base),
 counted AS (SELECT *, len(w) AS n_words, list_transform(range(1, 7), lambda k: n[k] - n[k + 1]) || [n[7]] AS c FROM cut),
 langs AS (SELECT lang, sum(n_words) AS n, [{", ".join(f"sum(c[{k}])::BIGINT" for k in range(1, 8))}] AS ref_class FROM counted GROUP BY lang HAVING sum(n_words) >= {quality.MIN_REFERENCE}),
-words AS (SELECT lang, x AS word, count(*) AS m FROM (SELECT lang, unnest(w) AS x FROM counted) WHERE length(x) <= {quality.LONGEST} GROUP BY ALL),
+words AS (SELECT lang, x AS word, count(*) AS m FROM (SELECT lang, unnest(w) AS x FROM counted) GROUP BY ALL),
 top AS (SELECT lang, list(word ORDER BY k) AS words, list(m ORDER BY k) AS ms FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY m DESC, word) AS k FROM words) WHERE k <= {quality.COMMON} GROUP BY lang),
 refs AS (SELECT lang, ref_class, words, ms || [(n - list_sum(ms))::BIGINT] AS ref_hist FROM langs JOIN top USING (lang)),
 wins AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, n_words - 3)) AS i FROM counted WHERE n_words >= 5)),
@@ -63,7 +63,7 @@ def _spans(kind: str, pattern: str, group: int, keep: str) -> str:
 
 def _near(weak: str, kinds: str) -> str:
     gap = "greatest(a.s, b.s) - least(a.e, b.e)"
-    return f"EXISTS (SELECT 1 FROM found b WHERE b.doc_id = a.doc_id AND b.kind IN ({kinds}) AND {gap} <= {secrets.REACH} AND ({gap} <= 0 OR NOT contains(substring(a.t, (least(a.e, b.e) + 1)::INT, ({gap})::INT), chr(10) || chr(10))))"
+    return f"EXISTS (SELECT 1 FROM found b WHERE b.doc_id = a.doc_id AND b.kind IN ({kinds}) AND {gap} <= {secrets.REACH} AND ({gap} <= 0 OR NOT regexp_matches(substring(a.t, (least(a.e, b.e) + 1)::INT, ({gap})::INT), {_quoted(secrets.BREAK)})))"
 
 
 _IDS, _KEYS = "'access', 'ident'", "'assign', 'hex', 'secret'"

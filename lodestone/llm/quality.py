@@ -8,9 +8,11 @@ references are counted over all documents of the language; a language of fewer
 than ``MIN_REFERENCE`` words has none and rejects nothing.
 
 Null text counts as empty and fails the base rules; a null language is a
-language of its own.  Repeated rows give repeated rows.  Empty tables give
-empty results.  Columns that clash with the results are replaced in
-``measure`` and kept as they are in ``keep_good``.
+language of its own.  Repeated rows give repeated rows and count as often in
+the references; of equally frequent words the first by name is the more
+common.  Very long texts are rows like others.  Empty tables give empty results.
+Columns that clash with the results are replaced in ``measure`` and kept as
+they are in ``keep_good``; other names matter in neither.
 """
 
 from __future__ import annotations
@@ -18,10 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._base import stash
+from ._base import col, stash
 
 MIN_WORDS, WINDOW, REPEAT_PERCENT = 10, 5, 20
-COMMON, LONGEST, MIN_REFERENCE = 16, 6, 2_000
+COMMON, MIN_REFERENCE = 16, 2_000
 #: Divergence counts only for texts of so many words.
 GUARD_WORDS = 60
 #: A text with none of the common words is at 0.322 to 0.328; the labelled good texts of sf0.1 reach 0.311.
@@ -34,10 +36,9 @@ def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
 
 
-def _profile(docs: DataFrame, text: str, lang: str, carry: list[str]) -> DataFrame:
-    """Adds words and character-class counts; each step strips what the one before has counted."""
-    df = docs.select(*carry, F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("__lang"), F.coalesce(F.col(text), F.lit("")).alias("__t"))
-    df = df.withColumn("__w", F.array_remove(F.split("__t", _BLANK), ""))
+def _profile(rows: DataFrame) -> DataFrame:
+    """Adds words and character-class counts to ``(row, __t, __lang)``; each step strips what the one before has counted."""
+    df = rows.withColumn("__w", F.array_remove(F.split("__t", _BLANK), ""))
     df = df.withColumn("__t1", F.regexp_replace("__t", "[a-z]+", ""))
     df = df.withColumn("__t2", F.regexp_replace("__t1", _BLANK, ""))
     df = df.withColumn("__t3", F.regexp_replace("__t2", "[A-Z]+", ""))
@@ -53,15 +54,21 @@ def _profile(docs: DataFrame, text: str, lang: str, carry: list[str]) -> DataFra
     }).drop(*(f"__t{k}" for k in range(1, 7)))
 
 
+def _rows(docs: DataFrame, text: str, lang: str, carry: list[str]) -> DataFrame:
+    """``(row, __t, __lang)``: the columns to carry in one, so that no name clashes."""
+    row = F.struct(*(col(c) for c in carry)) if carry else F.lit(None)
+    return docs.select(row.alias("row"), F.coalesce(col(text).cast("string"), F.lit("")).alias("__t"), F.coalesce(col(lang).cast("string"), F.lit("")).alias("__lang"))
+
+
 def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """``(lang, ref_class, ref_words, ref_hist)``: one row for each language, counted over all documents.
 
-    ``ref_words`` has the hashes of its ``COMMON`` most frequent words of at most ``LONGEST`` letters,
-    ``ref_hist`` their counts and that of all other words.
+    ``ref_words`` has the hashes of its ``COMMON`` most frequent words (of equally frequent ones the first by
+    name), ``ref_hist`` their counts and that of all other words.
     """
-    rows = _profile(docs, text, lang, []).select("__lang", "__w", "__c", "n_words")
+    rows = _profile(_rows(docs, text, lang, [])).select("__lang", "__w", "__c", "n_words")
     classes = rows.groupBy("__lang").agg(F.sum("n_words").alias("n"), F.array(*(F.sum(F.col("__c")[k]) for k in range(7))).alias("ref_class"))
-    words = rows.select("__lang", F.explode("__w").alias("w")).where(F.length("w") <= LONGEST).groupBy("__lang", "w").agg(F.count(F.lit(1)).alias("c"))
+    words = rows.select("__lang", F.explode("__w").alias("w")).groupBy("__lang", "w").agg(F.count(F.lit(1)).alias("c"))
     order = Window.partitionBy("__lang").orderBy(F.desc("c"), "w")
     top = words.withColumn("k", F.row_number().over(order)).where(F.col("k") <= COMMON)
     top = top.groupBy("__lang").agg(F.array_sort(F.collect_list(F.struct("k", "w", "c"))).alias("a"))
@@ -97,9 +104,8 @@ def _repeats(wins: str) -> Column:
     return F.when(F.size(F.array_distinct(wins)) == F.size(wins), F.lit(0).cast("long")).otherwise(F.transform(held, covered)[0])
 
 
-def _score(docs: DataFrame, text: str, lang: str, carry: list[str], refs: DataFrame) -> DataFrame:
-    df = _profile(docs, text, lang, carry)
-    df = df.withColumn("__h", F.transform("__w", lambda w: F.xxhash64(w)))
+def _score(rows: DataFrame, refs: DataFrame) -> DataFrame:
+    df = _profile(rows).withColumn("__h", F.transform("__w", lambda w: F.xxhash64(w)))
     df = df.withColumn("__v", F.when(F.size("__h") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("__h") - WINDOW), lambda i: F.xxhash64(*(F.get("__h", i + k) for k in range(WINDOW))))).otherwise(F.array().cast("array<bigint>")))
     lines = F.filter(F.split("__t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.withColumn("__l", lines)
@@ -117,14 +123,13 @@ def _score(docs: DataFrame, text: str, lang: str, carry: list[str], refs: DataFr
 def measure(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """Every row of ``docs`` without its text, with counts, distances and the verdict ``kept``."""
     carry = [c for c in docs.columns if c != text and c not in _RESULTS]
-    return _score(docs, text, lang, carry, stash(references(docs, text, lang), "references")).select(*carry, *_RESULTS)
+    out = _score(_rows(docs, text, lang, carry), stash(references(docs, text, lang), "references"))
+    return out.select(*(["row.*"] if carry else []), *_RESULTS)
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
-    refs = stash(references(docs, text, lang), "references")
-    boxed = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text).alias("__text"), F.col(lang).alias("__l0"))
-    out = _score(boxed, "__text", "__l0", ["__row"], refs)
+    out = _score(_rows(docs, text, lang, docs.columns), stash(references(docs, text, lang), "references"))
     # the running number keeps the filter above the steps that compute its verdict; below, it would hold all of
     # them again in one expression
-    return out.withColumn("__n", F.monotonically_increasing_id()).where("kept and __n >= 0").select("__row.*")
+    return out.withColumn("__n", F.monotonically_increasing_id()).where("kept and __n >= 0").select("row.*")
