@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._base import boxed, col
+
 WINDOW, SHINGLE, PERCENT_INVERSE = 13, 5, 20
 BLOCK_BYTES = 8 << 20
 _SLICE = 4 << 20
@@ -188,7 +190,7 @@ def contaminated(n_words: int, n_hit: int) -> bool:
 def index(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> list:
     """Broadcast blocks of the benchmark, ranked by the rarity of their shingles over all of ``docs``."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null").distinct()
+    items = benchmark.select(col(item).cast("string").alias("i"), col(item_text).cast("string").alias("t")).where("t is not null").distinct()
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = -(-total // block_bytes) or 1
     raw = []
@@ -208,7 +210,7 @@ def index(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(np.full(len(at), w)), pa.array(at), pa.array(c[at])], ["b", "w", "i", "c"])
 
-    seen = docs.select(F.col(text).cast("string")).mapInArrow(count, "b long, w long, i long, c long").groupBy("b", "w", "i").agg(F.sum("c").alias("c"))
+    seen = docs.select(col(text).cast("string")).mapInArrow(count, "b long, w long, i long, c long").groupBy("b", "w", "i").agg(F.sum("c").alias("c"))
     ranked = []
     for k, held in enumerate(raw):
         block = held.value
@@ -227,19 +229,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [r for texts in _slices(b.column(1).cast(pa.binary()).to_pylist()) for r in inspect(texts, blocks)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.string())), pa.array([contaminated(r[0], r[1]) for r in rows], pa.bool_())], [id_col, "n_words", "n_hit", "items", "contaminated"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.string())), pa.array([contaminated(r[0], r[1]) for r in rows], pa.bool_())], ["id", "n_words", "n_hit", "items", "contaminated"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text).cast("string").alias("__t")).mapInArrow(scan, f"`{id_col}` {kind}, n_words long, n_hit long, items array<string>, contaminated boolean")
+    return docs.select(col(id_col).alias("id"), col(text).cast("string").alias("t")).mapInArrow(scan, f"id {kind}, n_words long, n_hit long, items array<string>, contaminated boolean").withColumnRenamed("id", id_col)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
     blocks = index(docs, benchmark, text, item, item_text)
-    at = docs.columns.index(text)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array([not contaminated(r[0], r[1]) for texts in _slices(b.column(at).cast(pa.binary()).to_pylist()) for r in inspect(texts, blocks)], pa.bool_()))
+            keep = pa.array([not contaminated(r[0], r[1]) for texts in _slices(b.column(1).cast(pa.binary()).to_pylist()) for r in inspect(texts, blocks)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep)], ["row"])
 
-    return docs.mapInArrow(scan, docs.schema)
+    rows = docs.select(boxed(docs), col(text).cast("string").alias("t"))
+    return rows.mapInArrow(scan, rows.select("row").schema).select("row.*")

@@ -8,7 +8,9 @@ so overlapping windows merge.  A text of fewer than three lines is one window
 of all its lines.
 
 Windows whose lines hold no word at all never count as repeats.  Rows with
-equal id and text are one document and all get its result.  Null text has no
+equal id and text are one document and all get its result; of rows that tie by
+id and place the one of the least text hash is the first.  Very long texts are
+lines like others.  Null text has no
 lines and stays null.  Empty tables give empty results; other columns are
 carried along whatever their names.
 """
@@ -18,14 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._base import stash, text_hash
+from ._base import boxed, col, stash, text_hash
 
 LINES = 3
 
 
 def _windows(docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
     """``(id, th, pos, a, b)`` for every window with a word in it."""
-    df = docs.select(F.col(id_col).alias("id"), text_hash(F.col(text)).alias("th"), F.split(F.col(text), "\n").alias("l")).where("l is not null")
+    df = docs.select(col(id_col).alias("id"), text_hash(col(text)).alias("th"), F.split(col(text), "\n").alias("l")).where("l is not null")
     # keep the hashes apart from the lines: a later step would split the text again for each of them
     df = df.select("id", "th", F.transform("l", lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), x.rlike(r"[^\x20\x09-\x0D]").alias("w"))).alias("h"))
     last = F.greatest(F.size("h") - width, F.lit(0))
@@ -61,27 +63,29 @@ def _without(lines: Column, gone: Column) -> Column:
 
 
 def _cleaned(docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
-    """``docs`` with ``__gone`` places and ``__left`` lines; null where nothing goes."""
+    """``(row, id, t, gone, left)``: the places that go and the lines that are left; null where nothing goes."""
     gone = stash(repeated_places(docs, id_col, text, width), "places")
-    rows = docs.withColumns({"__id": F.col(id_col), "__th": text_hash(F.col(text))})
-    gone = gone.select(F.col("id").alias("__gid"), F.col("th").alias("__gth"), F.col("places").alias("__gone"))
+    rows = docs.select(boxed(docs), col(id_col).alias("id"), col(text).alias("t"), text_hash(col(text)).alias("th"))
+    gone = gone.select(F.col("id").alias("gid"), F.col("th").alias("gth"), F.col("places").alias("gone"))
     # by merge at every size: what repeats grows with the corpus, so a broadcast would end at some size
-    rows = rows.join(gone.hint("merge"), F.col("__id").eqNullSafe(F.col("__gid")) & (F.col("__th") == F.col("__gth")), "left")
-    return rows.withColumn("__left", F.when(F.col("__gone").isNotNull(), _without(F.split(F.col(text), "\n"), F.col("__gone"))))
+    rows = rows.join(gone.hint("merge"), F.col("id").eqNullSafe(F.col("gid")) & (F.col("th") == F.col("gth")), "left")
+    return rows.select("row", "id", "t", "gone", F.when(F.col("gone").isNotNull(), _without(F.split("t", "\n"), F.col("gone"))).alias("left"))
 
 
-def _new(text: str) -> Column:
-    return F.when(F.col("__left").isNotNull(), F.array_join("__left", "\n")).otherwise(F.col(text))
+def _new() -> Column:
+    return F.when(F.col("left").isNotNull(), F.array_join("left", "\n")).otherwise(F.col("t"))
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = LINES) -> DataFrame:
     """Each row's id, lines before, lines removed and text after."""
-    n = F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(F.col(text), "\n")))
-    left = F.when(F.col("__left").isNull(), n).otherwise(F.size("__left"))
-    return _cleaned(docs, id_col, text, width).select(F.col(id_col), n.cast("long").alias("n_lines"), (n - left).cast("long").alias("n_removed"), _new(text).alias(text))
+    n = F.when(F.col("t").isNull(), 0).otherwise(F.size(F.split("t", "\n")))
+    left = F.when(F.col("left").isNull(), n).otherwise(F.size("left"))
+    return _cleaned(docs.select(col(id_col), col(text)), id_col, text, width).select(F.col("id").alias(id_col), n.cast("long").alias("n_lines"), (n - left).cast("long").alias("n_removed"), _new().alias(text))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = LINES) -> DataFrame:
     """``docs`` with repeated lines removed; a document that loses every line goes."""
-    out = _cleaned(docs, id_col, text, width).where(F.col("__left").isNull() | (F.size("__left") > 0))
-    return out.withColumn(text, _new(text)).select(*docs.columns)
+    out = _cleaned(docs, id_col, text, width).where(F.col("left").isNull() | (F.size("left") > 0))
+    names = docs.columns
+    parts = [_new().alias(c) if c == text else F.col("row").getField(c).alias(c) for c in names]
+    return out.select(*parts)
