@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: Broadcast at most so many bytes at once; larger sides go in blocks or through a shuffle.
 MAX_BROADCAST_BYTES = 64 << 20
 #: The same in rows of a few numbers.
-MAX_BROADCAST_ROWS = 1 << 20
+MAX_BROADCAST_ROWS = 1 << 18
 
 _made: list[tuple[SparkSession, str]] = []
 

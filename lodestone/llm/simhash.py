@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from ._base import connected_components, stash, text_hash
+from ._base import col, connected_components, only, stash, text_hash
 
 SHINGLE, SEED, MAX_BITS, BLOCKS, BUCKET = 3, 42, 2, 5, 48
 _CASE = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -72,7 +72,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_hash: bool = False) -> DataFrame:
     """``(id, [th], fp)`` of every row; ``fp`` holds the 64 bits in a long."""
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), *([text_hash(F.col(text_col)).alias("th")] if with_hash else []), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(col(id_col).alias("id"), *([text_hash(col(text_col)).alias("th")] if with_hash else []), col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_fingerprints, f"id {kind}, {'th long, ' if with_hash else ''}fp long")
 
 
@@ -126,15 +126,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     """One row of each component stays: least id (nulls last), then least text hash; all columns of ``docs``."""
     rows = stash(fingerprints(docs, id_col, text_col, with_hash=True), "prints")
     classes = components(rows.withColumn("id", F.struct(F.col("id").isNull().alias("n"), "id", "th")), max_bits)
-    # every fingerprint of a component names the same first row, so the distinct ones are the rows that stay
-    stay = stash(classes.select("component_id.id", "component_id.th").distinct(), "stay")
-    return _only(docs, stay, rows, id_col, text_col)
-
-
-def _only(docs: DataFrame, stay: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    names = docs.columns
-    keyed = docs.withColumns({"__id": F.col(id_col), "__th": text_hash(F.col(text_col))})
-    kept = keyed.join(stay.select(F.col("id").alias("__sid"), F.col("th").alias("__sth")), F.col("__id").eqNullSafe(F.col("__sid")) & (F.col("__th") == F.col("__sth")), "left_semi")
-    if not rows.groupBy("id", "th").count().where("count > 1").isEmpty():
-        kept = kept.groupBy("__id", "__th").agg(F.first(F.struct(*names)).alias("r")).select("r.*")
-    return kept.select(*names)
+    stay = classes.select(F.col("fp").alias("sig"), F.col("component_id").alias("stay"))
+    return only(docs, rows.select("id", "th", F.col("fp").alias("sig")), stay, id_col, text_col)
