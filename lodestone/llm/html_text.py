@@ -1,13 +1,21 @@
 """Main text of web pages, with site templates removed.
 
-Each page is parsed into a tree.  Subtrees outside plain paragraphs and
-headings are hashed together with the page's host; Spark counts on how many
-pages of a host each hash occurs, and subtrees that recur on at least
-``MIN_PAGES`` of them are deleted.  Inside an article only containers, tables
-and lists can go that way, and only while the larger part of the article
-stays and the article as a whole doesn't recur, so that copied pages keep
-their text.  What names itself menu, header,
-footer, sidebar, notice, advert, form or comment section goes as well.
+Each page is parsed into a tree, and every element's subtree is hashed with the
+page's host: menus, footers and forms like all others.  Spark counts in how many
+different contents of a host each hash occurs.  A page's content is its article
+or, without one, the deepest subtree that holds more than four fifths of its own
+text (what is no link), so copies of an article count once.  Subtrees that occur in ``MIN_SHARE`` of a host's
+contents, in ``MIN_PAGES`` at least, are its template and go, wherever they
+stand; what holds the page's content stays, and so do paragraphs and headings
+of an ``<article>`` or ``<main>``.  Outside these, where more than four fifths
+of a page's own text would go, only what is mostly links goes: near copies are
+no template.
+
+Of what is left the article is taken: ``<article>``, else ``<main>``, else the
+body.  Hosts of few pages show no template, and on larger ones menus may vary;
+so elements that are boilerplate by their tag, and those with a class, id or
+role that names it as a whole (``site-footer``, not ``search-algorithms``), go
+as well.
 
 The recurring hashes are broadcast if there are at most ``MAX_BROADCAST``;
 beyond that each page meets its own in a join on the hash, whose hot keys
@@ -15,9 +23,10 @@ adaptive execution splits.
 
 Text: blocks in page order joined by a newline, white space inside a block as
 one space, character references decoded.  Null or empty html gives an empty
-text, a null url a host of its own.  Repeated rows give repeated rows and each
-counts as a page.  Empty tables give empty results; only id, url and html are
-read.
+text, a null url a host of its own.  Repeated rows give repeated rows and are
+one content.  Very long or deep pages are walked without recursion, one page at
+a time.  Empty tables give empty results; only id, url and html are read,
+whatever the other columns are called.
 """
 
 from __future__ import annotations
@@ -33,9 +42,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from ._base import stash
+from ._base import col, small, stash
 
-MIN_PAGES, MAX_BROADCAST = 10, 1 << 20
+MIN_PAGES, MIN_SHARE, MAX_BROADCAST = 3, 0.02, 1 << 20
 
 # Elements by role, after the HTML standard.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,24 +54,27 @@ _CLOSES_P = _BLOCK - frozenset("caption tbody td tfoot th thead tr body html".sp
 _DROP = frozenset("nav aside footer form script style noscript template svg math iframe object embed applet canvas audio video map button select textarea input dialog menu head title noembed noframes search".split())
 _PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd figcaption".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
-_HOLDERS = frozenset("div section aside header footer nav ul ol dl table form figure main details center menu".split())
-# Words in class, id and role that name boilerplate.
+# Words in class, id and role that name boilerplate, and words that may stand beside them in a name.
 _NAMES = frozenset("ad adbox ads adsense adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookiebanner cookiebar cookies copyright disqus dropdown footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notification overlay pager pagination popup promo promoted promotion recommended related replies reply respond search share sharebar sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription subnav toolbar topbar widget widgets complementary contentinfo alert".split())
+_BESIDE = frozenset("site page main top bottom left right global primary secondary list box bar block area container wrapper wrap inner outer section link links button buttons item items slot unit icon icons post posts article articles form group row col column first last sticky fixed the".split())
 _HEADER_NAMES = frozenset(("header", "masthead"))
-_WHOLE = frozenset(("html", "body", "main", "article"))
+_FOREIGN = frozenset("comment comments reply replies related recommended promo sponsored widget ad advert".split())
+_NEVER = frozenset(("html", "body", "main"))
 
 _START = re.compile(r"<(?:(!--)|([/]?)([A-Za-z][^\s/>]*)|([!?]))")
 _STOP = re.compile(r"""=\s*(["'])|>""")
-_ATTR = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTR = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _NAME = re.compile(r"[a-z0-9]+")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in _RAW}
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "key", "size")
+    """An element: its hash, the length of its text, and of the text in links."""
+
+    __slots__ = ("tag", "attrs", "kids", "key", "size", "linked")
 
     def __init__(self, tag: str, attrs: str):
-        self.tag, self.attrs, self.kids, self.key, self.size = tag, attrs, [], 0, 0
+        self.tag, self.attrs, self.kids, self.key, self.size, self.linked = tag, attrs, [], 0, 0, 0
 
 
 def parse(html: str) -> Node:
@@ -161,23 +173,33 @@ def parse(html: str) -> Node:
     return root
 
 
-def _names(node: Node) -> tuple[frozenset[str], bool]:
-    """The words of class, id and role, and whether the element is hidden."""
+def _attributes(node: Node) -> tuple[list[str], bool]:
+    """The names of class, id and role, and whether the element is hidden."""
     if not node.attrs or node.attrs.isspace():
-        return frozenset(), False
-    words: set[str] = set()
+        return [], False
+    names: list[str] = []
     hidden = False
     for m in _ATTR.finditer(node.attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id", "role"):
-            words.update(_NAME.findall(value))
+            names += value.split()
         elif name == "hidden":
             hidden = True
         elif name == "style":
             hidden = hidden or "display:none" in value.replace(" ", "")
         else:
             hidden = hidden or value == "true"
-    return frozenset(words), hidden
+    return names, hidden
+
+
+def _named(names: list[str]) -> frozenset[str]:
+    """The words for boilerplate in names that say nothing else."""
+    found: set[str] = set()
+    for name in names:
+        words = set(_NAME.findall(name))
+        if words <= _NAMES | _BESIDE:
+            found |= words & _NAMES
+    return frozenset(found)
 
 
 def seal(root: Node) -> None:
@@ -188,15 +210,43 @@ def seal(root: Node) -> None:
         order.append(node)
         todo += [k for k in node.kids if type(k) is Node]
     for node in reversed(order):
-        parts, size = [node.tag, *sorted(_names(node)[0])], 0
+        parts, size, linked = [node.tag, *sorted(_attributes(node)[0])], 0, 0
         for k in node.kids:
             if type(k) is Node:
                 parts.append(f"#{k.key}")
                 size += k.size
+                linked += k.linked
             elif not k.isspace():
                 parts.append(k.strip())
                 size += len(k)
-        node.key, node.size = xxh64_intdigest("\x00".join(parts).encode()), size
+        node.key, node.size, node.linked = xxh64_intdigest("\x00".join(parts).encode()), size, size if node.tag == "a" else linked
+
+
+def content(root: Node) -> list[Node]:
+    """The way from the root to the page's content: its largest ``<article>``, else ``<main>``.
+
+    Without either, the deepest subtree that holds more than four fifths of the page's own text (what is no link).
+    """
+    above: dict[int, Node] = {}
+    best: dict[str, Node] = {}
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        for k in node.kids:
+            if type(k) is Node:
+                above[id(k)] = node
+                if k.tag in ("article", "main") and (k.tag not in best or k.size > best[k.tag].size):
+                    best[k.tag] = k
+                todo.append(k)
+    if node := best.get("article") or best.get("main"):
+        way = [node]
+        while id(way[-1]) in above:
+            way.append(above[id(way[-1])])
+        return way[::-1]
+    way = [root]
+    while kid := next((k for k in way[-1].kids if type(k) is Node and 5 * (k.size - k.linked) > 4 * (root.size - root.linked)), None):
+        way.append(kid)
+    return way
 
 
 def host(url: str | None) -> str:
@@ -207,11 +257,11 @@ def host(url: str | None) -> str:
 
 
 def site_keys(root: Node, site: int) -> set[int]:
-    """Hashes of this page's containers, each with its host's."""
+    """Hashes of all of this page's elements with text, each with its host's."""
     out, todo = set(), [root]
     while todo:
         node = todo.pop()
-        if node.tag not in ("html", "body") and node.tag not in _DROP and node.tag and node.size and (node.tag not in _PLAIN or node.tag == "p"):
+        if node.size and node.tag and node.tag not in _NEVER:
             out.add(_mixed(node.key, site))
         todo += [k for k in node.kids if type(k) is Node]
     return out
@@ -223,37 +273,66 @@ def _mixed(key: int, site: int) -> int:
 
 
 def _boilerplate(node: Node, inside: bool) -> bool:
+    """Whether tag or names say so; ``inside`` an article its header stays."""
     if node.tag in _DROP:
         return True
-    words, hidden = _names(node)
+    names, hidden = _attributes(node)
     if hidden:
-        return True
-    named = words & _NAMES
-    if node.tag in _WHOLE:
-        return bool(named & {"comment", "comments", "reply", "replies", "related", "recommended", "promo", "sponsored", "widget", "ad", "advert"})
+        return node.tag not in _NEVER
+    named = _named(names)
+    if node.tag in _NEVER:
+        return False
+    if node.tag == "article":
+        return bool(named & _FOREIGN)
     if node.tag == "header" or named and named <= _HEADER_NAMES:
         return not inside
     return bool(named) and node.tag not in _HEADINGS
 
 
+def template(root: Node, recurring, site: int) -> set[int]:
+    """``id()`` of the topmost elements that are the site's template on this page."""
+    kept = {id(x) for x in content(root)}
+    gone: list[Node] = []
+    own = 0  # text outside articles that is no link and doesn't go by its tag or names
+    todo = [(root, False, False)]
+    while todo:
+        node, article, out = todo.pop()
+        if node.size and node.tag and node.tag not in _NEVER and id(node) not in kept and not (article and node.tag in _PLAIN) and recurring(_mixed(node.key, site)):
+            gone.append(node)
+            own += 0 if article or out or _boilerplate(node, False) else node.size - node.linked
+            continue
+        article = article or node.tag in ("article", "main")
+        out = out or node is not root and _boilerplate(node, False)
+        for k in node.kids:
+            if type(k) is Node:
+                todo.append((k, article, out))
+            elif not article and not out and node.tag != "a" and not k.isspace():
+                own += len(k)
+    lost = sum(x.size - x.linked for x in gone if not _boilerplate(x, False))
+    if 5 * lost > 4 * own:
+        gone = [x for x in gone if 2 * x.linked > x.size or _boilerplate(x, False)]
+    return {id(x) for x in gone}
+
+
 def main_text(html: str | None, recurring, site: int) -> str:
     """The page's article; ``recurring`` tells whether a hash with its host's is one of the site's template."""
     if not html:
         return ""
     root = parse(html)
     seal(root)
+    gone = template(root, recurring, site)
     articles: list[Node] = []
     mains: list[Node] = []
     bodies: list[Node] = []
     todo = [root]
     while todo:
         node = todo.pop()
-        if node is not root and _boilerplate(node, False):
+        if node is not root and (id(node) in gone or _boilerplate(node, False)):
             continue
         if node.tag == "article":
             articles.append(node)
             continue
-        if node.tag == "main" or "main" in node.attrs and 'role="main"' in node.attrs:
+        if node.tag == "main" or "main" in _attributes(node)[0]:
             mains.append(node)
         if node.tag == "body":
             bodies.append(node)
@@ -261,24 +340,11 @@ def main_text(html: str | None, recurring, site: int) -> str:
     tops, inside = (articles, True) if articles else (mains[:1], True) if mains else (bodies[:1] or [root], False)
     lines: list[str] = []
     for top in tops:
-        lines += _blocks(top, inside, recurring, site)
+        lines += _blocks(top, inside, gone)
     return "\n".join(lines)
 
 
-def _blocks(top: Node, inside: bool, recurring, site: int) -> list[str]:
-    gone: set[int] = set()
-    lost, todo = 0, [top]
-    while todo:
-        node = todo.pop()
-        if node is not top:
-            movable = node.tag in _HOLDERS if inside else node.tag not in _WHOLE and node.tag in _BLOCK
-            if movable and node.size and recurring(_mixed(node.key, site)):
-                gone.add(id(node))
-                lost += node.size
-                continue
-        todo += [k for k in node.kids if type(k) is Node]
-    if inside and (2 * lost > top.size or recurring(_mixed(top.key, site))):
-        gone = set()  # a copied article isn't a template
+def _blocks(top: Node, inside: bool, gone: set[int]) -> list[str]:
     lines: list[str] = []
     open_text: list[str] = []
 
@@ -302,7 +368,7 @@ def _blocks(top: Node, inside: bool, recurring, site: int) -> list[str]:
             continue
         if node is not top and (id(node) in gone or _boilerplate(node, inside)):
             continue
-        if not only and inside and (node.tag == "header" or node.attrs and _names(node)[0] & _HEADER_NAMES):
+        if not only and inside and (node.tag == "header" or node.attrs and _named(_attributes(node)[0]) & _HEADER_NAMES):
             only = True  # of an article's own header the headings are text
         elif only and node.tag in _HEADINGS:
             only = False
@@ -314,28 +380,36 @@ def _blocks(top: Node, inside: bool, recurring, site: int) -> list[str]:
     return lines
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """``(id, url, text)`` of every row."""
-    spark = pages.sparkSession
-    rows = pages.select(F.col(id_col), F.col(url), F.col(html).cast("string").alias("__h"))
-    rid = F.xxhash64(id_col, url, "__h").alias("rid")
-    kind = pages.schema[id_col].dataType.simpleString()
+def recurring_subtrees(pages: DataFrame, min_pages: int, min_share: float) -> tuple[DataFrame, DataFrame]:
+    """Of ``pages(rid, url, html)``: ``(rid, site, main, k)`` of every page, and ``key`` of all hosts' templates."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ends, keys = [0], []
+            ends, keys, sites, mains = [0], [], [], []
             for u, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                root = parse(h or "")
+                root, site = parse(h or ""), xxh64_intdigest(host(u).encode())
                 seal(root)
-                keys += site_keys(root, xxh64_intdigest(host(u).encode()))
+                keys += site_keys(root, site)
                 ends.append(len(keys))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys, pa.int64()))], ["rid", "k"])
+                sites.append(_mixed(site, 0))
+                mains.append(_mixed(content(root)[-1].key, 0))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sites, pa.int64()), pa.array(mains, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys, pa.int64()))], ["rid", "site", "main", "k"])
+
+    keyed = pages.mapInArrow(hashes, "rid long, site long, main long, k array<bigint>")
+    met = keyed.select("site", "main", F.explode("k").alias("key")).distinct()
+    counts = met.groupBy("site", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    sites = keyed.select("site", "main").distinct().groupBy("site").agg(F.count(F.lit(1)).alias("of"))
+    often = counts.join(small(stash(sites, "sites")), "site").where(F.col("n") >= F.col("of") * min_share).select("key").distinct()
+    return keyed, stash(often, "templates")
 
-    keyed = rows.select(rid, url, "__h").mapInArrow(hashes, "rid long, k array<bigint>")
-    often = keyed.select(F.explode("k").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    often = stash(often.select("key"), "templates")
-    small = often.count() <= max_broadcast
-    held = spark.sparkContext.broadcast(np.sort(often.toPandas()["key"].to_numpy(np.int64))) if small else None
+
+def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """``(id, url, text)`` of every row."""
+    spark = pages.sparkSession
+    rows = pages.select(col(id_col).alias("id"), col(url).alias("u"), col(html).cast("string").alias("h"))
+    rid = F.xxhash64("id", "u", "h").alias("rid")
+    keyed, often = recurring_subtrees(rows.select(rid, "u", "h"), min_pages, min_share)
+    held = spark.sparkContext.broadcast(np.sort(often.toPandas()["key"].to_numpy(np.int64))) if often.count() <= max_broadcast else None
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = frozenset(held.value.tolist()) if held else frozenset()
@@ -345,11 +419,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: s
             for k, (u, h) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
                 known = shared if held else frozenset(own[k] or ())
                 out.append(main_text(h, known.__contains__, xxh64_intdigest(host(u).encode())))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], [id_col, url, "text"])
-
-    schema = f"`{id_col}` {kind}, `{url}` string, text string"
-    if small:
-        return rows.mapInArrow(texts, schema)
-    met = keyed.select("rid", F.explode("k").alias("key")).join(often, "key").groupBy("rid").agg(F.collect_set("key").alias("k"))
-    joined = rows.withColumn("rid", F.xxhash64(id_col, url, "__h")).join(stash(met, "page-templates"), "rid", "left")
-    return joined.select(id_col, url, "__h", "k").mapInArrow(texts, schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["id", "url", "text"])
+
+    schema = f"id {pages.schema[id_col].dataType.simpleString()}, url string, text string"
+    if held:
+        found = rows.mapInArrow(texts, schema)
+    else:
+        met = keyed.select("rid", F.explode("k").alias("key")).join(often, "key").groupBy("rid").agg(F.collect_set("key").alias("k"))
+        found = rows.withColumn("rid", rid).join(stash(met, "page-templates"), "rid", "left").select("id", "u", "h", "k").mapInArrow(texts, schema)
+    return found.select(F.col("id").alias(id_col), F.col("url").alias(url), "text")
