@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import xxhash
 
@@ -20,6 +22,47 @@ def quality(text: str | None) -> tuple:
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(held), len(w) < 10 or 100 * len(held) > 20 * len(w)
 
 
+def distance(p: list[int], q: list[int]) -> float | None:
+    """Jensen-Shannon distance of two histograms."""
+    a, b = sum(p), sum(q)
+    if not a or not b:
+        return None
+    total = 0.0
+    for x, y in zip(p, q, strict=True):
+        x, y = x / a, y / b
+        total += (x * math.log2(2 * x / (x + y)) if x else 0) + (y * math.log2(2 * y / (x + y)) if y else 0)
+    return math.sqrt(max(total / 2, 0.0))
+
+
+def classes(text: str) -> list[int]:
+    """Characters by class: small, white space, capitals, beyond ASCII, digits, usual marks, the rest."""
+    kinds = ("abcdefghijklmnopqrstuvwxyz", " \t\n\x0b\x0c\r", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", None, "0123456789", "-.,;:!?'\"()")
+    out = [0] * 7
+    for c in text:
+        out[3 if c > "\x7f" else next((k for k, x in enumerate(kinds) if x and c in x), 6)] += 1
+    return out
+
+
+def good(docs: list[tuple[object, str | None, str | None]], common: int, reference: int, guard: int, class_bound: float, word_bound: float) -> list[bool]:
+    """The verdict on each ``(id, text, lang)``."""
+    words, chars = defaultdict(Counter), defaultdict(lambda: [0] * 7)
+    for _, text, lang in docs:
+        words[lang or ""].update(WORD.findall(text or ""))
+        chars[lang or ""] = [a + b for a, b in zip(chars[lang or ""], classes(text or ""), strict=True)]
+    out = []
+    for _, text, lang in docs:
+        w, ref = WORD.findall(text or ""), words[lang or ""]
+        ok = not quality(text)[5]
+        if ok and len(w) >= guard and ref.total() >= reference:
+            top = sorted(ref, key=lambda x: (-ref[x], x.encode()))[:common]
+            own = Counter(w)
+            far = distance(classes(text), chars[lang or ""]) or 0
+            odd = distance([*(own[x] for x in top), len(w) - sum(own[x] for x in top)], [*(ref[x] for x in top), ref.total() - sum(ref[x] for x in top)]) or 0
+            ok = far <= class_bound and odd <= word_bound
+        out.append(ok)
+    return out
+
+
 def secrets(text: str | None) -> list[tuple[int, int, str, int]]:
     text, out = text or "", []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
@@ -73,6 +116,29 @@ def fingerprint(text: str | None) -> int:
     return sum(1 << b for b in range(64) if 2 * counts[b] > len(shingles))
 
 
+def shingles(text: str | None) -> frozenset[str]:
+    """The five-word shingles of a text; all of a shorter one is one."""
+    w = WORD.findall((text or "").translate(LOWER))
+    return frozenset(" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def first_of_copies(rows: list[tuple[int, str | None]]) -> list[int]:
+    """The least id of each group of texts that a similarity of 0.8 or more connects; by all pairs."""
+    sets, parent = {i: shingles(t) for i, t in rows}, {i: i for i, _ in rows}
+
+    def find(a: int) -> int:
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a, b in combinations(sorted(sets), 2):
+        n = len(sets[a] & sets[b])
+        if sets[a] == sets[b] or 9 * n >= 4 * (len(sets[a]) + len(sets[b])) and n:
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    return sorted(i for i in parent if find(i) == i)
+
+
 def components(prints: dict) -> dict:
     """The least key that each key reaches over at most two differing bits."""
     parent = {i: i for i in prints}
