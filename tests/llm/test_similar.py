@@ -68,3 +68,36 @@ def test_shingle_sets_are_sets_of_shingles():
         assert len(x) == len(brute.shingles(a))
     for (a, x), (b, y) in zip(zip(texts, sets, strict=True), list(zip(texts, sets, strict=True))[1:], strict=False):
         assert len(x & y) == len(brute.shingles(a) & brute.shingles(b))
+
+
+def test_similar_sets_share_a_block_and_near_fingerprints():
+    import numpy as np
+
+    rnd = np.random.default_rng(8)
+    for n in [*range(4, 40), 90, 141, 142, 230, 700, 3000]:
+        for _ in range(20):
+            m = int(rnd.integers(n, n * 5 // 4 + 1))
+            both = int(rnd.integers(-(-4 * (n + m) // 9), n + 1)) if -(-4 * (n + m) // 9) <= n else None
+            if both is None:
+                continue
+            pool = rnd.integers(0, 1 << 64, n + m, np.uint64)
+            x, y = np.unique(pool[:n]), np.unique(np.concatenate([pool[:both], pool[n : n + m - both]]))
+            (x_keys, y_keys) = (np.concatenate([k for k, _ in similar.block_keys(s)] or [np.empty(0, np.uint64)]) for s in (x, y))
+            assert both == n == m or len(np.intersect1d(x_keys, y_keys))
+            a, b = similar._folded([similar.fingerprint(x), similar.fingerprint(y)])
+            assert int(np.bitwise_count(a ^ b).sum()) <= n + m - 2 * both
+
+
+def test_pairs_looked_at_are_in_proportion_to_a_group(spark, monkeypatch):
+    """A group about one text, most of whose pairs are just below the bound: its pairs aren't verified one by one."""
+    rnd, words, rows, looked = random.Random(4), [f"w{k}" for k in range(150)], [], []
+    for k in range(500):
+        own = list(words)
+        for _ in range(rnd.randrange(1, 7)):
+            own[rnd.randrange(len(own))] = f"x{rnd.randrange(400)}"
+        rows.append((k, " ".join(own)))
+    plain = similar.verified
+    monkeypatch.setattr(similar, "verified", lambda pairs, *a: looked.append(pairs.count()) or plain(pairs, *a))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(r.doc_id for r in similar.keep_one(df).collect()) == brute.first_of_copies(rows)
+    assert sum(looked) <= 4 * len(rows)
