@@ -34,8 +34,8 @@ def metadata_frame(object_hash: Column, name: Column, size: Column) -> Column:
 
 def read_metadata(frame: Column) -> Column:
     """A struct ``object_hash, name, size``; null for another length."""
-    part = lambda at: cut_at_null(F.decode(F.substring(frame, at + 1, 64), "UTF-8"))
-    return F.when(F.octet_length(frame) == 192, F.struct(part(0).alias("object_hash"), part(64).alias("name"), part(128).try_cast("bigint").alias("size")))
+    part = lambda b, at: cut_at_null(F.decode(F.substring(b, at + 1, 64), "UTF-8"))
+    return bind(frame, lambda b: F.when(F.octet_length(b) == 192, F.struct(part(b, 0).alias("object_hash"), part(b, 64).alias("name"), part(b, 128).try_cast("bigint").alias("size"))))
 
 
 def ack(server: Column) -> Column:
@@ -45,7 +45,7 @@ def ack(server: Column) -> Column:
 
 def read_ack(b: Column) -> Column:
     """The server's id; null for anything but an acknowledgement."""
-    return F.when((F.octet_length(b) == 4) & (F.substring(b, 1, 3) == F.lit(b"ACK")), read_int(b, 3, 1))
+    return bind(b, lambda b: F.when((F.octet_length(b) == 4) & (F.substring(b, 1, 3) == F.lit(b"ACK")), read_int(b, 3, 1)))
 
 
 def _signed(v: Column) -> Column:
@@ -72,8 +72,7 @@ def rpc(sender: Column, kind: Column, payload: Column) -> Column:
 
 
 def read_rpc(b: Column) -> Column:
-    n = read_int(b, 0, 4)
-    return F.when(n.between(5, 1 << 20) & (F.octet_length(b) >= 4 + n), F.struct(_signed(read_int(b, 5, 4)).alias("sender"), read_int(b, 4, 1).alias("kind"), _part(b, 9, n - 5).alias("payload")))
+    return _bound(b, lambda b: read_int(b, 0, 4), lambda b, n: F.when(n.between(5, 1 << 20) & (F.octet_length(b) >= 4 + n), F.struct(_signed(read_int(b, 5, 4)).alias("sender"), read_int(b, 4, 1).alias("kind"), _part(b, 9, n - 5).alias("payload"))))
 
 
 def ping(ping_id: Column, target: Column, ts: Column) -> Column:
@@ -82,7 +81,7 @@ def ping(ping_id: Column, target: Column, ts: Column) -> Column:
 
 
 def read_ping(b: Column) -> Column:
-    return F.when(_fits(b) & (F.octet_length(b) >= 20), F.struct(read_int(b, 0, 8).alias("ping_id"), _signed(read_int(b, 8, 4)).alias("target"), read_int(b, 12, 8).alias("ts")))
+    return bind(b, lambda b: F.when(_fits(b) & (F.octet_length(b) >= 20), F.struct(read_int(b, 0, 8).alias("ping_id"), _signed(read_int(b, 8, 4)).alias("target"), read_int(b, 12, 8).alias("ts"))))
 
 
 def lease(lease_id: Column, key: Column, expiry: Column) -> Column:
@@ -92,8 +91,7 @@ def lease(lease_id: Column, key: Column, expiry: Column) -> Column:
 
 
 def read_lease(b: Column) -> Column:
-    n = read_int(b, 8, 4)
-    return F.when(_fits(b) & (F.octet_length(b) >= 20 + n), F.struct(read_int(b, 0, 8).alias("lease_id"), _text(b, 12, n).alias("key"), read_int(b, (n + 12).cast("int"), 8).alias("expiry")))
+    return _bound(b, lambda b: read_int(b, 8, 4), lambda b, n: F.when(_fits(b) & (F.octet_length(b) >= 20 + n), F.struct(read_int(b, 0, 8).alias("lease_id"), _text(b, 12, n).alias("key"), read_int(b, (n + 12).cast("int"), 8).alias("expiry"))))
 
 
 def query(kind: Column, request_id: Column, data: Column) -> Column:
@@ -102,7 +100,7 @@ def query(kind: Column, request_id: Column, data: Column) -> Column:
 
 
 def read_query(b: Column) -> Column:
-    return F.when(_fits(b) & (F.octet_length(b) >= 9), F.struct(read_int(b, 0, 1).alias("kind"), read_int(b, 1, 8).alias("request_id"), _part(b, 9, F.octet_length(b)).alias("data")))
+    return bind(b, lambda b: F.when(_fits(b) & (F.octet_length(b) >= 9), F.struct(read_int(b, 0, 1).alias("kind"), read_int(b, 1, 8).alias("request_id"), _part(b, 9, F.octet_length(b)).alias("data"))))
 
 
 def response(request_id: Column, data: Column, error: Column) -> Column:
@@ -112,9 +110,9 @@ def response(request_id: Column, data: Column, error: Column) -> Column:
 
 
 def read_response(b: Column) -> Column:
-    n = read_int(b, 8, 4)
-    m = F.when(F.octet_length(b) >= 14 + n, read_int(b, (n + 12).cast("int"), 2))
-    return F.when(_fits(b) & (F.octet_length(b) >= 14 + n + m), F.struct(read_int(b, 0, 8).alias("request_id"), _part(b, 12, n).alias("data"), _text(b, n + 14, m).alias("error")))
+    second = lambda b, n: F.when(F.octet_length(b) >= 14 + n, read_int(b, (n + 12).cast("int"), 2))
+    found = lambda b, n, m: F.when(_fits(b) & (F.octet_length(b) >= 14 + n + m), F.struct(read_int(b, 0, 8).alias("request_id"), _part(b, 12, n).alias("data"), _text(b, n + 14, m).alias("error")))
+    return _bound(b, lambda b: read_int(b, 8, 4), second, found)
 
 
 def oprf_request(request_id: Column, share: Column, blinded: Column) -> Column:
@@ -123,8 +121,7 @@ def oprf_request(request_id: Column, share: Column, blinded: Column) -> Column:
 
 
 def read_oprf_request(b: Column) -> Column:
-    n = read_int(b, 9, 4)
-    return F.when(_fits(b) & (F.octet_length(b) >= 13 + n), F.struct(read_int(b, 0, 8).alias("request_id"), read_int(b, 8, 1).alias("share_index"), _part(b, 13, n).alias("blinded")))
+    return _bound(b, lambda b: read_int(b, 9, 4), lambda b, n: F.when(_fits(b) & (F.octet_length(b) >= 13 + n), F.struct(read_int(b, 0, 8).alias("request_id"), read_int(b, 8, 1).alias("share_index"), _part(b, 13, n).alias("blinded"))))
 
 
 def oprf_response(request_id: Column, share: Column, error: Column, evaluation: Column) -> Column:
@@ -134,9 +131,9 @@ def oprf_response(request_id: Column, share: Column, error: Column, evaluation:
 
 
 def read_oprf_response(b: Column) -> Column:
-    m = read_int(b, 9, 2)
-    n = F.when(F.octet_length(b) >= 15 + m, read_int(b, (m + 11).cast("int"), 4))
-    return F.when(_fits(b) & (F.octet_length(b) >= 15 + m + n), F.struct(read_int(b, 0, 8).alias("request_id"), read_int(b, 8, 1).alias("share_index"), _text(b, 11, m).alias("error"), _part(b, m + 15, n).alias("evaluation")))
+    second = lambda b, m: F.when(F.octet_length(b) >= 15 + m, read_int(b, (m + 11).cast("int"), 4))
+    found = lambda b, m, n: F.when(_fits(b) & (F.octet_length(b) >= 15 + m + n), F.struct(read_int(b, 0, 8).alias("request_id"), read_int(b, 8, 1).alias("share_index"), _text(b, 11, m).alias("error"), _part(b, m + 15, n).alias("evaluation")))
+    return _bound(b, lambda b: read_int(b, 9, 2), second, found)
 
 
 def heartbeat_peers(peers: Column, own: Column) -> Column:
@@ -152,13 +149,13 @@ def heartbeat(peers: Column) -> Column:
 
 def read_heartbeat(b: Column) -> Column:
     """The peers of a heartbeat, walked record by record; null for a broken one."""
-    n = read_int(b, 0, 4)
 
-    def entry(at: Column) -> tuple[Column, Column, Column]:
-        size = read_int(b, (at + 4).cast("int"), 2)
-        return F.struct(_signed(read_int(b, at.cast("int"), 4)).alias("id"), _text(b, at + 6, size).alias("addr")), at + 6 + size, F.lit(True)
+    def entry(b: Column, at: Column) -> Column:
+        found = lambda at, size: _found(F.struct(_signed(read_int(b, at.cast("int"), 4)).alias("id"), _text(b, at + 6, size).alias("addr")), at + 6 + size, F.lit(True))
+        return _bound(at, lambda at: read_int(b, (at + 4).cast("int"), 2), found)
 
-    return F.when(_fits(b) & (F.octet_length(b) >= 4) & (n * 6 <= F.octet_length(b) - 4), _walk(b, n, 4, "struct<id:bigint,addr:string>", entry))
+    walk = lambda b, n: F.when(_fits(b) & (F.octet_length(b) >= 4) & (n * 6 <= F.octet_length(b) - 4), _walk(b, n, 4, "struct<id:bigint,addr:string>", entry))
+    return _bound(b, lambda b: read_int(b, 0, 4), walk)
 
 
 def file_list(files: Column) -> Column:
@@ -178,21 +175,21 @@ def file_list(files: Column) -> Column:
 
 def read_file_list(b: Column) -> Column:
     """The files of a list; null if any of its entries is cut, too long or unsafe."""
-    n = read_int(b, 0, 4)
-    long_ = lambda at: read_int(b, at.cast("int"), 4)
+    kind = "struct<name:string,object_hash:string,size:bigint,remote_path:string,mod_time:bigint>"
 
-    def entry(at: Column) -> tuple[Column, Column, Column]:
-        a = long_(at)
-        h_at = at + 4 + a
-        h = long_(h_at)
-        s_at = h_at + 4 + h
-        p = long_(s_at + 8)
-        t_at = s_at + 12 + p
-        name, digest, size = _text(b, at + 4, a), _text(b, h_at + 4, h), read_int(b, s_at.cast("int"), 8)
-        good = (a <= MAX_NAME) & (h <= MAX_HASH) & (p <= MAX_PATH) & size.between(0, MAX_SIZE) & ~has_traversal_chars(digest) & ~is_unsafe_key(name)
-        return F.struct(name.alias("name"), digest.alias("object_hash"), size.alias("size"), _text(b, s_at + 12, p).alias("remote_path"), read_int(b, t_at.cast("int"), 8).alias("mod_time")), t_at + 8, good
+    def entry(b: Column, at: Column) -> Column:
+        long_ = lambda at: read_int(b, at.cast("int"), 4)
 
-    return F.when((F.octet_length(b) >= 4) & (n * 28 <= F.octet_length(b) - 4), _walk(b, n, 4, "struct<name:string,object_hash:string,size:bigint,remote_path:string,mod_time:bigint>", entry))
+        def found(at: Column, a: Column, h_at: Column, h: Column, s_at: Column, p: Column) -> Column:
+            t_at = s_at + 12 + p
+            one = F.struct(_text(b, at + 4, a).alias("name"), _text(b, h_at + 4, h).alias("object_hash"), read_int(b, s_at.cast("int"), 8).alias("size"), _text(b, s_at + 12, p).alias("remote_path"), read_int(b, t_at.cast("int"), 8).alias("mod_time"))
+            good = lambda f: (a <= MAX_NAME) & (h <= MAX_HASH) & (p <= MAX_PATH) & f["size"].between(0, MAX_SIZE) & ~has_traversal_chars(f["object_hash"]) & ~is_unsafe_key(f["name"])
+            return bind(one, lambda f: _found(f, t_at + 8, good(f)))
+
+        return _bound(at, long_, lambda at, a: at + 4 + a, lambda at, a, h_at: long_(h_at), lambda at, a, h_at, h: h_at + 4 + h, lambda at, a, h_at, h, s_at: long_(s_at + 8), found)
+
+    walk = lambda b, n: F.when((F.octet_length(b) >= 4) & (n * 28 <= F.octet_length(b) - 4), _walk(b, n, 4, kind, entry))
+    return _bound(b, lambda b: read_int(b, 0, 4), walk)
 
 
 def joined(parts: Column) -> Column:
@@ -205,14 +202,29 @@ def bind(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
+def _bound(value: Column, *steps) -> Column:
+    """Each step's value computed once from those before it; the last one's counts."""
+
+    def after(held: tuple, left: tuple) -> Column:
+        return left[0](*held) if len(left) == 1 else bind(left[0](*held), lambda x: after((*held, x), left[1:]))
+
+    return bind(value, lambda x: after((x,), steps))
+
+
+def _found(one: Column, behind: Column, good: Column) -> Column:
+    return F.struct(one.alias("one"), behind.alias("behind"), good.alias("good"))
+
+
 def _walk(b: Column, n: Column, start: int, kind: str, entry) -> Column:
-    """``n`` entries from a place on; ``entry(at)`` gives one, the place behind it and whether it is good. Null if one isn't."""
+    """``n`` entries from a place on; ``entry(b, at)`` gives one, the place behind it and whether it is good. Null if one isn't."""
     zero = F.struct(F.lit(start).cast("bigint").alias("at"), F.array().cast(f"array<{kind}>").alias("p"))
 
     def step(s: Column, _: Column) -> Column:
-        one, behind, good = entry(s["at"])
-        fine = s["at"].isNotNull() & (behind <= F.octet_length(b)) & good
-        return F.struct(F.when(fine, behind).alias("at"), F.concat(s["p"], F.array(one)).alias("p"))
+        def moved(x: Column) -> Column:
+            fine = s["at"].isNotNull() & (x["behind"] <= F.octet_length(b)) & x["good"]
+            return F.struct(F.when(fine, x["behind"]).alias("at"), F.concat(s["p"], F.array(x["one"])).alias("p"))
+
+        return bind(entry(b, s["at"]), moved)
 
     end = F.aggregate(F.when(n > 0, F.sequence(F.lit(1).cast("bigint"), n)).otherwise(F.array().cast("array<bigint>")), zero, step)
-    return F.when(end["at"].isNotNull(), end["p"])
+    return bind(end, lambda x: F.when(x["at"].isNotNull(), x["p"]))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chunked, codecs, crypto, http, oprf, strings
-from ..operators import listing
+from ..operators import listing, placement
 from ..sources import relations as rel
 from ..sources.relations import with_sql
 from .registry import query
@@ -246,7 +246,7 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("f26_f27_read_back", with_sql("samples") + ", m AS (SELECT *, 'd\u00e9' || event_id AS d, 't' || k AS t FROM samples) SELECT event_id, user_id AS target, k % 13 + 1 AS kind, d AS rpc_data, d AS query_data, t AS error, d AS lease_key, ts_us AS expiry, k AS share_index, t AS oprf_error, [user_id, k]::BIGINT[] AS peers, CASE WHEN k % 2 = 1 THEN [d, t] ELSE [d] END AS files, k AS frame_size, k AS acked FROM m")
 def f26_f27_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the readers find in the bytes, and nothing in bytes that are cut by one."""
-    m = _messages(spark, sf_dir)
+    m = placement.spread(_messages(spark, sf_dir))
     text = lambda c: F.decode(c, "UTF-8")
     readers = {"ping": codecs.read_ping, "rpc": codecs.read_rpc, "response": codecs.read_response, "lease": codecs.read_lease, "oprf_request": codecs.read_oprf_request, "oprf_response": codecs.read_oprf_response, "heartbeat": codecs.read_heartbeat, "files": codecs.read_file_list, "frame": codecs.read_metadata, "ack": codecs.read_ack}
     rows = m.withColumns({f"{n}_x": f(F.col(n)) for n, f in readers.items()} | {f"{n}_cut": f(F.substring(F.col(n), F.lit(1), F.octet_length(n) - 1)) for n, f in readers.items()} | {"query_x": codecs.read_query(F.col("query"))})

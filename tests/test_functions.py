@@ -196,3 +196,10 @@ def test_percent_encoding_and_authorization(spark):
     good = "AWS4-HMAC-SHA256 Credential=AK/20240101/eu/s3/aws4_request, SignedHeaders=host;x, Signature=abc"
     got = values(spark, [(good,), (good.replace("Signature=abc", ""),), ("Basic x",)], "s string", crypto.parse_authorization(F.col("s")))
     assert tuple(got[0]) == ("AK", "20240101", "eu", "host;x", "abc") and got[1:] == [None, None]
+
+
+def test_readers_compute_each_value_once(spark):
+    """Lengths that follow from lengths aren't read anew for each use."""
+    b = F.col("b")
+    for reader, most in ((codecs.read_file_list, 6), (codecs.read_heartbeat, 5), (codecs.read_oprf_response, 4), (codecs.read_response, 3)):
+        assert reader(b)._jc.toString().count("conv(") <= most
