@@ -1,19 +1,27 @@
 """Weighted rendezvous placement and the replication plans that follow from it.
 
-The nodes are a small dimension: they travel as one array, broadcast behind a
-check of their number, and each key ranks them inside its own row, so placement
-moves no key.  Beyond ``MAX_NODES`` the nodes are dealt into blocks of an array
-each and the per-block winners are ranked per key in a second step.
+The nodes are a small dimension: they are broadcast behind a check of their
+number, and each different key is hashed with all of them once, in Arrow
+batches, because a digest through native expressions costs ten of these.
+Beyond ``MAX_NODES`` the nodes are dealt into blocks of an array each and the
+per-block winners are ranked per key in a second step.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from hashlib import sha256
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.codecs import bind
 
-MAX_NODES = 4096
+MAX_NODES = 1 << 18
 MODES = {"none": 0, "chain": 1, "splay": 2, "primary-splay": 3}
 ACK_NS = 30 * 1_000_000_000
 
@@ -57,6 +65,34 @@ def _ranked(keys: DataFrame, key: str, members: str, rf: int) -> Column:
     return F.slice(F.sort_array(rows), 1, rf)
 
 
+def _winners(key: bytes, ids: list, weights: np.ndarray, orders: list, tails: list[bytes], rf: int) -> list:
+    """The ids of the first ``rf`` nodes for a key; the logarithm is taken again, singly, of those that may be among them."""
+    d = np.frombuffer(b"".join([sha256(key + x).digest() for x in tails]), "<u4").reshape(-1, 8)
+    u = (d[:, 0].astype(np.int64) << 20 | d[:, 7] & 0xFFFFF) / float(1 << 52)
+    with np.errstate(divide="ignore"):
+        s = -weights / np.log(u)
+    near = range(len(s)) if len(s) <= rf else np.flatnonzero(~(s < np.partition(s, -rf)[-rf] * (1 - 1e-9))).tolist()
+    exact = [(weights[k] / math.log(u[k]) if u[k] > 0 else 0.0, orders[k] is not None, orders[k] or 0, ids[k]) for k in near]
+    return [x[-1] for x in sorted(exact)[:rf]]
+
+
+def _placements(keys: DataFrame, key: str, able: DataFrame, rf: int) -> DataFrame:
+    """``(__k, placement)`` of the different ``keys``."""
+    spark, kind = keys.sparkSession, able.schema["node_id"].dataType
+    rows = able.select("node_id", F.col("weight").cast("double"), "decl_order", "key").collect()
+    held = spark.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows]), [r[2] for r in rows], [bytes(r[3]) for r in rows]))
+    out = pa.list_(to_arrow_type(kind))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_winners(k, *held.value, rf) for k in b.column(1).to_pylist()], out)], ["__k", "placement"])
+
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    different = keys.select(F.col(key).alias("__k")).repartition(parts, "__k").distinct()
+    kinds = f"__k {different.schema['__k'].dataType.simpleString()}, placement array<{kind.simpleString()}>"
+    return different.select("__k", F.col("__k").cast("binary").alias("b")).mapInArrow(run, kinds)
+
+
 def place(keys: DataFrame, nodes: DataFrame, rf: int, key: str = "object_hash", max_nodes: int = MAX_NODES) -> DataFrame:
     """``keys`` with ``placement``: up to ``rf`` node ids of eligible nodes, best first; ties by declaration order.
 
@@ -69,17 +105,15 @@ def place(keys: DataFrame, nodes: DataFrame, rf: int, key: str = "object_hash",
     n = able.count()
     if not n:
         raise ValueError("no node has a positive weight")
-    blocks = -(-n // max_nodes)
-    groups = able.groupBy(F.pmod(F.xxhash64("node_id"), F.lit(blocks)).alias("b")).agg(F.collect_list(F.struct("node_id", "weight", "decl_order", "key")).alias("members"))
     usable = F.col(key).isNotNull() & (F.col(key) != "")
     names = keys.columns
-    keys = spread(keys)
-    if blocks == 1:
-        out = keys.crossJoin(F.broadcast(groups.select("members")))  # one row of at most max_nodes nodes
-        return out.select(*names, F.when(usable, F.transform(_ranked(out, key, "members", rf), lambda x: x["node_id"])).alias("placement"))
-    best = keys.select(key).where(usable).distinct().crossJoin(groups.select("members"))
-    best = best.select(key, F.explode(_ranked(best, key, "members", rf)).alias("x")).groupBy(key).agg(F.slice(F.sort_array(F.collect_list("x")), 1, rf).alias("x"))
-    best = best.select(F.col(key).alias("__k"), F.transform("x", lambda x: x["node_id"]).alias("placement"))
+    if n <= max_nodes:
+        best = _placements(keys.where(usable), key, able, rf)
+    else:
+        groups = able.groupBy(F.pmod(F.xxhash64("node_id"), F.lit(-(-n // max_nodes))).alias("b")).agg(F.collect_list(F.struct("node_id", "weight", "decl_order", "key")).alias("members"))
+        best = spread(keys).select(key).where(usable).distinct().crossJoin(groups.select("members"))
+        best = best.select(key, F.explode(_ranked(best, key, "members", rf)).alias("x")).groupBy(key).agg(F.slice(F.sort_array(F.collect_list("x")), 1, rf).alias("x"))
+        best = best.select(F.col(key).alias("__k"), F.transform("x", lambda x: x["node_id"]).alias("placement"))
     return keys.join(best, F.col(key) == F.col("__k"), "left").select(*names, "placement")
 
 

@@ -39,6 +39,17 @@ def test_placement_model_and_blocks(spark):
     assert len(placement.place(keys.limit(1), nd, 9).first().placement) == 4
 
 
+def test_placement_hashes_a_key_once(spark):
+    """Copies of a key share their digests; what is different meets every node in one task, past a block's former 4096 nodes."""
+    nd = spark.range(1, 5001).select(F.col("id").alias("node_id"), (F.col("id") % 4).cast("int").alias("weight"), (-F.col("id")).alias("decl_order"))
+    keys = spark.createDataFrame([(f"k{k % 5}",) for k in range(400)], "object_hash string")
+    plain = {f"k{k}": plain_placement(f"k{k}", [(i, i % 4, -i) for i in range(1, 5001)], 3) for k in range(5)}
+    placed = placement.place(keys, nd, 3)
+    assert "Cross" not in placed._jdf.queryExecution().toString()
+    got = placed.collect()
+    assert len(got) == 400 and all(r.placement == plain[r.object_hash] for r in got)
+
+
 def test_placement_errors(spark):
     keys = spark.createDataFrame([("h",)], "object_hash string")
     nd = spark.createDataFrame([(1, 0, 0)], "node_id long, weight int, decl_order long")
