@@ -36,22 +36,25 @@ def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
 
 
-def _profile(rows: DataFrame) -> DataFrame:
-    """Adds words and character-class counts to ``(row, __t, __lang)``; each step strips what the one before has counted."""
-    df = rows.withColumn("__w", F.array_remove(F.split("__t", _BLANK), ""))
-    df = df.withColumn("__t1", F.regexp_replace("__t", "[a-z]+", ""))
-    df = df.withColumn("__t2", F.regexp_replace("__t1", _BLANK, ""))
-    df = df.withColumn("__t3", F.regexp_replace("__t2", "[A-Z]+", ""))
-    df = df.withColumn("__t4", F.regexp_replace("__t3", r"[^\x00-\x7F]+", ""))
-    df = df.withColumn("__t5", F.regexp_replace("__t4", "[0-9]+", ""))
-    df = df.withColumn("__t6", F.regexp_replace("__t5", "[-.,;:!?'\"()]+", ""))
-    n = [F.length(c).cast("long") for c in ("__t", "__t1", "__t2", "__t3", "__t4", "__t5", "__t6")]
+def _classes(df: DataFrame, text: str) -> DataFrame:
+    """Adds ``word_chars``, ``n_symbols`` and the character-class counts ``__c``; each step strips what the one before has counted.
+
+    Small letters and spaces go in one step, as whole stretches of a text; the spaces are counted apart.  The range
+    beyond ASCII is far quicker than the same class negated.
+    """
+    steps = ("[a-z ]+", _BLANK, "[A-Z]+", r"[\x80-\x{10FFFF}]+", "[0-9]+", "[-.,;:!?'\"()]+")
+    names = [text, *(f"__t{k}" for k in range(1, 7))]
+    for new, old, p in zip(names[1:], names, steps, strict=False):
+        df = df.withColumn(new, F.regexp_replace(old, p, ""))
+    df = df.withColumn("__sp", (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))).cast("long"))
+    n = [F.length(c).cast("long") for c in names]
+    spaces = F.col("__sp")
+    blank = spaces + n[1] - n[2]
     return df.withColumns({
-        "__c": F.array(*(a - b for a, b in zip(n, n[1:], strict=False)), n[-1]),
-        "word_chars": n[0] - (n[1] - n[2]),
-        "n_symbols": (F.length("__t6") - F.length(F.regexp_replace("__t6", "[#*$%&|<>]+", ""))).cast("long"),
-        "n_words": F.size("__w").cast("long"),
-    }).drop(*(f"__t{k}" for k in range(1, 7)))
+        "__c": F.array(n[0] - n[1] - spaces, blank, *(a - b for a, b in zip(n[2:], n[3:], strict=False)), n[-1]),
+        "word_chars": n[0] - blank,
+        "n_symbols": (n[-1] - F.length(F.regexp_replace(names[-1], "[#*$%&|<>]+", ""))).cast("long"),
+    }).drop("__sp", *names[1:])
 
 
 def _rows(docs: DataFrame, text: str, lang: str, carry: list[str]) -> DataFrame:
@@ -66,27 +69,36 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataF
     ``ref_words`` has the hashes of its ``COMMON`` most frequent words (of equally frequent ones the first by
     name), ``ref_hist`` their counts and that of all other words.
     """
-    rows = _profile(_rows(docs, text, lang, [])).select("__lang", "__w", "__c", "n_words")
-    classes = rows.groupBy("__lang").agg(F.sum("n_words").alias("n"), F.array(*(F.sum(F.col("__c")[k]) for k in range(7))).alias("ref_class"))
-    words = rows.select("__lang", F.explode("__w").alias("w")).groupBy("__lang", "w").agg(F.count(F.lit(1)).alias("c"))
+    rows = _rows(docs, text, lang, []).select("__lang", "__t")
+    # the blanks at a text's ends give empty pieces, which go after the explode: a generator over the bare split is one tight loop
+    words = rows.select("__lang", F.explode(F.split("__t", _BLANK)).alias("w")).where("w <> ''").groupBy("__lang", "w").agg(F.count(F.lit(1)).alias("c"))
+    # characters are classed once for each different word; all others of a language are blanks
+    classes = _classes(words, "w").groupBy("__lang").agg(F.sum("c").alias("n"), F.array(*(F.sum(F.col("c") * F.col("__c")[k]) for k in range(7))).alias("s"))
+    chars = rows.groupBy("__lang").agg(F.sum(F.length("__t").cast("long")).alias("n_chars"))
+    held = F.array(F.col("s")[0], F.col("n_chars") - _sum(F.col("s")), *(F.col("s")[k] for k in range(2, 7)))
+    classes = classes.where(F.col("n") >= MIN_REFERENCE).join(chars, "__lang").select("__lang", "n", held.alias("ref_class"))
     order = Window.partitionBy("__lang").orderBy(F.desc("c"), "w")
     top = words.withColumn("k", F.row_number().over(order)).where(F.col("k") <= COMMON)
     top = top.groupBy("__lang").agg(F.array_sort(F.collect_list(F.struct("k", "w", "c"))).alias("a"))
-    return classes.where(F.col("n") >= MIN_REFERENCE).join(top, "__lang").select(
+    return classes.join(top, "__lang").select(
         F.col("__lang").alias("lang"), "ref_class", F.transform("a.w", lambda w: F.xxhash64(w)).alias("ref_words"), F.concat("a.c", F.array(F.col("n") - _sum(F.col("a.c")))).alias("ref_hist")
     )
 
 
 def distance(p: Column, q: Column) -> Column:
     """Jensen-Shannon distance of two arrays of counts; null if one of them sums to nothing."""
-    a, b = _sum(p).cast("double"), _sum(q).cast("double")
 
     def part(x: Column, y: Column) -> Column:
         return F.when(x > 0, x * F.log2(2 * x / (x + y))).otherwise(0.0)
 
-    terms = F.zip_with(p, q, lambda x, y: part(x / a, y / b) + part(y / b, x / a))
-    total = F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
-    return F.when((a > 0) & (b > 0), F.sqrt(F.greatest(total / 2, F.lit(0.0))))
+    def of(s: Column) -> Column:
+        shares = F.zip_with(s["p"], s["q"], lambda x, y: F.struct((x / s["a"]).alias("x"), (y / s["b"]).alias("y")))
+        total = F.aggregate(shares, F.lit(0.0), lambda t, z: t + (part(z["x"], z["y"]) + part(z["y"], z["x"])))
+        return F.when((s["a"] > 0) & (s["b"] > 0), F.sqrt(F.greatest(total / 2, F.lit(0.0))))
+
+    # an array of one binds the sums and shares; inside the lambdas they would be computed again for every element
+    held = F.array(F.struct(p.alias("p"), q.alias("q"), _sum(p).cast("double").alias("a"), _sum(q).cast("double").alias("b")))
+    return F.transform(held, of)[0]
 
 
 def _repeats(wins: str) -> Column:
@@ -104,16 +116,30 @@ def _repeats(wins: str) -> Column:
     return F.when(F.size(F.array_distinct(wins)) == F.size(wins), F.lit(0).cast("long")).otherwise(F.transform(held, covered)[0])
 
 
+def _windows(h: Column) -> Column:
+    """A hash for each window of an array of word hashes."""
+    n = F.size(h)
+    wins = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(WINDOW))))
+    return F.when(n >= WINDOW, wins).otherwise(F.array().cast("array<bigint>"))
+
+
 def _score(rows: DataFrame, refs: DataFrame) -> DataFrame:
-    df = _profile(rows).withColumn("__h", F.transform("__w", lambda w: F.xxhash64(w)))
-    df = df.withColumn("__v", F.when(F.size("__h") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("__h") - WINDOW), lambda i: F.xxhash64(*(F.get("__h", i + k) for k in range(WINDOW))))).otherwise(F.array().cast("array<bigint>")))
     lines = F.filter(F.split("__t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = df.withColumn("__l", lines)
-    df = df.withColumn("n_repeat_words", _repeats("__v")).withColumn("n_dup_lines", (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"))
+    hashes = F.transform(F.array_remove(F.split("__t", _BLANK), ""), lambda w: F.xxhash64(w))
+    # arrays of one again: inside, the values are plain objects that no step has to copy into a row
+    df = _classes(rows, "__t").withColumns({
+        "__s": F.transform(F.array(hashes), lambda h: F.struct(h.alias("h"), _windows(h).alias("v")))[0],
+        "n_dup_lines": F.transform(F.array(lines), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))[0],
+    }).drop("__t")
+    df = df.withColumns({"__h": F.col("__s.h"), "__v": F.col("__s.v"), "n_words": F.size("__s.h").cast("long")}).drop("__s")
     df = df.join(refs.withColumnRenamed("lang", "__lang"), "__lang", "left")
-    # a count is what removing the word takes away: a plain loop over the hashes for each common word
+    # a count is what removing the word takes away: a plain loop over the hashes for each common word.  The lambdas
+    # of n_repeat_words keep this step out of whole-stage code, whose one method with all the loops is too long for the JIT
     tally = F.array(*(F.size("__h") - F.size(F.array_remove("__h", F.get("ref_words", F.lit(k)))) for k in range(COMMON)))
-    df = df.withColumn("__k", F.when(F.col("ref_words").isNotNull() & (F.col("n_words") >= GUARD_WORDS), F.slice(tally, 1, F.size("ref_words")).cast("array<bigint>")))
+    df = df.withColumns({
+        "n_repeat_words": _repeats("__v"),
+        "__k": F.when(F.col("ref_words").isNotNull() & (F.col("n_words") >= GUARD_WORDS), F.slice(tally, 1, F.size("ref_words")).cast("array<bigint>")),
+    })
     df = df.withColumns({"class_distance": F.when(F.col("__k").isNotNull(), distance(F.col("__c"), F.col("ref_class"))), "word_distance": distance(F.concat("__k", F.array(F.col("n_words") - _sum(F.col("__k")))), F.col("ref_hist"))})
     df = df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")))
     far = (F.coalesce(F.col("class_distance"), F.lit(0.0)) > MAX_CLASS_DISTANCE) | (F.coalesce(F.col("word_distance"), F.lit(0.0)) > MAX_WORD_DISTANCE)
