@@ -2,7 +2,8 @@
 
 The nodes are a small dimension: they are broadcast behind a check of their
 number, and each different key is hashed with all of them once, in Arrow
-batches, because a digest through native expressions costs ten of these.
+batches, because a digest through native expressions costs ten of these.  Keys
+of whole hash blocks, as digests in hex are, go through array arithmetic.
 Beyond ``MAX_NODES`` the nodes are dealt into blocks of an array each and the
 per-block winners are ranked per key in a second step.
 """
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions import digests
 from ..functions.codecs import bind
 
 MAX_NODES = 1 << 18
@@ -76,6 +78,55 @@ def _winners(key: bytes, ids: list, weights: np.ndarray, orders: list, tails: li
     return [x[-1] for x in sorted(exact)[:rf]]
 
 
+def _ranked_by_blocks(keys: list[bytes], ids: list, weights: np.ndarray, orders: list, tails: list[bytes], rf: int) -> list[list]:
+    """``_winners`` of keys of one length, a multiple of 64 bytes, and tails of eight.
+
+    Of every digest the first word is computed in arrays.  It bounds the score, so whole digests and logarithms are taken,
+    as in ``_winners``, only of nodes whose word is at least a key's floor: no other can be among its first ``rf``.
+    """
+    n, space, state = len(ids), digests.room(), digests.states(keys)
+    heaviest, ratio = float(weights.max()), float(weights.max() / weights.min())
+    width = -(-n // -(-n // digests.TAILS))
+    at_once = digests.BLOCK // width
+    best: list[list] = [[] for _ in keys]
+    floors = np.zeros(len(keys), np.uint32)
+
+    def floor(u: float) -> int:
+        return max(0, int(u * (1 - 1e-9) * (1 << 32)) - 1)
+
+    for lo in range(0, n, width):
+        last = digests.last_block(b"".join(tails[lo : lo + width]), len(keys[0]))
+        for at in range(0, len(keys), at_once):
+            words = digests.first_words(state[:, at : at + at_once], last, space)
+            if not lo and width > rf:  # rf nodes have this word or more, if the lightest of all then a score that the heaviest reach from its power on
+                floors[at : at + at_once] = [floor((int(x) / (1 << 32)) ** ratio) for x in np.partition(words, -rf)[:, -rf]]
+            rows, columns = np.nonzero(words >= floors[at : at + at_once, None])
+            for i, k in zip((rows + at).tolist(), (columns + lo).tolist(), strict=True):
+                d = sha256(keys[i] + tails[k]).digest()
+                u = (int.from_bytes(d[:4], "little") << 20 | int.from_bytes(d[28:], "little") & 0xFFFFF) / float(1 << 52)
+                best[i].append((weights[k] / math.log(u) if u > 0 else 0.0, orders[k] is not None, orders[k] or 0, ids[k]))
+        for i, found in enumerate(best):
+            found.sort()
+            del found[rf:]
+            floors[i] = floor(math.exp(heaviest / found[-1][0])) if len(found) == rf and found[-1][0] < 0 else 0
+    return [[x[-1] for x in found] for found in best]
+
+
+def _all_winners(keys: list[bytes], ids: list, weights: np.ndarray, orders: list, tails: list[bytes], rf: int) -> list[list]:
+    """``_winners`` of each key, those of keys of whole blocks together."""
+    alike: dict[int, list[int]] = {}
+    if all(len(t) == digests.TAIL for t in tails) and np.isfinite(weights).all():
+        for i, key in enumerate(keys):
+            if len(key) % 64 == 0:
+                alike.setdefault(len(key), []).append(i)
+    out: list = [None] * len(keys)
+    for at in alike.values():
+        if len(at) * len(ids) >= digests.BLOCK // 2:  # fewer aren't worth the calls
+            for i, found in zip(at, _ranked_by_blocks([keys[i] for i in at], ids, weights, orders, tails, rf), strict=True):
+                out[i] = found
+    return [_winners(k, ids, weights, orders, tails, rf) if x is None else x for k, x in zip(keys, out, strict=True)]
+
+
 def _placements(keys: DataFrame, key: str, able: DataFrame, rf: int) -> DataFrame:
     """``(__k, placement)`` of the different ``keys``."""
     spark, kind = keys.sparkSession, able.schema["node_id"].dataType
@@ -85,7 +136,7 @@ def _placements(keys: DataFrame, key: str, able: DataFrame, rf: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_winners(k, *held.value, rf) for k in b.column(1).to_pylist()], out)], ["__k", "placement"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_all_winners(b.column(1).to_pylist(), *held.value, rf), out)], ["__k", "placement"])
 
     parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     different = keys.select(F.col(key).alias("__k")).repartition(parts, "__k").distinct()

@@ -6,9 +6,11 @@ import hashlib
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions import digests
 from lodestone.operators import gather, listing, machines, placement, state
 from lodestone.plans.machines import attempts
 from lodestone.sources import relations as rel
@@ -50,6 +52,44 @@ def test_placement_hashes_a_key_once(spark):
     assert len(got) == 400 and all(r.placement == plain[r.object_hash] for r in got)
 
 
+def test_digests_in_arrays():
+    """The first words of the digests of keys of one and of two blocks with tails of any bytes."""
+    tails = [random.Random(k).randbytes(8) for k in range(50)] + [bytes(8), b"\xff" * 8]
+    for size in (64, 128):
+        keys = [random.Random(-k).randbytes(size) for k in range(1, 8)]
+        words = digests.first_words(digests.states(keys), digests.last_block(b"".join(tails), size), digests.room())
+        assert words.tolist() == [[int.from_bytes(hashlib.sha256(k + t).digest()[:4], "little") for t in tails] for k in keys]
+
+
+@pytest.mark.parametrize("weights", ["alike", "few", "spread", "one heavy", "infinite"])
+@pytest.mark.parametrize(("n", "rf"), [(9000, 3), (4096, 1), (40, 50)])
+def test_placement_takes_few_digests_singly(monkeypatch, weights, n, rf):
+    """Keys of whole hash blocks get the plain winners, with whole digests only of nodes that can be among them."""
+    rng = random.Random(n)
+    weight = {"alike": lambda k: 2.5, "few": lambda k: 1 + k % 3, "spread": lambda k: 10 ** rng.uniform(-1, 1), "one heavy": lambda k: 1e12 if k == 7 else 1, "infinite": lambda k: math.inf if k % 5 == 0 else 1}[weights]
+    nodes = [(k * 7919 - 10**6, weight(k), k % 50) for k in range(n)]
+    keys = [hashlib.sha256(b"%d" % k).hexdigest() for k in range(max(4, 20000 // n))]
+    mixed = [keys[0] * 2, "short", *keys]
+    tails = [(i).to_bytes(8, "little", signed=True) for i, _, _ in nodes]
+    taken = []
+    monkeypatch.setattr(placement, "sha256", lambda b: taken.append(1) or hashlib.sha256(b))
+    run = lambda some: placement._all_winners([k.encode() for k in some], [i for i, _, _ in nodes], np.array([w for _, w, _ in nodes], float), [o for _, _, o in nodes], tails, rf)
+    got = run(keys)
+    if n > rf and weights in ("alike", "few"):
+        assert len(taken) < len(keys) * n / 20
+
+    def plain(h: str) -> list[int]:
+        scored = []
+        for node, w, order in nodes:
+            d = hashlib.sha256(h.encode() + node.to_bytes(8, "little", signed=True)).digest()
+            u = (int.from_bytes(d[:4], "little") << 20 | int.from_bytes(d[28:], "little") & 0xFFFFF) / (1 << 52)
+            scored.append((w / math.log(u), order, node))
+        return [x for _, _, x in sorted(scored)[:rf]]
+
+    assert got == [plain(k) for k in keys]
+    assert run(mixed) == [plain(k) for k in mixed]
+
+
 def test_placement_errors(spark):
     keys = spark.createDataFrame([("h",)], "object_hash string")
     nd = spark.createDataFrame([(1, 0, 0)], "node_id long, weight int, decl_order long")
