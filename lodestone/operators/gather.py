@@ -12,12 +12,13 @@ def merge(lists: DataFrame, validity: Column | None = None) -> DataFrame:
     """Distinct ``(name, object_hash)`` over ``lists(source_rank, name, object_hash, ...)``; the first source's row wins.
 
     One invalid row makes a whole source's list undecodable: that source is skipped.  The first row is a minimum,
-    so copies of a row combine before the shuffle.
+    so copies of a row combine before the shuffle.  The sources are broadcast: a semi join goes below the exchange, and
+    the lists are then computed twice.  So they are where ``validity`` leaves out a column.
     """
     if validity is not None:
         lists = lists.repartition("name", "object_hash")  # one exchange for both uses; the last step needs it anyway
         good = lists.groupBy("source_rank").agg(F.bool_and(validity).alias("ok")).where("ok").select("source_rank")
-        lists = lists.join(good, "source_rank", "left_semi")
+        lists = lists.join(F.broadcast(good), "source_rank")
     rest = [c for c in lists.columns if c not in ("name", "object_hash")]
     first = F.min(F.struct("source_rank", *(c for c in rest if c != "source_rank"))).alias("x")
     return lists.groupBy("name", "object_hash").agg(first).select("name", "object_hash", *(F.col(f"x.{c}").alias(c) for c in rest))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import digests
 from lodestone.operators import gather, listing, machines, placement, state
+from lodestone.plans.catalog import u1_global_list
 from lodestone.plans.machines import attempts
 from lodestone.sources import relations as rel
 from lodestone.streaming import twins
@@ -90,6 +91,14 @@ def test_placement_takes_few_digests_singly(monkeypatch, weights, n, rf):
     assert run(mixed) == [plain(k) for k in mixed]
 
 
+def test_merge_computes_lists_once(spark):
+    """Both uses of the lists, the sources' check and the rows, read one exchange, below which placements are hashed."""
+    merged = u1_global_list(spark, SF)
+    assert merged.collect()
+    plan = merged._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("MapInArrow") == 1
+
+
 def test_placement_errors(spark):
     keys = spark.createDataFrame([("h",)], "object_hash string")
     nd = spark.createDataFrame([(1, 0, 0)], "node_id long, weight int, decl_order long")
