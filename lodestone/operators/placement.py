@@ -139,7 +139,7 @@ def _placements(keys: DataFrame, key: str, able: DataFrame, rf: int) -> DataFram
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_all_winners(b.column(1).to_pylist(), *held.value, rf), out)], ["__k", "placement"])
 
     parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    different = keys.select(F.col(key).alias("__k")).repartition(parts, "__k").distinct()
+    different = keys.select(F.col(key).alias("__k")).distinct().repartition(parts)  # copies combine before any exchange
     kinds = f"__k {different.schema['__k'].dataType.simpleString()}, placement array<{kind.simpleString()}>"
     return different.select("__k", F.col("__k").cast("binary").alias("b")).mapInArrow(run, kinds)
 

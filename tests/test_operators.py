@@ -99,6 +99,18 @@ def test_merge_computes_lists_once(spark):
     assert plan.count("MapInArrow") == 1
 
 
+def test_placement_combines_copies_before_the_exchange(spark):
+    """A task's copies of a key are one row of the exchange that deals keys, so a key of many copies loads no task."""
+    keys = spark.range(0, 40000, 1, 4).select(F.concat(F.lit("k"), F.greatest(F.col("id") - 39990, F.lit(0)).cast("string")).alias("object_hash"))
+    nd = spark.createDataFrame([(1, 1, 0), (2, 3, 1)], "node_id long, weight int, decl_order long")
+    placed = placement.place(keys, nd, 1)
+    assert placed.count() == 40000
+    lines = placed._jdf.queryExecution().sparkPlan().toString().splitlines()
+    below = next(k for k, line in enumerate(lines) if "MapInArrow" in line)
+    dealt = next(k for k, line in enumerate(lines) if k > below and "Exchange" in line)
+    assert any("HashAggregate" in line for line in lines[dealt:])
+
+
 def test_placement_errors(spark):
     keys = spark.createDataFrame([("h",)], "object_hash string")
     nd = spark.createDataFrame([(1, 0, 0)], "node_id long, weight int, decl_order long")
