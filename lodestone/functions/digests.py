@@ -3,7 +3,7 @@
 A key of whole blocks is compressed once; of its message with a tail of eight
 bytes only the last block is left, whose words follow from the tail alone, so
 they are shared by all keys.  Each of the 64 rounds is then 34 array operations
-over a block of digests.  hashlib takes two and a half times as long, most of it
+over a block of digests.  hashlib takes about twice as long, most of it
 for setting up a digest.
 """
 
